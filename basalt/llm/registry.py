@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aho, simple8b, tokens
+from . import aho, language, packing, quality, simple8b, tokens
 from .common import read_table
 
 
@@ -12,6 +12,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file_digest(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_language(read_table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aho.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +33,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op8_decontamination, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op7_quality, op8_decontamination, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

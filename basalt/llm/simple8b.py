@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_batches, crc_of, only, shuffle_partitions
-from .tokens import PieceEncoder
+from .tokens import encoder_for
 
 #: Simple-8b's bits per id and ids per word, by selector.
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.uint64)
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     ordered = source.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
-        encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()
         held_docs, held_n, held_ids, total, number = [], [], [], 0, 0
 
         def shard():

@@ -177,6 +177,16 @@ class PieceEncoder:
         return out
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file, kept from task to task with the pieces it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def make_counter(path: str):
     """``lengths(texts)`` for a vocabulary file: tokenizers for .json, sentencepiece for .model."""
     if path.endswith(".model"):
@@ -184,7 +194,7 @@ def make_counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: np.array([len(x) for x in model.encode(texts, num_threads=1)], np.int64)
-    return PieceEncoder(path).lengths
+    return encoder_for(path).lengths
 
 
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
