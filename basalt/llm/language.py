@@ -107,6 +107,21 @@ def phrase_counts(lanes: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarr
     return out
 
 
+_MODELS: dict[tuple, tuple] = {}
+
+
+def model_of(sample: dict[str, str]) -> tuple:
+    """Alphabet, languages, automata and weights; a worker builds them once from the text it is sent."""
+    known = tuple(sorted(sample.items()))
+    if known not in _MODELS:
+        _MODELS.clear()
+        alphabet = Alphabet([text for _, text in known])
+        parts = [(lang, alphabet.symbols(text)) for lang, text in known]
+        parts = [(lang, p) for lang, p in parts if len(p)]
+        _MODELS[known] = alphabet, [lang for lang, _ in parts], [suffix_automaton(p, alphabet.size) for _, p in parts], [float(np.log2(len(p) + 1)) for _, p in parts]
+    return _MODELS[known]
+
+
 def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, letters_per_lang: int) -> dict[str, str]:
     """Labelled text per language: at most ``letters_per_lang`` characters, by the order of the ids' hash.
 
@@ -148,16 +163,11 @@ def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     sample = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, letters_per_lang=letters_per_lang)
-    names = sorted(sample)
-    alphabet = Alphabet([sample[n] for n in names])
-    parts = [alphabet.symbols(sample[n]) for n in names]
-    names = [n for n, p in zip(names, parts) if len(p)]
-    parts = [p for p in parts if len(p)]
-    model = spark.sparkContext.broadcast((alphabet, names, [suffix_automaton(p, alphabet.size) for p in parts], [float(np.log2(len(p) + 1)) for p in parts]))
+    held = spark.sparkContext.broadcast(sample)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        alphabet, names, tables, weights = model.value
+        alphabet, names, tables, weights = model_of(held.value)
         for batch in byte_batches(batches, batch_bytes):
             lanes, owner, lettered = [], [], np.zeros(batch.num_rows, bool)
             for i, text in enumerate(batch.column(2)):
