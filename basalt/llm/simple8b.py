@@ -46,17 +46,23 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     blocks = -(-n // block)
     padded = np.zeros(blocks * block, np.uint64)
     padded[:n] = ids
-    limits = np.uint64(1) << BITS
-    width = np.searchsorted(limits, padded, side="right").astype(np.uint8).reshape(blocks, block)
     held = np.full(blocks, block, np.int64)
     held[-1] = n - (blocks - 1) * block
-    at = np.arange(block, dtype=np.int16)
-    left = (held[:, None] - at[None, :]).astype(np.int16)
     best = np.full((blocks, block), ESCAPE, np.uint8)
+    top = int(ids.max())
+    small = padded.astype(np.uint32) if top < 1 << 32 else padded
     for s in range(len(BITS) - 1, -1, -1):
-        wide = np.where(width > s, at[None, :], np.int16(block))
-        run = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - at[None, :]
-        np.putmask(best, (run >= np.minimum(COUNT[s], left)) & (left > 0), np.uint8(s))
+        if s and top < 1 << int(BITS[s - 1]):
+            continue  # the selector before holds more ids and fits them all
+        fits = np.ones((blocks, block + int(COUNT[s])), bool)  # what lies beyond a block fits
+        fits[:, :block] = (small < 1 << int(BITS[s])).reshape(blocks, block)
+        span = 1
+        while span * 2 <= COUNT[s]:
+            fits, span = fits[:, :-span] & fits[:, span:], span * 2
+        rest = int(COUNT[s]) - span
+        if rest:
+            fits = fits[:, :-rest] & fits[:, rest:]
+        np.putmask(best, fits[:, :block], np.uint8(s))
     step = np.append(COUNT, [0, 1])[best]  # by position: how far its word goes
     base = np.arange(blocks, dtype=np.int64) * block
     pos, live, starts, owners = np.zeros(blocks, np.int64), np.arange(blocks), [], []

@@ -8,7 +8,6 @@ through the library once per worker and batch of texts; repeats are looked up.
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rolling
 from .common import byte_batches, only
 
-#: The code points with Unicode property White_Space.
-_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The same without space and line end, one by one.
-_OTHER_BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-#: Byte-level pre-tokenizers start a piece at a blank before a non-blank and
-#: keep longer runs of blanks together up to the last one.
-_BYTE_LEVEL = re.compile(f"[ \n]?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: UTF-8 of the code points beyond ASCII with Unicode property White_Space.
+_WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,17 +33,16 @@ class PieceEncoder:
 
     Works by pieces for byte-level BPE without normalizer (``byte_level``) and
     for BPE whose pre-tokenizer drops white space (``drops_blanks``: text is
-    never joined across a space or line end); any other file, and any text that
-    holds a special string, goes through the library whole.  ``max_cached``
-    bounds the pieces kept between batches, the first ones seen; pieces longer
-    than ``max_piece`` characters are never kept.
-
-    A piece's key is the piece without its leading space; a piece without one
-    has a space before it as its key, and one that begins with a line end is
-    its own key.
+    never joined across a space or line end).  Any other file goes through the
+    library whole, as do texts that hold a special string or, in the first
+    case, blanks beyond ASCII.
+
+    Pieces are found, hashed (64 bits) and looked up as arrays; ``max_cached``
+    bounds those kept from batch to batch, the first ones seen, and pieces of
+    more than ``max_piece`` bytes are never kept.
     """
 
-    def __init__(self, path: str, max_cached: int = 500_000, max_piece: int = 40):
+    def __init__(self, path: str, max_cached: int = 1_500_000, max_piece: int = 40):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,45 +52,58 @@ class PieceEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.byte_level = pre.get("type") == "ByteLevel" and not norm and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
         self.drops_blanks = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
+        self.blank = np.zeros(256, bool)
+        self.blank[[10, 32] if self.drops_blanks else [9, 10, 11, 12, 13, 32]] = True
         if self.byte_level:
             vocab = self.tok.get_vocab()
             self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
             for token, i in vocab.items():
                 self.bytes_of[i] = len(token)  # one letter a byte
         self.max_cached, self.max_piece = max_cached, max_piece
-        self.slot: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of the pieces kept, and their slots
+        self.slot = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int64)  # by slot: where its ids are in the pool, and how many
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _keys(self, text: str) -> list[str]:
+    def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end bytes of all pieces of texts that lie in a row."""
+        blank = self.blank[data]
+        before = np.ones(len(data), bool)
+        before[1:] = blank[:-1]
+        before[begin[end > begin]] = True
         if self.drops_blanks:
-            return text.replace("\n", " ").split(" ")
-        keys = text.replace("\n", " \n").split(" ")
-        if not ("" in keys or "\n" in keys or "\n\n" in text or any(c in text for c in _OTHER_BLANKS)):
-            keys[0] = " " + keys[0]
-            return keys
-        found = _BYTE_LEVEL.findall(text)
-        return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" + _OTHER_BLANKS else p if p[0] == "\n" and len(p) > 1 and p[1] not in " \n" + _OTHER_BLANKS else " " + p for p in found]
-
-    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of each key's piece: first positions, counts, ids."""
+            starts = np.flatnonzero(~blank & before)
+            after = np.ones(len(data), bool)
+            after[:-1] = blank[1:]
+            after[end[end > begin] - 1] = True
+            return starts, np.flatnonzero(~blank & after) + 1
+        # a run of blanks is a piece but for its last, which begins the next piece
+        follows = np.zeros(len(data), bool)
+        follows[:-1] = ~blank[1:]
+        follows[end[end > begin] - 1] = False
+        start = blank & (~before | follows)
+        start[begin[end > begin]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], len(data)) if len(starts) else starts
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces: first positions, counts, ids."""
         if not self.byte_level:
-            return self._learn_each(keys)
-        odd = [k for k in keys if k[0] == " "]
-        run = [k if k[0] == "\n" else " " + k for k in keys if k[0] != " "]
+            return self._learn_each(pieces)
+        # pieces that begin with one blank and then a word can stand in a row as one text
+        odd = np.fromiter((p[0] not in " \n" or len(p) < 2 or p[1] in "\t\n\v\f\r " for p in pieces), bool, len(pieces))
+        run = [p for p, o in zip(pieces, odd) if not o]
         ids: list[np.ndarray] = []
         for at in range(0, len(run), 10_000):
             ids += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(["".join(run[at : at + 10_000])], add_special_tokens=False)]
         pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        ends = np.cumsum(self.bytes_of[pool])
-        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in run]) if run else np.zeros(0), "left") + 1
-        first_odd, count_odd, pool_odd = self._learn_each([k[1:] for k in odd])
-        count = np.empty(len(keys), np.int64)
-        first = np.empty(len(keys), np.int64)
-        is_odd = np.fromiter((k[0] == " " for k in keys), bool, len(keys))
-        first[~is_odd], count[~is_odd] = np.concatenate([[0], cuts[:-1]])[: len(run)], np.diff(cuts, prepend=0)
-        first[is_odd], count[is_odd] = first_odd + len(pool), count_odd
+        sizes = np.fromiter((len(p.encode()) for p in run), np.int64, len(run))
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[pool]), np.cumsum(sizes), "left") + 1
+        first_odd, count_odd, pool_odd = self._learn_each([p for p, o in zip(pieces, odd) if o])
+        first, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        first[~odd], count[~odd] = np.concatenate([[0], cuts[:-1]])[: len(run)], np.diff(cuts, prepend=0)
+        first[odd], count[odd] = first_odd + len(pool), count_odd
         return first, count, np.concatenate([pool, pool_odd])
 
     def _learn_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,69 +118,88 @@ class PieceEncoder:
         count = np.bincount(np.concatenate(words) if words else np.zeros(0, np.int64), minlength=len(pieces))
         return np.cumsum(count) - count, count, pool
 
-    def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _slots(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all pieces in a row, and how many pieces each text has."""
-        keys, many = [], []
-        for text in texts:
-            found = self._keys(text) if text else []
-            keys += found
-            many.append(len(found))
-        missing = list(set(keys).difference(self.slot))
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts], np.int64)
+        end = np.cumsum(size)
+        begin = end - size
+        starts, stops = self._pieces(data, begin, end)
+        hashes = rolling.mix(rolling.spans(rolling.prefix(data), starts, stops))
+        order = np.argsort(hashes, kind="quicksort")
+        ranked = hashes[order]
+        fresh = np.ones(len(ranked), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        unique, sample = ranked[fresh], order[fresh]
+        at = np.searchsorted(self.known, unique)
+        hit = at < len(self.known)
+        hit[hit] = self.known[at[hit]] == unique[hit]
+        found = np.empty(len(unique), np.int64)
+        found[hit] = self.slot[at[hit]]
+        new = np.flatnonzero(~hit)
         kept = len(self.first)
-        if missing:
-            first, count, pool = self._learn(missing)
+        if len(new):
+            raw = data.tobytes()
+            first, count, pool = self._learn([raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), stops[sample[new]].tolist())])
             self.first = np.concatenate([self.first, first + len(self.pool)])
             self.count = np.concatenate([self.count, count])
             self.pool = np.concatenate([self.pool, pool])
-            self.slot.update(zip(missing, range(kept, kept + len(missing))))
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
-        self._unused = missing, kept
-        return slots, np.array(many, np.int64)
-
-    def _forget(self) -> None:
-        """Drops what the last batch brought in beyond the bounds."""
-        missing, kept = self._unused
-        if len(self.slot) > self.max_cached:
-            for key in missing:
-                del self.slot[key]
+            found[new] = np.arange(kept, kept + len(new))
+        slots = np.empty(len(hashes), np.int64)
+        slots[order] = np.repeat(found, np.diff(np.append(np.flatnonzero(fresh), len(ranked))))
+        short = (stops - starts)[sample[new]] <= self.max_piece
+        self._fresh = unique[new][short], found[new][short], kept
+        return slots, np.searchsorted(starts, end) - np.searchsorted(starts, begin)
+
+    def _keep(self) -> None:
+        """Keeps what the last batch brought in, or drops it if the bound is reached."""
+        hashes, slots, kept = self._fresh
+        if len(self.known) + len(hashes) > self.max_cached:
             grown = int((self.first[:kept] + self.count[:kept]).max(initial=0))
             self.first, self.count, self.pool = self.first[:kept], self.count[:kept], self.pool[:grown]
-        else:
-            for key in missing:
-                if len(key) > self.max_piece:
-                    del self.slot[key]
-
-    def _whole(self, text: str) -> bool:
-        return not (self.byte_level or self.drops_blanks) or any(s in text for s in self.special)
+        elif len(hashes):
+            known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
+            order = np.argsort(known, kind="stable")
+            self.known, self.slot = known[order], slot[order]
+
+    def _split(self, texts: list[str]) -> tuple[dict[int, list[int]], list[bytes]]:
+        """Ids of the texts that must go whole, and the bytes of the others (empty for those)."""
+        whole, parts = {}, []
+        for i, text in enumerate(texts):
+            data = text.encode()
+            if not (self.byte_level or self.drops_blanks) or any(s in text for s in self.special) or self.byte_level and not text.isascii() and any(b in data for b in _WIDE_BLANKS):
+                whole[i], data = self.tok.encode(text, add_special_tokens=False).ids, b""
+            parts.append(data)
+        return whole, parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (unsigned 32-bit), and the number of ids of each text."""
-        whole = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if self._whole(t)}
-        slots, many = self._slots(["" if i in whole else t for i, t in enumerate(texts)])
+        whole, parts = self._split(texts)
+        slots, many = self._slots(parts)
         count = self.count[slots]
         ends = np.concatenate([[0], np.cumsum(count)])
         out = self.pool[np.repeat(self.first[slots] - ends[:-1], count) + np.arange(ends[-1])]
         cuts = np.concatenate([[0], np.cumsum(many)])
         lengths = ends[cuts[1:]] - ends[cuts[:-1]]
-        self._forget()
+        self._keep()
         if whole:
-            parts, at = [], 0
+            rows, at = [], 0
             for i, n in enumerate(lengths):
-                parts.append(whole.get(i, out[at : at + n]))
+                rows.append(np.array(whole[i], np.uint32) if i in whole else out[at : at + n])
                 at += n
-            out, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            out, lengths = np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
         return out, lengths
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The number of ids of each text."""
-        whole = {i: len(self.tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self._whole(t)}
-        slots, many = self._slots(["" if i in whole else t for i, t in enumerate(texts)])
+        whole, parts = self._split(texts)
+        slots, many = self._slots(parts)
         ends = np.concatenate([[0], np.cumsum(self.count[slots])])
         cuts = np.concatenate([[0], np.cumsum(many)])
         out = ends[cuts[1:]] - ends[cuts[:-1]]
-        self._forget()
-        for i, n in whole.items():
-            out[i] = n
+        self._keep()
+        for i, ids in whole.items():
+            out[i] = len(ids)
         return out
 
 
