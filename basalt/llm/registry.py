@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aho, language, packing, quality, simhash, simple8b, tokens
+from . import aho, language, packing, quality, simhash, simple8b, suffix, tokens
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op6_simhash, op7_quality, op8_decontamination, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op6_simhash, op7_quality, op8_decontamination, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,82 @@
+import hashlib
+import random
+import tempfile
+
+import numpy as np
+import pytest
+
+from basalt.llm import suffix
+
+
+def brute_mask(texts, length):
+    count = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        mask = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                mask[i : i + length] = True
+        out.append(mask)
+    return out
+
+
+def random_texts(rng, letters, pieces, longest):
+    base = bytes(rng.choice(letters) for _ in range(600))
+    out = []
+    for _ in range(rng.randint(1, pieces)):
+        t = b""
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.random()
+            if kind < 0.6:
+                at = rng.randint(0, 500)
+                t += base[at : at + rng.randint(5, longest)]
+            elif kind < 0.7:
+                t += b"ab" * rng.randint(1, longest)
+            else:
+                t += bytes(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+        out.append(t)
+    return out
+
+
+def test_columns_find_what_brute_force_finds():
+    rng = random.Random(3)
+    for _ in range(120):
+        length, k = rng.choice([12, 20]), rng.choice([4, 6])
+        texts = random_texts(rng, b"abcd", 8, 60)
+        found = suffix.anchors(texts, length, k)
+        groups = {}
+        for i in range(len(found["text"])):
+            groups.setdefault(found["akey"][i], []).append(i)
+        rows = [(g, i) for g, own in enumerate(groups.values()) for i in own]
+        masks = [np.zeros(len(t), bool) for t in texts]
+        if rows:
+            segments = [texts[found["text"][i]][found["first"][i] : found["last"][i] + length] for _, i in rows]
+            lead = np.array([found["place"][i] - found["first"][i] for _, i in rows])
+            with tempfile.TemporaryDirectory() as folder:
+                hits = suffix.repeated_windows(np.array([g for g, _ in rows]), segments, lead, length, folder)
+            for s, w in zip(*hits):
+                i = rows[s][1]
+                masks[found["text"][i]][found["first"][i] + w :][:length] = True
+        for got, expected in zip(masks, brute_mask(texts, length)):
+            assert (got == expected).all()
+
+
+@pytest.mark.parametrize("at_once", [8192, 4])
+def test_documents_of_every_kind(spark, at_once):
+    rng = random.Random(8)
+    texts = [t.decode() for t in random_texts(rng, b"abcdefgh ", 30, 500)]
+    texts += [None, "", "x" * 199, "y" * 200, "z" * 201, "é" * 150, texts[0], "short"]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "lone " * 10, "a"), (3, texts[3], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = suffix.remove_repeats(docs, segments_at_once=at_once, keep_text=True).collect()
+    data = [(t or "").encode() for _, t, _ in rows]
+    expected = []
+    for (i, _, _), t, mask in zip(rows, data, brute_mask(data, 200)):
+        kept = np.frombuffer(t, np.uint8)[~mask].tobytes() if t else b""
+        spans = int((np.diff(np.append(0, mask.astype(int))) == 1).sum())
+        expected.append((str(i), len(t), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in got) == sorted(expected)
+    assert suffix.remove_repeats(docs.limit(0)).count() == 0
