@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aho, language, packing, quality, simhash, simple8b, suffix, tokens
+from . import aho, interpolation, language, packing, quality, simhash, simple8b, suffix, tokens
 from .common import read_table
 
 
@@ -41,6 +41,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op6_simhash, op7_quality, op8_decontamination, op9_token_counts)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_lm_scores)}
 
 ORACLE_SQL: dict[str, str] = {}

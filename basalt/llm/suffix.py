@@ -21,10 +21,11 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
+from .blobs import as_frame, dealt, stream, unstream
 from .common import Scratch, byte_batches, only, shuffle_partitions
 
 #: Bytes of an anchor: windows of 200 bytes have 137 places for one.
@@ -155,45 +156,10 @@ def _blobs(batch: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
     out = []
     for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-        sink = pa.BufferOutputStream()
-        rows = batch.take(pa.array(order[a:b]))
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(rows)
-        out.append(sink.getvalue().to_pybytes())
+        out.append(stream(batch.take(pa.array(order[a:b]))))
     return pa.RecordBatch.from_arrays([pa.array(part[order[cuts]] if len(cuts) else [], pa.int32()), pa.array(out, pa.binary())], names=["part", "blob"])
 
 
-def _unblob(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
-def _part(key: int) -> int:
-    return key
-
-
-def _dealt(df: DataFrame, parts: int):
-    """An RDD of (part, blob) dealt out by part; its shuffle serves every job that reads it."""
-    return df.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, _part)
-
-
-def _as_frame(spark: SparkSession, rdd, schema: str) -> DataFrame:
-    """A DataFrame of an RDD of Arrow streams with the schema's columns."""
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column(0):
-                yield from _unblob(blob.as_py()).to_batches()
-
-    return spark.createDataFrame(rdd.map(lambda b: (b,)), "blob binary").mapInArrow(run, schema)
-
-
-def _stream(table: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(table)
-    return sink.getvalue().to_pybytes()
-
-
 def _by_row(batches, parts: int):
     for batch in batches:
         if batch.num_rows:
@@ -250,12 +216,12 @@ def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batc
     wanted = marked.where("mixed and n = 1").select("row", "pos", "akey", F.lit(True).alias("single"))
     shared = marked.where("mixed and n > 1").groupBy("akey", "segkey").agg(F.min(F.struct("row", "pos")).alias("one"))
     wanted = wanted.union(shared.select("one.row", "one.pos", "akey", F.lit(False)))
-    requests = _dealt(wanted.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
+    requests = dealt(wanted.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def cut(items):
         asked, out = [], []
         for _, blob in items:  # the requests come before the texts
-            table = _unblob(blob)
+            table = unstream(blob)
             if "pos" in table.column_names:
                 asked.append(table)
                 continue
@@ -283,9 +249,9 @@ def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batc
             yield _segments(out)
 
     def _segments(out):
-        return _stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["akey", "row", "first", "lead", "single", "bytes"]))
+        return stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["akey", "row", "first", "lead", "single", "bytes"]))
 
-    pieces = _as_frame(spark, spark.sparkContext.union([requests, texts]).mapPartitions(cut), "akey long, row long, first long, lead int, single boolean, bytes binary")
+    pieces = as_frame(spark, spark.sparkContext.union([requests, texts]).mapPartitions(cut), "akey long, row long, first long, lead int, single boolean, bytes binary")
     grouped = pieces.repartition(parts, "akey").sortWithinPartitions("akey")
 
     def sort_columns(batches):
@@ -351,14 +317,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             table = pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(texts, pa.binary())], names=["row", "doc_id", "text"])
             yield _blobs(table, (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
-    texts = _dealt(source.mapInArrow(number, "part int, blob binary"), parts)
+    texts = dealt(source.mapInArrow(number, "part int, blob binary"), parts)
     spans = repeated_spans(source, texts, scratch, length, batch_bytes, segments_at_once)
-    spans = _dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
+    spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def finish(items):
         marks = []
         for _, blob in items:  # the spans come before the texts
-            table = _unblob(blob)
+            table = unstream(blob)
             if "first" in table.column_names:
                 marks.append(table)
                 continue
@@ -381,10 +347,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             columns = list(zip(*out))
             arrays = [table["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
-            yield _stream(pa.RecordBatch.from_arrays(arrays[: 5 + keep_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]))
+            yield stream(pa.RecordBatch.from_arrays(arrays[: 5 + keep_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]))
 
     done = spark.sparkContext.union([spans, texts]).mapPartitions(finish)
-    return _as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def merge_spans(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:

@@ -1,0 +1,56 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from basalt.llm import interpolation as lm
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def tokens(text):
+    lowered = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    return [*WORD.findall(lowered), None]
+
+
+def expected(rows, weights):
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode())
+    one, two = Counter(), Counter()
+    for d, t in rows:
+        if crc(d) % 7 != 2:
+            one.update(tokens(t))
+            two.update(zip([b" ", *tokens(t)], tokens(t)))
+    n, v = sum(one.values()), len(one)
+    out = []
+    for d, t in rows:
+        seq, base, score = tokens(t), 0.0, 0.0
+        for before, w in zip([b" ", *seq], seq):
+            c = one[None] if before == b" " else one[before]
+            l2, l1, l0 = weights[lm.bucket_of(np.array([c]))[0]]
+            base += math.log10((one[w] + 1) / (n + v + 1))
+            score += math.log10(l2 * two[before, w] / max(c, 1) + l1 * one[w] / max(n, 1) + l0 / (v + 1)) if n else 0.0
+        out.append((str(d), crc(d) % 7 == 2, len(seq), sum(one[w] > 0 for w in seq), n, round(base, 6), round(score, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [40, 0])
+def test_scores_are_those_of_plain_counting(spark, monkeypatch, size):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["a", "B", "cc", "dé", "\te", "f\n"], rng.integers(0, 30)))) for i in range(size)]
+    rows += [(100, None), (101, ""), (None, "A b"), (3, "a a a"), (102, "long " * 4000)] if size else []
+    seen = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda cells: seen.append(learn(cells)) or seen[-1])
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, score string")
+    got = lm.score_documents(docs, batch_tokens=50).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == expected(rows, seen[0])
+
+
+def test_weights_are_a_distribution_and_follow_the_held_out_counts():
+    cell = lambda b, two, one: (b << 28) + (two + 4096 << 14) + (one + 4096)
+    weights = lm.learn_weights({cell(5, 60, 10): 1000, cell(2, -4096, 40): 1000})
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all()
+    assert weights[5][0] > 0.9 and weights[2][1] > 0.9 and weights[0][0] == 0
