@@ -218,7 +218,7 @@ def learn_weights(cells: dict[int, int], rounds: int = 100) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, batch_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, batch_tokens: int = 800_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose id's crc32 modulo 7 is not 2; a tenth of those
@@ -237,6 +237,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     id_type = docs.schema[id_col].dataType
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), id_crc(F.col(f"`{id_col}`"), 1 << 33).alias("crc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if not source.count():
+        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     dealt_out = dealt(_ask(source, parts, batch_bytes, batch_tokens), parts)
     answered = dealt_out.mapPartitionsWithIndex(_answer(parts))
     scratch = Scratch(spark, "interpolation")

@@ -22,7 +22,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 to n-1, and their inverses."""
     if len(_held.get("up", ())) < n:
-        size = 1 << max(n - 1, 1).bit_length()
+        size = -(-n // 65536) * 65536
         _held["up"], _held["down"] = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
     return _held["up"], _held["down"]
 

@@ -21,7 +21,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -203,55 +203,64 @@ def _unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos >> 24, pos >> 12 & 4095, pos & 4095
 
 
-def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int) -> DataFrame:
+def _requested(items, take):
+    """Calls ``take(row, text, akeys, positions, singles)`` for each text that is asked for; requests come before texts."""
+    asked, rows = [], None
+    for _, blob in items:
+        table = unstream(blob)
+        if "pos" in table.column_names:
+            asked.append(table)
+            continue
+        if not asked:
+            continue
+        if rows is None:
+            held = pa.concat_tables(asked).sort_by("row")
+            rows, pos, akey = (held[n].to_numpy() for n in ("row", "pos", "akey"))
+            single = held["single"].to_numpy(zero_copy_only=False)
+        for row, text in zip(table["row"].to_pylist(), table["text"]):
+            a, b = np.searchsorted(rows, row, "left"), np.searchsorted(rows, row, "right")
+            if a < b:
+                yield from take(row, text.as_py(), akey[a:b], pos[a:b], single[a:b])
+
+
+def _batched(rows, kinds: dict, size: int):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds)))
+            held = []
+    if held:
+        yield stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds)))
+
+
+def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, crowd: int) -> DataFrame:
     """row, first, end of repeated bytes; spans of one row may overlap."""
     spark, parts = source.sparkSession, shuffle_partitions(source.sparkSession)
     counted = anchor_counts(source, length, batch_bytes).repartition(parts, "akey").groupBy("akey", "segkey").agg(F.sum("n").alias("n"))
-    per_anchor = counted.groupBy("akey").agg(F.sum("n").alias("all"), F.collect_list(F.struct("segkey", "n")).alias("segs"))
-    kept = scratch.table("segments", per_anchor.where("all > 1").select("akey", (F.size("segs") > 1).alias("mixed"), F.explode("segs").alias("seg")).select("akey", "mixed", "seg.segkey", "seg.n"))
-    marked = scratch.table("anchors", anchor_rows(source, length, batch_bytes).join(kept, ["akey", "segkey"]).select("akey", "segkey", "row", "pos", "mixed", "n"))
+    whole = Window.partitionBy("akey")
+    counted = counted.withColumn("all", F.sum("n").over(whole)).withColumn("kinds", F.count(F.lit(1)).over(whole)).where("all > 1")
+    kept = scratch.table("segments", counted.select("akey", "segkey", "n", "kinds"))
+    marked = scratch.table("anchors", anchor_rows(source, length, batch_bytes).join(kept, ["akey", "segkey"]).select("akey", "segkey", "row", "pos", "kinds", "n"))
 
     first, windows = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(F.lit(4095))
     covers = marked.where("n > 1").select("row", first.alias("first"), (first + windows + length).alias("end"))
-    wanted = marked.where("mixed and n = 1").select("row", "pos", "akey", F.lit(True).alias("single"))
-    shared = marked.where("mixed and n > 1").groupBy("akey", "segkey").agg(F.min(F.struct("row", "pos")).alias("one"))
-    wanted = wanted.union(shared.select("one.row", "one.pos", "akey", F.lit(False)))
-    requests = dealt(wanted.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
-
-    def cut(items):
-        asked, out = [], []
-        for _, blob in items:  # the requests come before the texts
-            table = unstream(blob)
-            if "pos" in table.column_names:
-                asked.append(table)
-                continue
-            if not asked:
-                continue
-            if len(asked) > 1 or isinstance(asked[0], pa.Table):
-                held = pa.concat_tables(asked)
-                rows = held["row"].to_numpy()
-                rank = np.argsort(rows, kind="stable")
-                asked = [(rows[rank], held["pos"].to_numpy()[rank], held["akey"].to_numpy()[rank], held["single"].to_numpy(zero_copy_only=False)[rank])]
-            rows, pos, akey, single = asked[0]
-            for row, text in zip(table["row"].to_pylist(), table["text"]):
-                a, b = np.searchsorted(rows, [row, row + 1]) if row < (1 << 63) - 1 else (np.searchsorted(rows, row), len(rows))
-                if a == b:
-                    continue
-                data = text.as_py()
-                start, many, lead = _unpack(pos[a:b])
-                for i in range(b - a):
-                    s = int(start[i])
-                    out.append((int(akey[a + i]), row, s, int(lead[i]), bool(single[a + i]), data[s : s + int(many[i]) + length]))
-            if len(out) > 20_000:
-                yield _segments(out)
-                out = []
-        if out:
-            yield _segments(out)
-
-    def _segments(out):
-        return stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["akey", "row", "first", "lead", "single", "bytes"]))
-
-    pieces = as_frame(spark, spark.sparkContext.union([requests, texts]).mapPartitions(cut), "akey long, row long, first long, lead int, single boolean, bytes binary")
+    wanted = marked.where("kinds > 1 and n = 1").select("row", "pos", "akey", "kinds", F.lit(True).alias("single"))
+    shared = marked.where("kinds > 1 and n > 1").groupBy("akey", "segkey").agg(F.min(F.struct("row", "pos", "kinds")).alias("one"))
+    wanted = wanted.union(shared.select("one.row", "one.pos", "akey", "one.kinds", F.lit(False)))
+
+    def requests(which: str):
+        chosen = wanted.where(which).drop("kinds")
+        return spark.sparkContext.union([dealt(chosen.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts), texts])
+
+    def cut(row, data, akey, pos, single):
+        start, many, lead = _unpack(pos)
+        for i in range(len(pos)):
+            s = int(start[i])
+            yield int(akey[i]), row, s, int(lead[i]), bool(single[i]), data[s : s + int(many[i]) + length]
+
+    kinds = {"akey": pa.int64(), "row": pa.int64(), "first": pa.int64(), "lead": pa.int32(), "single": pa.bool_(), "bytes": pa.binary()}
+    pieces = as_frame(spark, requests(f"kinds <= {crowd}").mapPartitions(lambda items: _batched(_requested(items, cut), kinds, 8192)), "akey long, row long, first long, lead int, single boolean, bytes binary")
     grouped = pieces.repartition(parts, "akey").sortWithinPartitions("akey")
 
     def sort_columns(batches):
@@ -270,8 +279,21 @@ def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batc
             base = start[segment[at]]
             yield pa.RecordBatch.from_arrays([pa.array(row[segment[at]]), pa.array(base + window[at]), pa.array(base + last + length)], names=["row", "first", "end"])
 
-    sorted_out = grouped.mapInArrow(sort_columns, "row long, first long, end long")
-    return covers.union(sorted_out)
+    found = covers.union(grouped.mapInArrow(sort_columns, "row long, first long, end long"))
+    if kept.where(f"kinds > {crowd}").isEmpty():
+        return found
+
+    def windows_of(row, data, akey, pos, single):
+        start, many, _ = _unpack(pos)
+        for i in range(len(pos)):
+            for s in range(int(start[i]), int(start[i] + many[i]) + 1):
+                yield int(akey[i]), xxhash.xxh3_64_intdigest(data[s : s + length]) - (1 << 63), row, s, bool(single[i])
+
+    kinds = {"akey": pa.int64(), "window": pa.int64(), "row": pa.int64(), "first": pa.int64(), "single": pa.bool_()}
+    alone = as_frame(spark, requests(f"kinds > {crowd}").mapPartitions(lambda items: _batched(_requested(items, windows_of), kinds, 65536)), "akey long, window long, row long, first long, single boolean")
+    alone = scratch.table("windows", alone)
+    twice = alone.groupBy("akey", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey", "window")
+    return found.union(alone.where("single").join(twice, ["akey", "window"], "left_semi").select("row", "first", (F.col("first") + length).alias("end")))
 
 
 def _whole_anchors(batches, at_once: int):
@@ -292,7 +314,7 @@ def _whole_anchors(batches, at_once: int):
         yield held
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 4 << 20, segments_at_once: int = 8192, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 8192, crowd: int = 50_000, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes.
 
     Removes every byte that lies in a string of ``length`` bytes that starts
@@ -301,6 +323,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     repeated rows and copies repeat each other and lose all; a null id stays
     null; an empty table gives none; other columns are not read.
 
+    An anchor that over ``crowd`` different segments share is a passage cut off
+    in ever other places; its windows are counted one by one, by their hashes,
+    dealt out by window, so that no task holds such a group.
+
     The texts are shuffled once, compressed; both jobs that need them by row
     read that one shuffle.
     """
@@ -311,14 +337,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def number(batches):
-        for batch in byte_batches(batches, 2 * batch_bytes):
+        for batch in byte_batches(batches, 4 * batch_bytes):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             rows = np.array([row_id(d, t) for d, t in zip(batch.column(0).to_pylist(), texts)], np.uint64).view(np.int64)
             table = pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(texts, pa.binary())], names=["row", "doc_id", "text"])
             yield _blobs(table, (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
     texts = dealt(source.mapInArrow(number, "part int, blob binary"), parts)
-    spans = repeated_spans(source, texts, scratch, length, batch_bytes, segments_at_once)
+    spans = repeated_spans(source, texts, scratch, length, batch_bytes, segments_at_once, crowd)
     spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def finish(items):

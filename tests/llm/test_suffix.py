@@ -64,14 +64,14 @@ def test_columns_find_what_brute_force_finds():
             assert (got == expected).all()
 
 
-@pytest.mark.parametrize("at_once", [8192, 4])
-def test_documents_of_every_kind(spark, at_once):
+@pytest.mark.parametrize("at_once,crowd", [(8192, 50_000), (4, 50_000), (8, 3)])
+def test_documents_of_every_kind(spark, at_once, crowd):
     rng = random.Random(8)
     texts = [t.decode() for t in random_texts(rng, b"abcdefgh ", 30, 500)]
     texts += [None, "", "x" * 199, "y" * 200, "z" * 201, "é" * 150, texts[0], "short"]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "lone " * 10, "a"), (3, texts[3], "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, first string")
-    got = suffix.remove_repeats(docs, segments_at_once=at_once, keep_text=True).collect()
+    got = suffix.remove_repeats(docs, segments_at_once=at_once, crowd=crowd, keep_text=True).collect()
     data = [(t or "").encode() for _, t, _ in rows]
     expected = []
     for (i, _, _), t, mask in zip(rows, data, brute_mask(data, 200)):
