@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aho, interpolation, language, packing, quality, simhash, simple8b, suffix, tokens
+from . import aho, interpolation, language, ordermin, packing, quality, simhash, simple8b, suffix, tokens
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op5_order_minhash, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_lm_scores)}
 
 ORACLE_SQL: dict[str, str] = {}
