@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import carried, carried_schema, only
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -73,20 +73,21 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
     return blocks
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, spans: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, spans: bool = False, carry: str | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked, spans.
 
     ``spans`` are the maximal runs of hit words as [first byte, end byte) of the
     original text.  One row per input row; a null or empty text has no words; a
     null item id counts as the text "null"; items without words and an empty
     benchmark match nothing; repeated items count by their id.  Columns besides
-    the named ones are not read.  No shuffle: each block of items goes to the
+    the named ones are not read, but for ``carry``, which comes back with its
+    row.  No shuffle: each block of items goes to the
     executors and every text is scanned once a block.
     """
     spark = docs.sparkSession
     held = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_col, item_text_col, block_bytes)]
     kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<first:long,end:long>>" * spans
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<first:long,end:long>>" * spans + carried_schema(docs, carry)
 
     def run(batches):
         automata = [WindowAutomaton(b.value, window) for b in held]
@@ -113,9 +114,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                 out.append(row)
             columns = list(zip(*out)) if out else [[]] * (5 + spans)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: 6 + spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[2:]], names=[*["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: 6 + spans], *batch.schema.names[2:]])
 
-    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
     return source.mapInArrow(run, schema)
 
 

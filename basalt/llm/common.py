@@ -79,6 +79,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def carried(carry: str | None) -> list[Column]:
+    """The column that travels with its row through an operator, if any; no operator has one of this name."""
+    return [F.col(f"`{carry}`").alias("carried")] if carry else []
+
+
+def carried_schema(df: DataFrame, carry: str | None) -> str:
+    return f", carried {df.schema[carry].dataType.simpleString()}" if carry else ""
+
+
 def id_crc(column: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

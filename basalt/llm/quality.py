@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import byte_batches, id_crc, only
+from .common import byte_batches, carried, carried_schema, id_crc, only
 
 
 class Features:
@@ -135,13 +135,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     return SubwordModel.fit([t.encode() for _, t, _ in rows], [k for _, _, k in rows], features=features)
 
 
-def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, batch_bytes: int = 2 << 20) -> DataFrame:
+def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, batch_bytes: int = 2 << 20, carry: str | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Whole texts are scored, in one pass and without a shuffle.  A null text is
     empty and gets the score of the bias, as does a text without features; one
     row per input row, repeats and ties included; a null id is not held out;
-    an empty table gives an empty table; other columns are not read.
+    an empty table gives an empty table; other columns are not read, but for
+    ``carry``, which comes back with its row.
     """
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -151,7 +152,7 @@ def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id
         model = held.value
         for batch in byte_batches(batches, batch_bytes):
             score = model.scores([(t.as_py() or "").encode() for t in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
 
-    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), (id_crc(F.col(f"`{id_col}`"), 4) == 2).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (id_crc(F.col(f"`{id_col}`"), 4) == 2).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
+    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + carried_schema(docs, carry))

@@ -26,6 +26,10 @@ from .components import connected_components
 _BITS = np.array([[b >> j & 1 for j in range(8)] for b in range(256)], np.int64)
 
 
+#: Buckets of at most so many rows are paired together, larger ones one by one.
+SMALL = 32
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the 64-bit hashes, as a signed 64-bit integer."""
     n = len(hashes)
@@ -80,15 +84,12 @@ def _links(batch: dict[str, np.ndarray], tau: int, segments: int, extra) -> tupl
     checks = [k for k in range(segments) if k == segments - 1 or share[k + 1] > share[k]]
     label = np.arange(n)
     held_a, held_b, held = [], [], 0
-    at, apart = np.arange(n), 1
-    while True:
-        at = at[at < n - apart]
-        at = at[group[at] == group[at + apart]]
-        if not len(at):
-            break
-        other = at + apart
-        ok = (batch["used"][at] == 0) | (batch["used"][other] == 0)
-        a, b = at[ok], other[ok]
+
+    def keep_links(a: np.ndarray, b: np.ndarray) -> None:
+        """Of pairs of rows within ``tau`` bits, those whose whole chain keeps to its budget."""
+        nonlocal label, held_a, held_b, held
+        ok = (batch["used"][a] == 0) | (batch["used"][b] == 0)
+        a, b = a[ok], b[ok]
         diff = turned[a] ^ turned[b]
         for k in checks:
             keep = np.bitwise_count(diff >> (64 - steps[batch["ring"][a], k]).astype(np.uint64)) <= share[k]
@@ -96,13 +97,27 @@ def _links(batch: dict[str, np.ndarray], tau: int, segments: int, extra) -> tupl
         if extra is not None and len(a):
             keep = extra(batch, a, b)
             a, b = a[keep], b[keep]
-        if len(a):
-            held_a.append(a)
-            held_b.append(b)
-            held += len(a)
-            if held > 1_000_000:
-                label = _forest(label, np.concatenate(held_a), np.concatenate(held_b))
-                held_a, held_b, held = [], [], 0
+        held_a, held_b, held = [*held_a, a], [*held_b, b], held + len(a)
+        if held > 1_000_000:
+            label = _forest(label, np.concatenate(held_a), np.concatenate(held_b))
+            held_a, held_b, held = [], [], 0
+
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(cuts, n))
+    for first, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = turned[first : first + size]
+        for i in range(0, size, 256):
+            near = np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= tau
+            a, b = np.nonzero(near)
+            a, b = a[b > a], b[b > a]
+            keep_links(first + i + a, first + i + b)
+    at, apart = np.flatnonzero((sizes <= SMALL)[group]) if n else np.zeros(0, np.int64), 1
+    while True:
+        at = at[at < n - apart]
+        at = at[group[at] == group[at + apart]]
+        if not len(at):
+            break
+        keep_links(at, at + apart)
         apart += 1
     if held:
         label = _forest(label, np.concatenate(held_a), np.concatenate(held_b))
@@ -223,6 +238,68 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) ->
     return source.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, key (of id and text), fp of the words and s0 to s3, 256 bits of the shingles."""
+    kind = dict(docs.dtypes)[id_col]
+    salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
+
+    def run(batches):
+        for batch in byte_batches(batches, 8 << 20):
+            out = []
+            for text in batch.column(2):
+                shingles = shingle_hashes(text.as_py(), words)
+                bits = [majority(shingles), *(majority(rolling.mix(shingles ^ s)) for s in salts)]
+                single, times = np.unique(shingle_hashes(text.as_py(), 1), return_counts=True)
+                votes = np.unpackbits(single.view(np.uint8), bitorder="little").reshape(-1, 64) * np.sqrt(times)[:, None] if len(single) else np.zeros((1, 64))
+                fp = np.packbits(votes.sum(axis=0) * 2 > np.sqrt(times).sum(), bitorder="little").view("<i8")[0]
+                out.append((int(fp), *bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5))], names=["doc_id", "key", "fp", "s0", "s1", "s2", "s3"])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
+    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, s0 long, s1 long, s2 long, s3 long")
+
+
+def shingle_bits(similarity: float) -> int:
+    """Of 256 bits, how many may differ between texts whose shingles have this Jaccard similarity.
+
+    The expected number, by the angle between the shingle counts, and one
+    standard deviation more.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(256 * p + np.sqrt(256 * p * (1 - p)))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = 8, segments: int = 9, hot: int = 16_384) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near-duplicates: of each group the least id stays.
+
+    Fingerprints of the words, which a few edits hardly change, find pairs
+    within ``tau`` bits by pigeonring filtering; a pair is a link if 256 bits of
+    SimHash over shingles of ``words`` words say that the texts' similarity is
+    ``similarity`` or more.  A null text counts as empty; texts without words
+    are copies of each other; of rows that are equal in id and text one stays;
+    null ids give way to any other; an empty table gives none.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    sketch = ["fp", "s0", "s1", "s2", "s3"]
+    marked = scratch.table("sketches", _sketches(docs, id_col, text_col, words).withColumn("node", F.xxhash64(*sketch)))
+    nodes = scratch.table("nodes", marked.select("node", *sketch).distinct())
+    limit = shingle_bits(similarity)
+
+    def alike(batch, a, b):
+        return sum(np.bitwise_count(batch[s].view(np.uint64)[a] ^ batch[s].view(np.uint64)[b]).astype(np.int64) for s in sketch[1:]) <= limit
+
+    roots = connected_components(link_forest(nodes, scratch, tau=tau, segments=segments, hot=hot, extra=alike), scratch)
+    grouped = marked.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"))
+    kept = scratch.table("kept", best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
+    key = F.xxhash64(F.lit(1), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")))
+    out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
+    if marked.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates([id_col, text_col])
+
+
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tau: int = 2, segments: int = 8) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id it is linked to).
 

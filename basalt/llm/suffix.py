@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .blobs import as_frame, dealt, stream, unstream
-from .common import Scratch, byte_batches, only, shuffle_partitions
+from .common import Scratch, byte_batches, carried, carried_schema, only, shuffle_partitions
 
 #: Bytes of an anchor: windows of 200 bytes have 137 places for one.
 ANCHOR = 64
@@ -314,14 +314,16 @@ def _whole_anchors(batches, at_once: int):
         yield held
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 8192, crowd: int = 50_000, keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 8192, crowd: int = 50_000, keep_text: bool = False, carry: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes
+    and the text that they are, without characters that were cut apart.
 
     Removes every byte that lies in a string of ``length`` bytes that starts
     anywhere else in the table, the same text included; strings are judged on
     the input.  A null text is empty; texts shorter than ``length`` keep all;
     repeated rows and copies repeat each other and lose all; a null id stays
-    null; an empty table gives none; other columns are not read.
+    null; an empty table gives none; other columns are not read, but for
+    ``carry``, which comes back with its row.
 
     An anchor that over ``crowd`` different segments share is a passage cut off
     in ever other places; its windows are counted one by one, by their hashes,
@@ -336,14 +338,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "suffix")
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
+
     def number(batches):
         for batch in byte_batches(batches, 4 * batch_bytes):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             rows = np.array([row_id(d, t) for d, t in zip(batch.column(0).to_pylist(), texts)], np.uint64).view(np.int64)
-            table = pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(texts, pa.binary())], names=["row", "doc_id", "text"])
+            table = pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], names=["row", "doc_id", "text", *batch.schema.names[2:]])
             yield _blobs(table, (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
-    texts = dealt(source.mapInArrow(number, "part int, blob binary"), parts)
+    texts = dealt(own.mapInArrow(number, "part int, blob binary"), parts)
     spans = repeated_spans(source, texts, scratch, length, batch_bytes, segments_at_once, crowd)
     spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
@@ -370,13 +374,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     kept.append(data[at:s])
                     at = e
                 kept = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, kept.decode(errors="ignore")))
             columns = list(zip(*out))
-            arrays = [table["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
-            yield stream(pa.RecordBatch.from_arrays(arrays[: 5 + keep_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]))
+            arrays = [table["doc_id"].combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())))]
+            more = [n for n in table.column_names if n == "carried"]
+            own = 5 + 2 * keep_text
+            names = [*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"][:own], *more]
+            yield stream(pa.RecordBatch.from_arrays([*arrays[:own], *(table[n].combine_chunks() for n in more)], names=names))
 
     done = spark.sparkContext.union([spans, texts]).mapPartitions(finish)
-    return as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * keep_text + carried_schema(docs, carry))
 
 
 def merge_spans(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
