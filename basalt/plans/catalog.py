@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.columns import bucket, safe_float
@@ -19,10 +19,13 @@ from basalt.sources import readers, writers
 from basalt.streaming import messages
 from basalt.workspace import Scratch
 
-LEFT = F.col("l_returnflag") == "R"
 EVENT_MESSAGE = "ID int, name string, category string, price float, last_updated string"
 
 
+def _left() -> Column:
+    return F.col("l_returnflag") == "R"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +47,7 @@ def segment_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag")
     named = orders.join(customer, "o_custkey").select("o_orderkey", "o_orderpriority", "c_mktsegment")
     joined = lines.join(named, "o_orderkey").join(part, "l_partkey")
-    totals = joined.groupBy("o_orderpriority", "c_mktsegment", "p_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(LEFT).alias("returned"))
+    totals = joined.groupBy("o_orderpriority", "c_mktsegment", "p_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(_left()).alias("returned"))
     rate = F.round(F.col("returned") / F.col("total"), 4)
     return totals.withColumn("return_rate", rate).orderBy(F.col("return_rate").desc(), "o_orderpriority", "c_mktsegment", "p_type").limit(10)
 
@@ -52,7 +55,7 @@ def segment_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_segment_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate by priority and segment over the fact with surrogate keys."""
     dims = _dimensions(spark, sf_dir)[:2]
-    return analytics.segment_rate(_fact(spark, sf_dir, dims), dims, LEFT, rows="total", hits="returned", share="return_rate")
+    return analytics.segment_rate(_fact(spark, sf_dir, dims), dims, _left(), rows="total", hits="returned", share="return_rate")
 
 
 def avg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +66,11 @@ QUANTITY = [(0, 12, "0–12"), (13, 24, "13–24"), (25, 36, "25–36"), (37, 48
 
 
 def rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.rate_by(_t(spark, sf_dir, "lineitem"), bucket(F.col("l_quantity"), QUANTITY, "48+"), LEFT, rows="lines", hits="returned", share="return_rate")
+    return analytics.rate_by(_t(spark, sf_dir, "lineitem"), bucket(F.col("l_quantity"), QUANTITY, "48+"), _left(), rows="lines", hits="returned", share="return_rate")
 
 
 def filtered_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.average_where(_t(spark, sf_dir, "lineitem"), "l_extendedprice", LEFT, name="avg_price")
+    return analytics.average_where(_t(spark, sf_dir, "lineitem"), "l_extendedprice", _left(), name="avg_price")
 
 
 def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt import schemas
@@ -11,12 +11,15 @@ from basalt.operators import analytics, merge, quality, star
 from basalt.sources.readers import read_text
 from basalt.sources.writers import write_files, write_table
 
-CHURNED = F.col("Churn") == "Yes"
 #: (dimension table, natural column, key, name of the column in the dimension)
 DIMENSIONS = [("dim_contract", "Contract", "contract_key", "contract_name"), ("dim_payment", "PaymentMethod", "payment_key", "payment_method"), ("dim_service_type", "InternetService", "service_key", "internet_service")]
 MEASURES = ["customerID", "tenure", "MonthlyCharges", "TotalCharges", "Churn"]
 
 
+def churned() -> Column:
+    return F.col("Churn") == "Yes"
+
+
 def land(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
     """Raw records as they were delivered."""
     return read_text(spark, path, schemas.TELECOM, header=header)
@@ -79,7 +82,7 @@ def publish_fact(fact: DataFrame, table: str, *, buckets: int = 4) -> None:
 
 def churn_by_segment(fact: DataFrame, dimensions: dict[str, DataFrame], *, top: int = 10) -> DataFrame:
     linked = [(dimensions[table], name, key) for table, _, key, name in DIMENSIONS]
-    return analytics.segment_rate(fact, linked, CHURNED, top=top)
+    return analytics.segment_rate(fact, linked, churned(), top=top)
 
 
 def churn_profile(fact: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def churn_profile(fact: DataFrame) -> DataFrame:
 
 
 def churn_by_tenure(fact: DataFrame) -> DataFrame:
-    return analytics.rate_by(fact, tenure_bucket(F.col("tenure")), CHURNED, name="tenure_bucket")
+    return analytics.rate_by(fact, tenure_bucket(F.col("tenure")), churned(), name="tenure_bucket")
 
 
 def compare_formats(spark: SparkSession, staged: DataFrame, folder: str, *, doublings: int = 7) -> DataFrame:
@@ -99,7 +102,7 @@ def compare_formats(spark: SparkSession, staged: DataFrame, folder: str, *, doub
     found = None
     for fmt in ("csv", "orc", "parquet"):
         back = spark.read.format(fmt).schema(staged.schema).options(**({"header": "true"} if fmt == "csv" else {})).load(f"{folder}/{fmt}")
-        one = analytics.average_where(back, "MonthlyCharges", CHURNED, name="avg_monthly").select(F.lit(fmt).alias("format"), "avg_monthly")
+        one = analytics.average_where(back, "MonthlyCharges", churned(), name="avg_monthly").select(F.lit(fmt).alias("format"), "avg_monthly")
         found = one if found is None else found.unionByName(one)
     return found
 
