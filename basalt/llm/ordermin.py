@@ -62,7 +62,8 @@ def _signatures(df: DataFrame, text: str, out: str, k: int) -> DataFrame:
 
     df = df.withColumn(firsts, F.map_from_entries(F.filter(F.transform(c, signature), lambda s: s.isNotNull())))
     bins = F.lit(list(range(-BINS // 2, BINS // 2)))
-    df = df.withColumn(out, F.transform(bins, lambda n: F.coalesce(F.element_at(F.col(firsts), n), F.lit(_EMPTY))))
+    filled = F.col(firsts)
+    df = df.withColumn(out, F.transform(bins, lambda n: F.when(F.map_contains_key(filled, n), F.element_at(filled, n)).otherwise(F.lit(_EMPTY))))
     return df.drop(words, kmers, numbered, least, firsts)
 
 
