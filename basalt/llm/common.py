@@ -1,10 +1,7 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, text columns, Arrow batches."""
+"""Shared pieces: text columns, Arrow batches, ids."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
@@ -12,63 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LIVE: list["Scratch"] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the session names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, a laptop) a temporary folder is taken and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    made = tempfile.mkdtemp(prefix="basalt-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Scratch:
-    """Tables written once to the shared folder, so that lineage ends there.
-
-    Spark's committer writes them, so a lost executor costs its own tasks only.
-    Tables stay until ``drop`` or the end of the driver's process.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/basalt/{what}-{uuid.uuid4().hex}"
-        _LIVE.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for scratch in _LIVE:
-        try:
-            scratch.drop()
-        except Exception:  # the session has ended before the process
-            pass
+from basalt.workspace import Scratch, shared_root
 
+__all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "only", "read_table", "shared_root", "shuffle_partitions"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
