@@ -42,6 +42,21 @@ def least_type(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
+def planes(values: np.ndarray) -> tuple[int, bytes]:
+    """Unsigned values byte by byte, all lowest bytes first, without the bytes that no value has."""
+    values = values.astype("<u8")
+    used = max(-(-int(values.max(initial=0)).bit_length() // 8), 1)
+    return used, np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8)[:, :used].T).tobytes()
+
+
+def unplanes(packed: tuple[int, bytes]) -> np.ndarray:
+    used, raw = packed
+    bytes_of = np.frombuffer(raw, np.uint8).reshape(used, -1)
+    out = np.zeros((bytes_of.shape[1], 8), np.uint8)
+    out[:, :used] = bytes_of.T
+    return out.view("<u8").ravel()
+
+
 def _part(key: int) -> int:
     return key
 

@@ -13,6 +13,7 @@ from basalt.workspace import Scratch, shared_root
 
 __all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "only", "read_table", "shared_root", "shuffle_partitions"]
 
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rolling
-from .blobs import as_frame, deal, dealt, least_type, squeeze, stream, unsqueeze
-from .common import Scratch, byte_batches, id_crc, only, shuffle_partitions
+from .blobs import as_frame, deal, dealt, least_type, planes, squeeze, stream, unplanes, unsqueeze
+from .common import byte_batches, id_crc, only, shuffle_partitions
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Pairs are told by 52 bits: of a million million different pairs, one in some thousand shares its count.
+_PAIR = np.uint64((1 << 52) - 1)
 #: Context-frequency buckets: 0 for an unseen context, then by the power of two, the last open.
 BUCKETS = 32
 #: Cells of the held-out histogram per doubling of a ratio of probabilities.
@@ -65,7 +67,7 @@ def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) ->
     def emit(number, hashes, many, docs, crc):
         tokens, many, crc = np.concatenate(hashes), np.concatenate(many), np.concatenate(crc)
         before = _contexts(tokens, many)
-        pairs = rolling.mix(np.where(before < 0, _START, tokens[before]) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+        pairs = rolling.mix(np.where(before < 0, _START, tokens[before]) * np.uint64(0x9E3779B97F4A7C15) + tokens) & _PAIR
         train = np.repeat(crc % 7 != 2, many)
         kept = np.repeat((crc % 7 != 2) & (crc // 7 % 10 != 0), many)
         lists, where = [], []
@@ -76,13 +78,13 @@ def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) ->
             fresh[1:] = ranked[1:] != ranked[:-1]
             at = np.flatnonzero(fresh)
             unique = ranked[at]
-            part = (unique >> np.uint64(32)) % np.uint64(parts)
+            part = (unique >> np.uint64(20)) % np.uint64(parts)
             by_part = np.argsort(part, kind="stable")
             index = np.empty(len(unique), np.int64)
             index[by_part] = np.arange(len(unique))
             back = np.empty(len(keys), np.int64)
             back[order] = np.repeat(index, np.diff(np.append(at, len(ranked))))
-            where.append(least_type(back))
+            where.append(planes(back))
             full = np.add.reduceat(train[order], at, dtype=np.int64)[by_part]
             held = np.add.reduceat(kept[order], at, dtype=np.int64)[by_part]
             lists.append((unique[by_part], full, held, np.searchsorted(part[by_part], np.arange(parts + 1, dtype=np.uint64))))
@@ -91,8 +93,8 @@ def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) ->
             out = []
             for keys, full, held, cuts in lists:
                 own = slice(cuts[p], cuts[p + 1])
-                out += [np.diff(keys[own], prepend=np.uint64(0)), least_type(full[own]), least_type(held[own])]
-            if len(out[0]) or len(out[3]):
+                out += [planes(np.diff(keys[own], prepend=np.uint64(0))), least_type(full[own]), least_type(held[own])]
+            if len(out[1]) or len(out[4]):
                 rows_part.append(p)
                 rows_blob.append(b"a" + squeeze("ask", number, *out))
         rows_part.append(number % parts)
@@ -125,7 +127,7 @@ def _answer(parts: int):
         asked = [unsqueeze(blob[1:]) for _, blob in items if _is(blob, "ask")]
         totals, replies = [], [[] for _ in asked]
         for k in (0, 3):
-            keys = [np.cumsum(a[2 + k], dtype=np.uint64) for a in asked]
+            keys = [np.cumsum(unplanes(a[2 + k]), dtype=np.uint64) for a in asked]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             order = np.argsort(flat, kind="stable")
             at = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0)) if len(flat) else np.zeros(0, np.int64)
@@ -141,7 +143,7 @@ def _answer(parts: int):
                 for reply, own in zip(replies, keys):
                     reply.append(least_type(got[cut : cut + len(own)]))
                     cut += len(own)
-        yield -1, totals
+        yield 0, b"t" + squeeze(totals)
         for a, reply in zip(asked, replies):
             yield int(a[1] % parts), b"r" + squeeze("reply", a[1], part, *reply)
 
@@ -163,7 +165,7 @@ class Counts:
         take = 1 if kept else 0
         words = np.concatenate([r[3 + take] for r in replies]).astype(np.int64)
         pairs = np.concatenate([r[5 + take] for r in replies]).astype(np.int64)
-        self.word, self.pair = words[word], pairs[pair]
+        self.word, self.pair = words[unplanes(word).astype(np.int64)], pairs[unplanes(pair).astype(np.int64)]
         before = _contexts(self.word, self.many)
         ends = self.word[np.cumsum(self.many) - 1]  # a document's start occurs as often as its end
         self.context = np.where(before < 0, np.repeat(ends, self.many), self.word[before])
@@ -240,12 +242,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not source.count():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     dealt_out = dealt(_ask(source, parts, batch_bytes, batch_tokens), parts)
-    answered = dealt_out.mapPartitionsWithIndex(_answer(parts))
-    scratch = Scratch(spark, "interpolation")
-    stored = scratch.table("answers", spark.createDataFrame(answered.map(lambda x: (x[0], None if x[0] < 0 else x[1], x[1] if x[0] < 0 else None)), "part int, blob binary, totals array<long>"))
-    total = stored.where("part < 0").select(*(F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(f"t{i}") for i in range(4))).first()
-    n_all, v_all, n_kept, v_kept = (int(x) for x in total)
-    replies = deal(stored.where("part >= 0").rdd.map(lambda r: (r[0], bytes(r[1]))), parts)
+    replies = deal(dealt_out.mapPartitionsWithIndex(_answer(parts)), parts)
+    totals = replies.filter(lambda x: _is(x[1], "totals")).map(lambda x: unsqueeze(x[1][1:])[0]).collect()
+    n_all, v_all, n_kept, v_kept = (sum(t[i] for t in totals) for i in range(4))
     both = spark.sparkContext.union([replies, dealt_out])
 
     def cells(items):
