@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, carried_schema, only
+from .common import byte_batches, carried, carried_schema, only, release
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -81,7 +81,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     null item id counts as the text "null"; items without words and an empty
     benchmark match nothing; repeated items count by their id.  Columns besides
     the named ones are not read, but for ``carry``, which comes back with its
-    row.  No shuffle: each block of items goes to the
+    row and the text.  No shuffle: each block of items goes to the
     executors and every text is scanned once a block.
     """
     spark = docs.sparkSession
@@ -90,9 +90,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<first:long,end:long>>" * spans + carried_schema(docs, carry)
 
     def run(batches):
+        release()
         automata = [WindowAutomaton(b.value, window) for b in held]
-        for batch in batches:
-            out = []
+        for batch in byte_batches(batches, 8 << 20):
+            out, more = [], batch.columns[1:] if carry else []
             for text in batch.column(1):
                 data = (text.as_py() or "").encode().translate(_TABLE)
                 words = data.split()
@@ -114,7 +115,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                 out.append(row)
             columns = list(zip(*out)) if out else [[]] * (5 + spans)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[2:]], names=[*["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: 6 + spans], *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), *more], names=[*["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: 6 + spans], *["text", "carried"][: len(more)]])
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
     return source.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from basalt.workspace import Scratch, shared_root
 
-__all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "only", "read_table", "shared_root", "shuffle_partitions"]
+__all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "kept_model", "only", "read_table", "release", "shared_root", "shuffle_partitions"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,27 @@ def carried(carry: str | None) -> list[Column]:
     return [F.col(f"`{carry}`").alias("carried")] if carry else []
 
 
-def carried_schema(df: DataFrame, carry: str | None) -> str:
-    return f", carried {df.schema[carry].dataType.simpleString()}" if carry else ""
+def carried_schema(df: DataFrame, carry: str | None, text: bool = True) -> str:
+    """Schema of what travels: the text, if it does, and the column."""
+    return ", text string" * text + f", carried {df.schema[carry].dataType.simpleString()}" if carry else ""
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_model(name: str, make):
+    """A worker's model of this name, kept from task to task; a worker holds one model at a time."""
+    if name not in _KEPT:
+        release()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Gives back what earlier tasks of other operators have left in this worker."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def id_crc(column: Column, modulus: int) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rolling
 from .blobs import as_frame, deal, dealt, least_type, planes, squeeze, stream, unplanes, unsqueeze
-from .common import byte_batches, id_crc, only, shuffle_partitions
+from .common import byte_batches, id_crc, only, release, shuffle_partitions
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
@@ -102,6 +102,7 @@ def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) ->
         return pa.RecordBatch.from_arrays([pa.array(rows_part, pa.int32()), pa.array(rows_blob, pa.binary())], names=["part", "blob"])
 
     def run(batches):
+        release()
         number = TaskContext.get().partitionId() << 24
         hashes, many, docs, crc, size = [], [], [], [], 0
         for batch in byte_batches(batches, batch_bytes):

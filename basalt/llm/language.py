@@ -8,12 +8,14 @@ logarithm of its sample's length, are fewest per symbol wins.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, id_crc, only
+from .common import byte_batches, id_crc, kept_model, only
 
 #: The bit that marks the end of a phrase in a transition.
 _MISS = np.int32(1 << 30)
@@ -77,10 +79,13 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.zeros(size, np.int32)
+    # an unseen symbol is a phrase of its own: it leads to a state that nothing continues
+    step.append({})
+    root = np.full(size, (len(step) - 1) * size, np.int32)
     for c, to in step[0].items():
         root[c] = to * size
     table = np.tile(root | _MISS, len(step)).reshape(len(step), size)
+    table[0] = root
     for state, moves in enumerate(step):
         if moves:
             table[state, list(moves)] = np.fromiter(moves.values(), np.int32) * size
@@ -107,19 +112,13 @@ def phrase_counts(lanes: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarr
     return out
 
 
-_MODELS: dict[tuple, tuple] = {}
-
-
 def model_of(sample: dict[str, str]) -> tuple:
-    """Alphabet, languages, automata and weights; a worker builds them once from the text it is sent."""
-    known = tuple(sorted(sample.items()))
-    if known not in _MODELS:
-        _MODELS.clear()
-        alphabet = Alphabet([text for _, text in known])
-        parts = [(lang, alphabet.symbols(text)) for lang, text in known]
-        parts = [(lang, p) for lang, p in parts if len(p)]
-        _MODELS[known] = alphabet, [lang for lang, _ in parts], [suffix_automaton(p, alphabet.size) for _, p in parts], [float(np.log2(len(p) + 1)) for _, p in parts]
-    return _MODELS[known]
+    """Alphabet, languages, automata and weights."""
+    known = sorted(sample.items())
+    alphabet = Alphabet([text for _, text in known])
+    parts = [(lang, alphabet.symbols(text)) for lang, text in known]
+    parts = [(lang, p) for lang, p in parts if len(p)]
+    return alphabet, [lang for lang, _ in parts], [suffix_automaton(p, alphabet.size) for _, p in parts], [float(np.log2(len(p) + 1)) for _, p in parts]
 
 
 def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, letters_per_lang: int) -> dict[str, str]:
@@ -164,10 +163,11 @@ def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     sample = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, letters_per_lang=letters_per_lang)
     held = spark.sparkContext.broadcast(sample)
+    name = f"language {uuid.uuid4().hex}"  # a worker builds the automata once from the text it is sent
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        alphabet, names, tables, weights = model_of(held.value)
+        alphabet, names, tables, weights = kept_model(name, lambda: model_of(held.value))
         for batch in byte_batches(batches, batch_bytes):
             lanes, owner, lettered = [], [], np.zeros(batch.num_rows, bool)
             for i, text in enumerate(batch.column(2)):

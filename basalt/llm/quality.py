@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import byte_batches, carried, carried_schema, id_crc, only
+from .common import byte_batches, carried, carried_schema, id_crc, only, release
 
 
 class Features:
@@ -80,7 +80,8 @@ class SubwordModel:
         self.features, self.weight, self.bias = features, weight, bias
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: list[int], *, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> "SubwordModel":
+    def fit(cls, texts: list[bytes], labels: list[int], *, features: Features, dim: int = 8, steps: int = 24_000, rate: float = 0.5, seed: int = 7) -> "SubwordModel":
+        """Learns by ``steps`` documents in random order, each as often as the others, and at most 60 times each."""
         rng = np.random.default_rng(seed)
         table = ((rng.random((features.buckets, dim)) - 0.5) / dim).astype(np.float32)
         top, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
@@ -89,6 +90,7 @@ class SubwordModel:
             found = np.concatenate([h[a[0] : b[0]] for h, a, b in features.of_batch([text])])
             which, times = np.unique(found, return_counts=True)
             rows.append((which, (times / max(len(found), 1)).astype(np.float32)))
+        epochs = min(-(-steps // len(rows)), 60)
         steps, done = epochs * len(rows), 0
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
@@ -142,17 +144,19 @@ def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id
     empty and gets the score of the bias, as does a text without features; one
     row per input row, repeats and ties included; a null id is not held out;
     an empty table gives an empty table; other columns are not read, but for
-    ``carry``, which comes back with its row.
+    ``carry``, which comes back with its row and the text.
     """
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        release()
         model = held.value
         for batch in byte_batches(batches, batch_bytes):
+            more = batch.columns[2:] if carry else []
             score = model.scores([(t.as_py() or "").encode() for t in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *more], names=["doc_id", "held_out", "score", "predicted", *["text", "carried"][: len(more)]])
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (id_crc(F.col(f"`{id_col}`"), 4) == 2).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + carried_schema(docs, carry))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, byte_batches, only, shuffle_partitions
+from .common import Scratch, byte_batches, only, release, shuffle_partitions
 from .components import connected_components
 
 _BITS = np.array([[b >> j & 1 for j in range(8)] for b in range(256)], np.int64)
@@ -212,6 +212,7 @@ def link_forest(nodes: DataFrame, scratch: Scratch, *, tau: int, segments: int,
         level += 1
 
     def run(batches):
+        release()
         for table in _whole_groups(batches):
             arrays = {n: table[n].to_numpy() for n in table.column_names}
             a, b = _links(arrays, tau, segments, extra)
@@ -230,6 +231,7 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) ->
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        release()
         for batch in byte_batches(batches, 8 << 20):
             fp = [majority(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
@@ -244,6 +246,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
 
     def run(batches):
+        release()
         for batch in byte_batches(batches, 8 << 20):
             out = []
             for text in batch.column(2):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .blobs import as_frame, dealt, stream, unstream
-from .common import Scratch, byte_batches, carried, carried_schema, only, shuffle_partitions
+from .common import Scratch, byte_batches, carried, carried_schema, only, release, shuffle_partitions
 
 #: Bytes of an anchor: windows of 200 bytes have 137 places for one.
 ANCHOR = 64
@@ -170,6 +170,7 @@ def anchor_counts(source: DataFrame, length: int, batch_bytes: int) -> DataFrame
     """akey, segkey, n: segments counted per batch already."""
 
     def run(batches):
+        release()
         for batch in byte_batches(batches, batch_bytes):
             found = anchors([(t.as_py() or "").encode() for t in batch.column(1)], length)
             both = np.stack([found["akey"], found["segkey"]], axis=1).view(np.int64)
@@ -183,6 +184,7 @@ def anchor_rows(source: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """akey, segkey, row, pos for every anchor; pos packs first window, windows and lead."""
 
     def run(batches):
+        release()
         for batch in byte_batches(batches, batch_bytes):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             found = anchors(texts, length)
@@ -264,6 +266,7 @@ def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batc
     grouped = pieces.repartition(parts, "akey").sortWithinPartitions("akey")
 
     def sort_columns(batches):
+        release()
         for table in _whole_anchors(batches, segments_at_once):
             lead, single, row, start = (table[n].to_numpy(zero_copy_only=False) for n in ("lead", "single", "row", "first"))
             with tempfile.TemporaryDirectory() as folder:
@@ -341,6 +344,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
 
     def number(batches):
+        release()
         for batch in byte_batches(batches, 4 * batch_bytes):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             rows = np.array([row_id(d, t) for d, t in zip(batch.column(0).to_pylist(), texts)], np.uint64).view(np.int64)
@@ -383,7 +387,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield stream(pa.RecordBatch.from_arrays([*arrays[:own], *(table[n].combine_chunks() for n in more)], names=names))
 
     done = spark.sparkContext.union([spans, texts]).mapPartitions(finish)
-    return as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * keep_text + carried_schema(docs, carry))
+    return as_frame(spark, done, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * keep_text + carried_schema(docs, carry, text=False))
 
 
 def merge_spans(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import byte_batches, only
+from .common import byte_batches, kept_model, only
 
 #: UTF-8 of the code points beyond ASCII with Unicode property White_Space.
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
@@ -42,7 +42,7 @@ class PieceEncoder:
     more than ``max_piece`` bytes are never kept.
     """
 
-    def __init__(self, path: str, max_cached: int = 1_500_000, max_piece: int = 40):
+    def __init__(self, path: str, max_cached: int = 1_000_000, max_piece: int = 40):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -203,14 +203,9 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder_for(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file, kept from task to task with the pieces it knows."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return kept_model(f"tokens {path}", lambda: PieceEncoder(path))
 
 
 def make_counter(path: str):

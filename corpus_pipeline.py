@@ -17,14 +17,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Documents with their whole row as a column that operators carry along."""
-    return docs.select("doc_id", "text", F.struct(*COLUMNS).alias("row"))
+    """Documents with their other columns as one that operators carry along."""
+    return docs.select("doc_id", "text", F.struct("lang", "source", "n_chars", F.col("text").isNull().alias("missing")).alias("row"))
+
+
+def _columns(done: DataFrame) -> DataFrame:
+    return done.select("doc_id", "text", "carried.lang", "carried.source", "carried.n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.7 or more; the model is learned from the labelled ones among them."""
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_quality(_whole(docs), model, carry="row").where("predicted = 1").select("carried.*")
+    return _columns(quality.score_quality(_whole(docs), model, carry="row").where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +42,14 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A character that was cut apart goes with the cut; n_chars is that of the text that is left.
     """
     done = suffix.remove_repeats(_whole(docs), keep_text=True, carry="row")
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col("carried.text"))
-    n_chars = F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
-    return done.select("carried.doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
+    text = F.when(F.col("carried.missing"), F.lit(None)).otherwise(F.col("kept_text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    return done.select("doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words in a row, or a whole shorter item, of the benchmark."""
-    return aho.find_contamination(_whole(docs), read_table(spark, sf_dir, "benchmark"), carry="row").where("not contaminated").select("carried.*")
+    return _columns(aho.find_contamination(_whole(docs), read_table(spark, sf_dir, "benchmark"), carry="row").where("not contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
