@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, carried, carried_schema, only, release
+from .common import byte_batches, carried, carried_schema, only, release, small_batches
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -85,6 +85,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     executors and every text is scanned once a block.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     held = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_col, item_text_col, block_bytes)]
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<first:long,end:long>>" * spans + carried_schema(docs, carry)

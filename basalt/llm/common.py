@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 
 from basalt.workspace import Scratch, shared_root
 
-__all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "kept_model", "only", "read_table", "release", "shared_root", "shuffle_partitions"]
+__all__ = ["Scratch", "byte_batches", "carried", "carried_schema", "crc_of", "id_crc", "kept_model", "only", "read_table", "release", "shared_root", "shuffle_partitions", "small_batches"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Rows of text are long: where the session has Spark's default of 10,000 rows to an Arrow batch, takes fewer.
+
+    It bounds what a task holds in the JVM and in Python; a number that the
+    session's owner has chosen stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(rows))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone: whatever else the table carries cannot clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))
@@ -78,5 +89,12 @@ def byte_batches(batches, most: int, column: str = "text"):
         yield batch.slice(first)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def shuffle_partitions(df: DataFrame, part_bytes: int = 64 << 20) -> int:
+    """How many parts a table is dealt to: the session's number, or more if parts of ``part_bytes`` are more.
+
+    The size is that of the files, as the optimizer knows it; tables that are
+    not in files have no known size.
+    """
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-known // part_bytes) if known < 1 << 58 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), wanted)

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rolling
 from .blobs import as_frame, deal, dealt, least_type, planes, squeeze, stream, unplanes, unsqueeze
-from .common import byte_batches, id_crc, only, release, shuffle_partitions
+from .common import byte_batches, id_crc, only, release, shuffle_partitions, small_batches
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
@@ -236,10 +236,11 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     histogram whose cells are bounded by the buckets and the range of doubles.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     id_type = docs.schema[id_col].dataType
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), id_crc(F.col(f"`{id_col}`"), 1 << 33).alias("crc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = shuffle_partitions(source)
     if not source.count():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     dealt_out = dealt(_ask(source, parts, batch_bytes, batch_tokens), parts)

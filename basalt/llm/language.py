@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, id_crc, kept_model, only
+from .common import byte_batches, id_crc, kept_model, only, small_batches
 
 #: The bit that marks the end of a phrase in a transition.
 _MISS = np.int32(1 << 30)
@@ -161,6 +161,7 @@ def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     held out; other columns are not read.  One pass over the texts, no shuffle.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     sample = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, letters_per_lang=letters_per_lang)
     held = spark.sparkContext.broadcast(sample)
     name = f"language {uuid.uuid4().hex}"  # a worker builds the automata once from the text it is sent

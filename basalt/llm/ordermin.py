@@ -94,18 +94,22 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    ranges = 4 * shuffle_partitions(spark)
-    cuts = only(docs, id_col).select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first()["cuts"]
-    cuts = F.lit(sorted(set(cuts or []))).cast("array<long>")
-    part = F.size(F.filter(cuts, lambda c: c > key))
+    source = only(docs, id_col, text_col)
+    ranges = 4 * shuffle_partitions(source)
+    cuts = only(docs, id_col).select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000)).alias("cuts")).first()["cuts"]
+    cuts = sorted(set(cuts or []), reverse=True)
+    # the number of cuts above the key, by halving steps over the cuts in descending order
+    steps = F.lit([1 << p for p in range(max(len(cuts), 1).bit_length() - 1, -1, -1)])
+    held = F.lit(cuts).cast("array<long>")
+    part = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(held, n + s - 1) > key, n + s).otherwise(n))
     heads = only(docs, id_col).select(part.alias("part"), key.alias("key")).groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    before = {row["key"]: heads[i - 1]["part"] for i, row in enumerate(heads)}
-    target = F.element_at(F.map_from_arrays(F.lit(list(before)).cast("array<long>"), F.lit(list(before.values())).cast("array<int>")), F.col("key"))
+    ahead = spark.createDataFrame([(row["key"], heads[i - 1]["part"]) for i, row in enumerate(heads)], "key long, target int")
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), text.alias("text"), part.alias("part"))
+    rows = source.select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), text.alias("text"), part.alias("part"))
+    rows = rows.join(F.broadcast(ahead), "key", "left")  # one short row per range
     own = F.struct(F.col("part"), F.lit(0).alias("extra"))
-    rows = rows.withColumn("at", F.explode(F.when(target.isNull(), F.array(own)).otherwise(F.array(own, F.struct(target.alias("part"), F.lit(1).alias("extra"))))))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("target").alias("part"), F.lit(1).alias("extra"))))))
     rows = rows.select("doc_id", "key", "text", "at.part", "at.extra", F.xxhash64("text").alias("tie"))
     rows = _signatures(rows, "text", "sigs", k)
 

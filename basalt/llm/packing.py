@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_batches, crc_of, only
+from .common import Scratch, byte_batches, crc_of, only, small_batches
 from .tokens import encoder_for
 
 #: Groups that the ranks of one length are dealt to, so that no length fills a task.
@@ -82,6 +82,7 @@ def best_pair(free: np.ndarray, size: np.ndarray, room: int) -> tuple[int, int]
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id_col: str, text_col: str, keep_ids: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, grp and, if asked, ids."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp int" + ", ids array<long>" * keep_ids
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import byte_batches, carried, carried_schema, id_crc, only, release
+from .common import byte_batches, carried, carried_schema, id_crc, only, release, small_batches
 
 
 class Features:
@@ -116,22 +116,22 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """At most ``most`` labelled rows that are not held out: (hash, text, label), by the order of the ids' hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> list:
+    """At most ``most`` labelled rows that are not held out: (hash, text of at most ``most_chars``, label), by the order of the ids' hash.
 
     The sample of ids is bounded, so its broadcast is; the texts are read once.
     """
     mark = only(labels, id_col, label_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     mark = mark.where((id_crc(F.col("id"), 4) != 2) & F.col("id").isNotNull() & F.col("label").isin(0, 1))
     mark = mark.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit("quality sample"))).orderBy("order", "id", "label").limit(most)
-    text = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, most_chars).alias("text"))
     return sorted(((r["order"], r["text"] or "", r["label"]) for r in text.join(F.broadcast(mark), "id").limit(2 * most).collect()))[:most]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 4000, buckets: int = 1 << 17) -> SubwordModel:
-    """The model, learned from at most ``train_rows`` labelled rows; without any, one that scores 0.5."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 4000, train_chars: int = 20_000, buckets: int = 1 << 17) -> SubwordModel:
+    """The model, learned from at most ``train_rows`` labelled rows and ``train_chars`` of each; without any, one that scores 0.5."""
     features = Features(buckets)
-    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows)
+    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows, most_chars=train_chars)
     if not rows:
         return SubwordModel(features, np.zeros(buckets, np.float32), 0.0)
     return SubwordModel.fit([t.encode() for _, t, _ in rows], [k for _, _, k in rows], features=features)
@@ -147,6 +147,7 @@ def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id
     ``carry``, which comes back with its row and the text.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(docs)
     held = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, byte_batches, only, release, shuffle_partitions
+from .common import Scratch, byte_batches, only, release, shuffle_partitions, small_batches
 from .components import connected_components
 
 _BITS = np.array([[b >> j & 1 for j in range(8)] for b in range(256)], np.int64)
@@ -186,7 +186,6 @@ def link_forest(nodes: DataFrame, scratch: Scratch, *, tau: int, segments: int,
     Finds every link: buckets of over ``hot`` rows are dealt on along the chain
     until they are smaller or the chain is at its end.
     """
-    spark = nodes.sparkSession
     exact = sum(1 for x in budgets(tau, segments) if x == 0)
     if not exact:
         raise ValueError("tau must be below the number of segments")
@@ -220,7 +219,7 @@ def link_forest(nodes: DataFrame, scratch: Scratch, *, tau: int, segments: int,
 
     found = None
     for part in parts:
-        dealt = part.repartition(shuffle_partitions(spark), "ring", "key").sortWithinPartitions("ring", "key")
+        dealt = part.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key")
         edges = dealt.mapInArrow(run, "a long, b long")
         found = edges if found is None else found.union(edges)
     return found
@@ -228,6 +227,7 @@ def link_forest(nodes: DataFrame, scratch: Scratch, *, tau: int, segments: int,
 
 def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
     """doc_id and fp, a signed 64-bit integer, of every row; no words: zero."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -242,6 +242,7 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) ->
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """doc_id, key (of id and text), fp of the words and s0 to s3, 256 bits of the shingles."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_batches, crc_of, only, shuffle_partitions
+from .common import Scratch, byte_batches, crc_of, only, shuffle_partitions, small_batches
 from .tokens import encoder_for
 
 #: Simple-8b's bits per id and ids per word, by selector.
@@ -168,8 +168,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     one document.  Null ids come first; a null text is empty and has the end id
     alone.
     """
+    small_batches(docs)
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = source.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    ordered = source.repartitionByRange(shuffle_partitions(source), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
         encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()

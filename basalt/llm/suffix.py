@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .blobs import as_frame, dealt, stream, unstream
-from .common import Scratch, byte_batches, carried, carried_schema, only, release, shuffle_partitions
+from .common import Scratch, byte_batches, carried, carried_schema, only, release, shuffle_partitions, small_batches
 
 #: Bytes of an anchor: windows of 200 bytes have 137 places for one.
 ANCHOR = 64
@@ -236,9 +236,9 @@ def _batched(rows, kinds: dict, size: int):
         yield stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds)))
 
 
-def repeated_spans(source: DataFrame, texts, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, crowd: int) -> DataFrame:
+def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, crowd: int) -> DataFrame:
     """row, first, end of repeated bytes; spans of one row may overlap."""
-    spark, parts = source.sparkSession, shuffle_partitions(source.sparkSession)
+    spark = source.sparkSession
     counted = anchor_counts(source, length, batch_bytes).repartition(parts, "akey").groupBy("akey", "segkey").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("akey")
     counted = counted.withColumn("all", F.sum("n").over(whole)).withColumn("kinds", F.count(F.lit(1)).over(whole)).where("all > 1")
@@ -336,11 +336,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     read that one shuffle.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     scratch = Scratch(spark, "suffix")
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    parts = shuffle_partitions(source)
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
 
     def number(batches):
@@ -352,7 +353,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield _blobs(table, (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
     texts = dealt(own.mapInArrow(number, "part int, blob binary"), parts)
-    spans = repeated_spans(source, texts, scratch, length, batch_bytes, segments_at_once, crowd)
+    spans = repeated_spans(source, texts, parts, scratch, length, batch_bytes, segments_at_once, crowd)
     spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def finish(items):

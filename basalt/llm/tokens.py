@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import byte_batches, kept_model, only
+from .common import byte_batches, kept_model, only, small_batches
 
 #: UTF-8 of the code points beyond ASCII with Unicode property White_Space.
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
@@ -228,6 +228,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     stays null, an empty table gives an empty table, and columns besides the
     two named ones are not read.  No shuffle.
     """
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
