@@ -12,17 +12,17 @@ from basalt.workspace import Scratch
 def surrogate_keys(df: DataFrame, column: str, key: str, *, most: int = SMALL_ROWS) -> DataFrame:
     """Distinct values with keys 1, 2, ... in the values' order; missing values have none.
 
-    Up to ``most`` values are numbered by one window.  Beyond that, values are
-    dealt out by range and numbered within, and the driver adds up the sizes of
-    the ranges.
+    The values are found once and stored, for they are few and the source is
+    not: joins and counts then read the stored table.  Up to ``most`` values are
+    numbered by one window.  Beyond that, values are dealt out by range and
+    numbered within, and the driver adds up the sizes of the ranges.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if values.limit(most + 1).count() <= most:
-        return values.select(F.row_number().over(Window.orderBy(column)).cast("int").alias(key), column)
-    spark = df.sparkSession
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "surrogate-keys")
+    values = scratch.table("values", df.select(column).where(F.col(column).isNotNull()).distinct())
+    if values.count() <= most:
+        return scratch.table("keys", values.select(F.row_number().over(Window.orderBy(column)).cast("int").alias(key), column))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = Scratch(spark, "surrogate-keys")
-    placed = scratch.table("values", values.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()))
+    placed = scratch.table("placed", values.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()))
     sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
     before, rows = 0, []
     for part, n in sizes:
