@@ -106,7 +106,8 @@ def _links(batch: dict[str, np.ndarray], tau: int, segments: int, extra) -> tupl
     sizes = np.diff(np.append(cuts, n))
     for first, size in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         own = turned[first : first + size]
-        for i in range(0, size, 256):
+        indexed = int((batch["used"][first : first + size] == 0).sum())  # they stand first; probes do not pair with probes
+        for i in range(0, indexed, 256):
             near = np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= tau
             a, b = np.nonzero(near)
             a, b = a[b > a], b[b > a]
@@ -219,7 +220,7 @@ def link_forest(nodes: DataFrame, scratch: Scratch, *, tau: int, segments: int,
 
     found = None
     for part in parts:
-        dealt = part.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key")
+        dealt = part.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key", "used")
         edges = dealt.mapInArrow(run, "a long, b long")
         found = edges if found is None else found.union(edges)
     return found
