@@ -51,3 +51,8 @@ def test_publishing_moves_the_cursor_after_the_write(spark):
     except OSError:
         pass
     assert cursor == "2026-01-02"
+
+
+def test_avro_record_has_the_messages_fields():
+    record = json.loads(messages.avro_schema())
+    assert [(f["name"], f["type"]) for f in record["fields"]] == [("ID", "int"), ("name", "string"), ("category", "string"), ("price", "float"), ("last_updated", "string")]
