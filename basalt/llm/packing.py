@@ -80,7 +80,7 @@ def best_pair(free: np.ndarray, size: np.ndarray, room: int) -> tuple[int, int]
     return (int(first[at]), int(second[at])) if total[at] else None
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id_col: str, text_col: str, keep_ids: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id_col: str, text_col: str, keep_ids: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, grp and, if asked, ids."""
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]

@@ -158,7 +158,7 @@ def unpack_shard(data: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     return part, number, [int(d) if k else None for d, k in zip(doc_ids, known)], lengths.astype(np.int64), decode_ids(words, first, n)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, batch_bytes: int = 4 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, batch_bytes: int = 2 << 20) -> None:
     """Writes the ids of all documents, in ascending id order, as shard files under ``path``.
 
     Documents are dealt out by ranges of the id (equal ids by the text's hash,

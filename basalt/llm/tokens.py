@@ -22,6 +22,10 @@ from .common import byte_batches, kept_model, only, small_batches
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
 
 
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+_STRETCH = 1 << 19
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -42,7 +46,7 @@ class PieceEncoder:
     more than ``max_piece`` bytes are never kept.
     """
 
-    def __init__(self, path: str, max_cached: int = 1_000_000, max_piece: int = 40):
+    def __init__(self, path: str, max_cached: int = 600_000, max_piece: int = 40):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -120,12 +124,18 @@ class PieceEncoder:
 
     def _slots(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all pieces in a row, and how many pieces each text has."""
-        data = np.frombuffer(b"".join(parts), np.uint8)
+        raw = b"".join(parts)
         size = np.array([len(p) for p in parts], np.int64)
         end = np.cumsum(size)
         begin = end - size
-        starts, stops = self._pieces(data, begin, end)
-        hashes = rolling.mix(rolling.spans(rolling.prefix(data), starts, stops))
+        found, i = [], 0
+        while i < len(parts):  # a stretch of texts at a time: hashing takes some forty bytes of memory a byte
+            j = max(int(np.searchsorted(end, begin[i] + _STRETCH, "right")), i + 1)
+            data = np.frombuffer(raw, np.uint8, int(end[j - 1] - begin[i]), int(begin[i]))
+            first, stop = self._pieces(data, begin[i:j] - begin[i], end[i:j] - begin[i])
+            found.append((first + begin[i], stop + begin[i], rolling.mix(rolling.spans(rolling.prefix(data), first, stop))))
+            i = j
+        starts, stops, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         order = np.argsort(hashes, kind="quicksort")
         ranked = hashes[order]
         fresh = np.ones(len(ranked), bool)
@@ -139,7 +149,6 @@ class PieceEncoder:
         new = np.flatnonzero(~hit)
         kept = len(self.first)
         if len(new):
-            raw = data.tobytes()
             first, count, pool = self._learn([raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), stops[sample[new]].tolist())])
             self.first = np.concatenate([self.first, first + len(self.pool)])
             self.count = np.concatenate([self.count, count])
@@ -158,9 +167,8 @@ class PieceEncoder:
             grown = int((self.first[:kept] + self.count[:kept]).max(initial=0))
             self.first, self.count, self.pool = self.first[:kept], self.count[:kept], self.pool[:grown]
         elif len(hashes):
-            known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
-            order = np.argsort(known, kind="stable")
-            self.known, self.slot = known[order], slot[order]
+            at = np.searchsorted(self.known, hashes)  # both ascend
+            self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slots)
 
     def _split(self, texts: list[str]) -> tuple[dict[int, list[int]], list[bytes]]:
         """Ids of the texts that must go whole, and the bytes of the others (empty for those)."""
@@ -218,7 +226,7 @@ def make_counter(path: str):
     return encoder_for(path).lengths
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 2 << 20) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit.
 
     Arrow batches are cut into runs of about ``batch_bytes`` bytes, whatever the
