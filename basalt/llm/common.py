@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 
@@ -45,6 +46,18 @@ def carried_schema(df: DataFrame, carry: str | None, text: bool = True) -> str:
     return ", text string" * text + f", carried {df.schema[carry].dataType.simpleString()}" if carry else ""
 
 
+def _return_freed_arrays() -> None:
+    """Has the C library give every freed array back to the system, so that a worker holds what it uses.
+
+    Otherwise its bound for that rises with the arrays it has seen, to 32 MB.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+_return_freed_arrays()
 _KEPT: dict[str, object] = {}
 
 

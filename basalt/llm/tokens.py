@@ -46,7 +46,7 @@ class PieceEncoder:
     more than ``max_piece`` bytes are never kept.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000, max_piece: int = 40):
+    def __init__(self, path: str, max_cached: int = 400_000, max_piece: int = 40):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
