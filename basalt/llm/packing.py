@@ -87,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int,
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp int" + ", ids array<long>" * keep_ids
 
     def run(batches):
-        encoder, seen = encoder_for(tokenizer), 0
+        encoder, seen = encoder_for(tokenizer, 400_000), 0
         for batch in byte_batches(batches, batch_bytes):
             ids, n = encoder.encode(batch.column(1).fill_null("").to_pylist())
             ids = np.insert(ids, np.cumsum(n), end_id)

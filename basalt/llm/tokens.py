@@ -46,7 +46,7 @@ class PieceEncoder:
     more than ``max_piece`` bytes are never kept.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000, max_piece: int = 40):
+    def __init__(self, path: str, max_cached: int = 1_000_000, max_piece: int = 40):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -211,9 +211,9 @@ class PieceEncoder:
         return out
 
 
-def encoder_for(path: str) -> PieceEncoder:
+def encoder_for(path: str, max_cached: int = 1_000_000) -> PieceEncoder:
     """The worker's encoder for a vocabulary file, kept from task to task with the pieces it knows."""
-    return kept_model(f"tokens {path}", lambda: PieceEncoder(path))
+    return kept_model(f"tokens {max_cached} {path}", lambda: PieceEncoder(path, max_cached))
 
 
 def make_counter(path: str):
