@@ -71,7 +71,11 @@ def anchors(texts: list[bytes], length: int, k: int = ANCHOR) -> dict[str, np.nd
 
 
 class ColumnFiles:
-    """Order and common prefixes of the last round, and the transform so far, in files written from end to end."""
+    """Order and common prefixes of the last round, and the transform so far, in files written from end to end.
+
+    The files are a task's own scratch, as Spark's spills are: no other task
+    reads them, and they go when the batch is done.
+    """
 
     def __init__(self, folder: str):
         self.state, self.next, self.bwt = (os.path.join(folder, n) for n in ("state", "next", "bwt"))
