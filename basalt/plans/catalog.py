@@ -17,6 +17,7 @@ from basalt.functions.columns import bucket, safe_float
 from basalt.operators import analytics, merge, quality, star
 from basalt.sources import readers, writers
 from basalt.streaming import messages
+from basalt.streaming.sink import KeyedSink, consume_keyed
 from basalt.workspace import Scratch
 
 EVENT_MESSAGE = "ID int, name string, category string, price float, last_updated string"
@@ -271,8 +272,13 @@ def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message sent twice, and a third with a later price: the sink keyed on the id holds each once."""
     first = _products(spark, sf_dir).drop("name")
     later = first.where("ID % 3 = 0").withColumn("price", F.col("price") + 1).withColumn("last_updated", F.lit("2025-01-01 00:00:00"))
-    good, _ = _consumed(spark, [messages.keyed_json(first, "ID"), messages.keyed_json(first.unionByName(later), "ID")])
-    return messages.latest_messages(good).select("ID", "category", F.col("price").cast("double").alias("price"), "last_updated")
+    scratch = Scratch(spark, "keyed-sink")
+    sink = KeyedSink(spark, scratch.path("sink"), EVENT_MESSAGE.replace("name string, ", ""))
+    for df in (messages.keyed_json(first, "ID"), messages.keyed_json(first.unionByName(later), "ID")):
+        df.select("value").write.mode("append").text(scratch.path("topic"))
+        source = spark.readStream.schema("value string").text(scratch.path("topic"))
+        consume_keyed(source.select("value"), sink, scratch.path("checkpoint"), discount_category="click", discount=0.5).awaitTermination()
+    return sink.rows().select("ID", "category", F.col("price").cast("double").alias("price"), "last_updated")
 
 
 QUERIES = {

@@ -2,6 +2,7 @@ import json
 
 from basalt import schemas
 from basalt.streaming import messages
+from basalt.streaming.sink import KeyedSink
 
 GOOD = [{"ID": 1, "name": "a", "category": "A", "price": 10.0, "last_updated": "2026-01-01"}, {"ID": 2, "name": "b", "category": "a", "price": 4.0, "last_updated": "2026-01-02"}, {"ID": 3, "name": "c", "category": "B", "price": 7.0, "last_updated": "2026-01-02"}]
 BAD = ['{"ID": 4, "name"', '{"name": "x", "price": 1.0}', '{"ID": 5, "price": "dear"}', '{"ID": 6}']
@@ -56,3 +57,19 @@ def test_publishing_moves_the_cursor_after_the_write(spark):
 def test_avro_record_has_the_messages_fields():
     record = json.loads(messages.avro_schema())
     assert [(f["name"], f["type"]) for f in record["fields"]] == [("ID", "int"), ("name", "string"), ("category", "string"), ("price", "float"), ("last_updated", "string")]
+
+
+def test_sink_holds_one_row_per_key(spark, tmp_path):
+    sink = KeyedSink(spark, str(tmp_path / "sink"), "ID int, price float, last_updated string", buckets=3)
+    rows = lambda *r: spark.createDataFrame(r, "ID int, price float, last_updated string")
+    held = lambda: sorted(tuple(r) for r in sink.rows().collect())
+    assert held() == []
+    sink.upsert(rows(), 0)
+    sink.upsert(rows((1, 1.0, "a"), (2, 2.0, "a"), (1, 3.0, "b")), 1)
+    assert held() == [(1, 3.0, "b"), (2, 2.0, "a")]
+    for _ in range(2):  # run again after a crash
+        sink.upsert(rows((2, 5.0, "b"), (3, 7.0, None), (1, 9.0, "a")), 2)
+        assert held() == [(1, 3.0, "b"), (2, 5.0, "b"), (3, 7.0, None)]
+    sink.upsert(rows((3, 8.0, "a")), 3)
+    assert held() == [(1, 3.0, "b"), (2, 5.0, "b"), (3, 8.0, "a")]
+    assert KeyedSink(spark, str(tmp_path / "sink"), sink.schema, buckets=3).rows().count() == 3
