@@ -72,8 +72,9 @@ def kept_model(name: str, make):
 
 def release() -> None:
     """Gives back what earlier tasks of other operators have left in this worker."""
-    _KEPT.clear()
-    gc.collect()
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
 
 
