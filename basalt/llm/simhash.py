@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -241,8 +241,17 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) ->
     return source.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def _text_key(column: Column) -> Column:
+    """Hash of a text, null as empty."""
+    return F.xxhash64(F.lit(1), F.coalesce(column.cast("string"), F.lit("")))
+
+
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, key (of id and text), fp of the words and s0 to s3, 256 bits of the shingles."""
+    """doc_id, key (of the text), node (of the set of shingles), fp of the words and s0 to s3, 256 bits of the shingles."""
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
@@ -257,48 +266,117 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 single, times = np.unique(shingle_hashes(text.as_py(), 1), return_counts=True)
                 votes = np.unpackbits(single.view(np.uint8), bitorder="little").reshape(-1, 64) * np.sqrt(times)[:, None] if len(single) else np.zeros((1, 64))
                 fp = np.packbits(votes.sum(axis=0) * 2 > np.sqrt(times).sum(), bitorder="little").view("<i8")[0]
-                out.append((int(fp), *bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5))], names=["doc_id", "key", "fp", "s0", "s1", "s2", "s3"])
+                node = np.uint64(xxhash.xxh64_intdigest(np.unique(shingles).tobytes())).astype(np.int64)
+                out.append((int(node), int(fp), *bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6))], names=["doc_id", "key", "node", "fp", "s0", "s1", "s2", "s3"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, s0 long, s1 long, s2 long, s3 long")
+    text = F.col(f"`{text_col}`")
+    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, s0 long, s1 long, s2 long, s3 long")
 
 
 def shingle_bits(similarity: float) -> int:
-    """Of 256 bits, how many may differ between texts whose shingles have this Jaccard similarity.
+    """Of 256 bits, how many may differ between candidates for this Jaccard similarity of shingles.
 
-    The expected number, by the angle between the shingle counts, and one
-    standard deviation more.
+    The expected number, by the angle between the shingle counts, and three
+    standard deviations more: a loose filter, as candidates are compared exactly.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(256 * p + np.sqrt(256 * p * (1 - p)))
+    return int(256 * p + 3 * np.sqrt(256 * p * (1 - p)))
+
+
+def alike_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Least index of each set's component, sets (of distinct hashes) being linked if their Jaccard similarity is ``similarity`` or more.
+
+    Exact.  Sets that are already in one component are not compared again, so a
+    group of near copies takes about one pass.
+    """
+    n = len(sets)
+    label, size = np.arange(n), np.fromiter(map(len, sets), np.int64, n)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(ids, np.cumsum(size)[:-1])
+    marked = np.zeros(len(values), bool)
+    for i in range(n - 1):
+        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (low > 0) & (low >= similarity * high - 1))
+        if not len(other):
+            continue
+        marked[parts[i]] = True
+        starts = np.cumsum(size[other]) - size[other]
+        shared = np.add.reduceat(marked[np.concatenate([parts[j] for j in other])], starts, dtype=np.int64)
+        marked[parts[i]] = False
+        linked = other[shared / (size[i] + size[other] - shared) >= similarity]
+        if len(linked):
+            joined = np.isin(label, np.append(label[linked], label[i]))
+            label[joined] = label[joined].min()
+    return label
+
+
+def _verified(docs: DataFrame, marked: DataFrame, edges: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes of ``edges``, which join candidates: root is the least node of the exact component.
+
+    The texts of each group of candidates, one per node, come together in one
+    task, and all its pairs count, whichever candidates joined them.
+    """
+    groups = connected_components(edges, scratch)
+    one = marked.join(groups, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    one = scratch.table("candidates", one.select("node", "root", F.col("one.doc_id").alias("one_id"), F.col("one.key").alias("one_key")))
+    text = F.col(f"`{text_col}`")
+    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
+    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).select("root", "node", "text")
+
+    def run(batches):
+        release()
+        root, nodes, sets = None, [], []
+
+        def done():
+            label = alike_within(sets, similarity)
+            held = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(held[label])], names=["node", "root"])
+
+        for batch in batches:
+            for r, node, words_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if r != root and nodes:
+                    yield done()
+                    nodes, sets = [], []
+                root = r
+                if not nodes or nodes[-1] != node:  # rows may be repeated
+                    nodes.append(node)
+                    sets.append(_shingle_set(words_of.as_py(), words))
+        if nodes:
+            yield done()
+
+    dealt = texts.repartition(shuffle_partitions(docs), "root").sortWithinPartitions("root", "node")
+    return scratch.table("verified", dealt.mapInArrow(run, "node long, root long"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = 8, segments: int = 9, hot: int = 16_384) -> DataFrame:
     """The rows of ``docs``, all their columns, without near-duplicates: of each group the least id stays.
 
     Fingerprints of the words, which a few edits hardly change, find pairs
-    within ``tau`` bits by pigeonring filtering; a pair is a link if 256 bits of
-    SimHash over shingles of ``words`` words say that the texts' similarity is
-    ``similarity`` or more.  A null text counts as empty; texts without words
-    are copies of each other; of rows that are equal in id and text one stays;
-    null ids give way to any other; an empty table gives none.
+    within ``tau`` bits by pigeonring filtering; those that 256 bits of SimHash
+    over shingles of ``words`` words do not rule out are candidates.  A
+    candidate is a link only if the Jaccard similarity of the two sets of
+    shingles, computed exactly, is ``similarity`` or more.  A null text counts
+    as empty; texts without words are copies of each other; texts of fewer
+    words than ``words`` are one shingle; of rows that are equal in id and text
+    one stays; null ids give way to any other; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     sketch = ["fp", "s0", "s1", "s2", "s3"]
-    marked = scratch.table("sketches", _sketches(docs, id_col, text_col, words).withColumn("node", F.xxhash64(*sketch)))
-    nodes = scratch.table("nodes", marked.select("node", *sketch).distinct())
+    marked = scratch.table("sketches", _sketches(docs, id_col, text_col, words))
+    nodes = scratch.table("nodes", marked.select("node", *sketch).dropDuplicates(["node"]))
     limit = shingle_bits(similarity)
 
     def alike(batch, a, b):
         return sum(np.bitwise_count(batch[s].view(np.uint64)[a] ^ batch[s].view(np.uint64)[b]).astype(np.int64) for s in sketch[1:]) <= limit
 
-    roots = connected_components(link_forest(nodes, scratch, tau=tau, segments=segments, hot=hot, extra=alike), scratch)
+    edges = link_forest(nodes, scratch, tau=tau, segments=segments, hot=hot, extra=alike)
+    roots = _verified(docs, marked, edges, scratch, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     grouped = marked.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"))
     kept = scratch.table("kept", best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
-    key = F.xxhash64(F.lit(1), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")))
+    key = _text_key(docs[f"`{text_col}`"])
     out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
     if marked.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         return out
