@@ -29,6 +29,10 @@ _BITS = np.array([[b >> j & 1 for j in range(8)] for b in range(256)], np.int64)
 #: Buckets of at most so many rows are paired together, larger ones one by one.
 SMALL = 32
 
+#: Min-wise hashes of a set of shingles: so many bands of so many.  Sets 0.8 alike share no band with probability (1 - 0.8**4)**20 < 3e-5.
+BANDS, BAND = 20, 4
+_FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def majority(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the 64-bit hashes, as a signed 64-bit integer."""
@@ -250,8 +254,78 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def minwise(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A 64-bit key per band, and a byte of each min-wise hash, of a set of shingle hashes; no shingles: no bands."""
+    if not len(shingles):
+        return np.zeros(0, np.int64), bytes(BANDS * BAND)
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for i in range(0, len(shingles), 2048):
+        np.minimum(least, (_FACTORS[:, None] * shingles[i : i + 2048]).min(axis=1), out=least)
+    keys = rolling.mix((rolling.mix(least).reshape(BANDS, BAND) * _FACTORS[:BAND]).sum(axis=1, dtype=np.uint64))
+    return keys.view(np.int64), (least >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def _band_links(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one bucket that agree in at least ``least`` min-wise hashes: a spanning forest of each bucket."""
+    key, ring, node = (table[n].to_numpy() for n in ("key", "ring", "node"))
+    n = len(node)
+    group = np.zeros(n, np.int64)
+    group[1:] = np.cumsum((np.diff(key) != 0) | (np.diff(ring) != 0))
+    size = np.bincount(group)
+    shared = np.flatnonzero(size[group] > 1)
+    if not len(shared):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    group, node = group[shared], node[shared]
+    sig = np.frombuffer(b"".join(table["sig"].take(pa.array(shared)).to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+    n, label = len(node), np.arange(len(node))
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(cuts, n))
+    for first, many in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = label[first : first + many]
+        for i in range(many - 1):
+            other = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            other = other[(sig[first + other] == sig[first + i]).sum(axis=1) >= least]
+            if len(other):
+                joined = np.isin(own, np.append(own[other], own[i]))
+                own[joined] = own[joined].min()
+    at, apart, held_a, held_b = np.flatnonzero(np.repeat(sizes <= SMALL, sizes)), 1, [], []
+    while True:
+        at = at[at < n - apart]
+        at = at[group[at] == group[at + apart]]
+        if not len(at):
+            break
+        for i in range(0, len(at), 100_000):
+            a = at[i : i + 100_000]
+            a = a[(sig[a] == sig[a + apart]).sum(axis=1) >= least]
+            held_a, held_b = [*held_a, a], [*held_b, a + apart]
+        apart += 1
+    if held_a:
+        label = _forest(label, np.concatenate(held_a), np.concatenate(held_b))
+    joined = np.flatnonzero(label != np.arange(n))
+    return node[joined], node[label[joined]]
+
+
+def band_forest(nodes: DataFrame, *, similarity: float) -> DataFrame:
+    """Edges (a, b) that join all nodes that share a band and may be ``similarity`` alike; ``nodes``: node, bands, sig.
+
+    The bytes rule out what is four standard deviations below ``similarity``.
+    """
+    n = BANDS * BAND
+    least = int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity)))
+
+    def run(batches):
+        release()
+        for table in _whole_groups(batches):
+            a, b = _band_links(table, least)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = nodes.select("node", "sig", F.posexplode("bands").alias("ring", "key"))
+    dealt = rows.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), fp of the words and s0 to s3, 256 bits of the shingles."""
+    """doc_id, key (of the text), node (of the set of shingles), fp of the words, s0 to s3, 256 bits of the shingles, and ``minwise``'s bands and sig."""
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
@@ -266,13 +340,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 single, times = np.unique(shingle_hashes(text.as_py(), 1), return_counts=True)
                 votes = np.unpackbits(single.view(np.uint8), bitorder="little").reshape(-1, 64) * np.sqrt(times)[:, None] if len(single) else np.zeros((1, 64))
                 fp = np.packbits(votes.sum(axis=0) * 2 > np.sqrt(times).sum(), bitorder="little").view("<i8")[0]
-                node = np.uint64(xxhash.xxh64_intdigest(np.unique(shingles).tobytes())).astype(np.int64)
-                out.append((int(node), int(fp), *bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6))], names=["doc_id", "key", "node", "fp", "s0", "s1", "s2", "s3"])
+                distinct = np.unique(shingles)
+                node = np.uint64(xxhash.xxh64_intdigest(distinct.tobytes())).astype(np.int64)
+                out.append((int(node), int(fp), *bits, *minwise(distinct)))
+            columns = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.list_(pa.int64())), pa.array(columns[7], pa.binary())],
+                names=["doc_id", "key", "node", "fp", "s0", "s1", "s2", "s3", "bands", "sig"],
+            )
 
     text = F.col(f"`{text_col}`")
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, s0 long, s1 long, s2 long, s3 long")
+    return source.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, s0 long, s1 long, s2 long, s3 long, bands array<long>, sig binary")
 
 
 def shingle_bits(similarity: float) -> int:
@@ -355,8 +434,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Fingerprints of the words, which a few edits hardly change, find pairs
     within ``tau`` bits by pigeonring filtering; those that 256 bits of SimHash
-    over shingles of ``words`` words do not rule out are candidates.  A
-    candidate is a link only if the Jaccard similarity of the two sets of
+    over shingles of ``words`` words do not rule out are candidates.  So are
+    pairs that share a band of min-wise hashes of their shingles, wherever the
+    edits stand: a block added, cut off or replaced changes too many words for
+    the fingerprints.  A candidate is a link only if the Jaccard similarity of the two sets of
     shingles, computed exactly, is ``similarity`` or more.  A null text counts
     as empty; texts without words are copies of each other; texts of fewer
     words than ``words`` are one shingle; of rows that are equal in id and text
@@ -365,13 +446,14 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     sketch = ["fp", "s0", "s1", "s2", "s3"]
     marked = scratch.table("sketches", _sketches(docs, id_col, text_col, words))
-    nodes = scratch.table("nodes", marked.select("node", *sketch).dropDuplicates(["node"]))
+    nodes = scratch.table("nodes", marked.select("node", *sketch, "bands", "sig").dropDuplicates(["node"]))
     limit = shingle_bits(similarity)
 
     def alike(batch, a, b):
         return sum(np.bitwise_count(batch[s].view(np.uint64)[a] ^ batch[s].view(np.uint64)[b]).astype(np.int64) for s in sketch[1:]) <= limit
 
-    edges = link_forest(nodes, scratch, tau=tau, segments=segments, hot=hot, extra=alike)
+    edges = link_forest(nodes.select("node", *sketch), scratch, tau=tau, segments=segments, hot=hot, extra=alike)
+    edges = edges.union(band_forest(nodes, similarity=similarity))
     roots = _verified(docs, marked, edges, scratch, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     grouped = marked.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"))

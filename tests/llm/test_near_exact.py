@@ -73,3 +73,27 @@ def test_alike_within_is_exact():
                     if len(a & b) / len(a | b) >= 0.8:
                         root[i] = root[j] = min(root[i], root[j])
         assert simhash.alike_within(sets, 0.8).tolist() == root
+
+
+def edited(rng, base, kind, share):
+    """``base`` with about ``share`` of its words appended, cut off or replaced as one block."""
+    if kind == "appended":
+        return base + new_words(rng, round(len(base) * share))
+    if kind == "truncated":
+        return base[: len(base) - round(len(base) * share)]
+    n = round(len(base) * share / 2)
+    at = rng.randrange(len(base) - n)
+    return base[:at] + new_words(rng, n) + base[at + n :]
+
+
+def test_block_edits_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{int(i)}" for i in np.arange(3000)]
+    docs = {}
+    for g in range(90):
+        base = [vocabulary[int(3000 * rng.random() ** 3)] for _ in range(rng.randint(150, 900))]
+        docs[2 * g] = base
+        docs[2 * g + 1] = edited(rng, base, ("appended", "truncated", "replaced")[g % 3], 0.19)
+    wanted = exact_kept(docs)
+    assert len(docs) - len(wanted) > 60
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table_of(spark, docs)).collect()} == wanted
