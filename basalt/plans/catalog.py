@@ -277,7 +277,7 @@ def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     for df in (messages.keyed_json(first, "ID"), messages.keyed_json(first.unionByName(later), "ID")):
         df.select("value").write.mode("append").text(scratch.path("topic"))
         source = spark.readStream.schema("value string").text(scratch.path("topic"))
-        consume_keyed(source.select("value"), sink, scratch.path("checkpoint"), discount_category="click", discount=0.5).awaitTermination()
+        consume_keyed(source.select("value"), sink, scratch.path("dead"), scratch.path("checkpoint"), discount_category="click", discount=0.5).awaitTermination()
     return sink.rows().select("ID", "category", F.col("price").cast("double").alias("price"), "last_updated")
 
 

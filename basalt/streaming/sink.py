@@ -57,11 +57,22 @@ class KeyedSink:
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={number}")
 
 
-def consume_keyed(messages: DataFrame, sink: KeyedSink, checkpoint: str, *, discount_category: str, discount: float):
-    """Starts a stream of messages into the sink: valid ones, transformed."""
+def consume_keyed(messages: DataFrame, sink: KeyedSink, dead_path: str, checkpoint: str, *, discount_category: str, discount: float, fmt: str = "json"):
+    """Starts a stream of messages into the sink: valid ones are transformed, others set aside.
+
+    What is set aside lies in a folder of the batch's number, as ``consume`` has
+    it, and is written before the checkpoint moves on.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        good = parse(batch).where("valid").drop("value", "valid")
-        sink.upsert(transform(good, discount_category=discount_category, discount=discount), number)
+        parsed = parse(batch).persist()
+        try:
+            if parsed.isEmpty():
+                return
+            good = parsed.where("valid").drop("value", "valid")
+            sink.upsert(transform(good, discount_category=discount_category, discount=discount), number)
+            parsed.where("not valid").select("value").write.mode("overwrite").format(fmt).save(f"{dead_path}/batch={number}")
+        finally:
+            parsed.unpersist()
 
     return messages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

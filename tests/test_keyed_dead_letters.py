@@ -1,0 +1,24 @@
+import json
+
+from basalt import schemas
+from basalt.streaming import messages, sink
+
+GOOD = {"ID": 1, "name": "a", "category": "A", "price": 10.0, "last_updated": "2026-01-01"}
+BAD = ['{"ID": 4, "name"', '{"name": "x", "price": 1.0}', '{"ID": 5, "price": "dear"}']
+
+
+def test_keyed_consumer_sets_broken_messages_aside(spark, tmp_path):
+    (tmp_path / "topic").mkdir()
+    keyed = sink.KeyedSink(spark, str(tmp_path / "sink"), schemas.PRODUCT)
+
+    def run():
+        source = spark.readStream.schema("value string").text(str(tmp_path / "topic"))
+        sink.consume_keyed(source, keyed, str(tmp_path / "dead"), str(tmp_path / "state"), discount_category="A", discount=0.5).awaitTermination()
+        dead = messages.read_batches(spark, str(tmp_path / "dead" / "*"), "value string")
+        return [r["ID"] for r in keyed.rows().collect()], sorted(r["value"] for r in dead.collect())
+
+    (tmp_path / "topic" / "one").write_text("\n".join([json.dumps(GOOD), *BAD[:2]]) + "\n")
+    assert run() == ([1], sorted(BAD[:2]))
+    assert run() == ([1], sorted(BAD[:2]))  # a restart sets nothing aside twice
+    (tmp_path / "topic" / "two").write_text(BAD[2] + "\n")
+    assert run() == ([1], sorted(BAD))
