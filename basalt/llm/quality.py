@@ -15,14 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
+from .blobs import least_type, squeeze, unsqueeze
 from .common import byte_batches, carried, carried_schema, id_crc, only, release, small_batches
 
+#: Hash of the pair of a word and the mark that stands for its repetition.
+_AGAIN = np.uint64(1 << 20)
+
 
 class Features:
     """Buckets of a text's words, word pairs and byte n-grams; case counts.
 
-    A pair of equal words has one bucket whatever the word, as repetition
-    means the same for any word.
+    A word that stands right after itself is read as a mark, the same for all
+    words, so that the model can learn what such a mark is worth.
     """
 
     def __init__(self, buckets: int = 1 << 17, grams: tuple[int, ...] = (3, 4)):
@@ -58,11 +62,17 @@ class Features:
         a, b = np.searchsorted(begins, first), np.searchsorted(begins, end)
         out.append(((word >> np.uint64(20)).astype(np.uint32) & mask, a, b))
         pair = rolling.mix(word[:-1] * np.uint64(31) + word[1:]) if len(word) else word
-        pair[word[:-1] == word[1:]] = 1 << 20
+        pair[word[:-1] == word[1:]] = _AGAIN
         a2 = np.minimum(a, len(pair))
         out.append(((pair >> np.uint64(20)).astype(np.uint32) & mask, a2, np.maximum(np.minimum(b - 1, len(pair)), a2)))
         return out
 
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A text's buckets, ascending, and how often each occurs."""
+        found = np.concatenate([h[a[0] : b[0]] for h, a, b in self.of_batch([text])])
+        which, times = np.unique(found, return_counts=True)
+        return which, least_type(times.astype(np.uint64))
+
     def totals(self, texts: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum of ``weight`` over each text's features, and their number."""
         total, many = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -80,16 +90,13 @@ class SubwordModel:
         self.features, self.weight, self.bias = features, weight, bias
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: list[int], *, features: Features, dim: int = 8, steps: int = 24_000, rate: float = 0.5, seed: int = 7) -> "SubwordModel":
-        """Learns by ``steps`` documents in random order, each as often as the others, and at most 60 times each."""
+    def fit(cls, sample: list[tuple[np.ndarray, np.ndarray, int]], *, features: Features, dim: int = 8, steps: int = 24_000, rate: float = 0.5, seed: int = 7) -> "SubwordModel":
+        """Learns from (buckets, counts, label) by ``steps`` documents in random order, each as often as the others, and at most 60 times each."""
         rng = np.random.default_rng(seed)
         table = ((rng.random((features.buckets, dim)) - 0.5) / dim).astype(np.float32)
         top, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-        rows = []
-        for text in texts:
-            found = np.concatenate([h[a[0] : b[0]] for h, a, b in features.of_batch([text])])
-            which, times = np.unique(found, return_counts=True)
-            rows.append((which, (times / max(len(found), 1)).astype(np.float32)))
+        rows = [(which, (times / max(int(times.sum()), 1)).astype(np.float32)) for which, times, _ in sample]
+        labels = [label for _, _, label in sample]
         epochs = min(-(-steps // len(rows)), 60)
         steps, done = epochs * len(rows), 0
         for _ in range(epochs):
@@ -116,25 +123,45 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> list:
-    """At most ``most`` labelled rows that are not held out: (hash, text of at most ``most_chars``, label), by the order of the ids' hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, *, id_col: str, text_col: str, label_col: str, most: int, batch_bytes: int = 2 << 20) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """At most ``most`` labelled rows that are not held out: (buckets, their counts, label), by the order of the ids' hash.
 
-    The sample of ids is bounded, so its broadcast is; the texts are read once.
+    Only rows are bounded: each is learned from as a whole.  The executors count
+    its features, so the driver gets at most ``features.buckets`` numbers a row
+    however long its text is.  Of rows that share an id, the one whose text has
+    the least hash stands for it, so the sample is the same in every run; an id
+    that is marked both 0 and 1 counts once as either.
     """
     mark = only(labels, id_col, label_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    mark = mark.where((id_crc(F.col("id"), 4) != 2) & F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    mark = mark.where((id_crc(F.col("id"), 4) != 2) & F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     mark = mark.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit("quality sample"))).orderBy("order", "id", "label").limit(most)
-    text = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, most_chars).alias("text"))
-    return sorted(((r["order"], r["text"] or "", r["label"]) for r in text.join(F.broadcast(mark), "id").limit(2 * most).collect()))[:most]
+    text = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = text.join(F.broadcast(mark), "id").select("order", "label", F.xxhash64("text").alias("tie"), "text")  # at most ``most`` short rows are sent
+
+    def run(batches):
+        release()
+        for batch in byte_batches(batches, batch_bytes, "text"):
+            found = [squeeze(*features.counts(t.as_py().encode())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["order", "label", "tie", "counts"])
 
+    counted = rows.mapInArrow(run, "order long, label int, tie long, counts binary")
+    one = counted.groupBy("order", "label").agg(F.min(F.struct("tie", "counts")).alias("one")).select("order", "label", "one.counts").collect()
+    return [(*unsqueeze(bytes(r["counts"])), r["label"]) for r in sorted(one, key=lambda r: (r["order"], r["label"]))]
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 4000, train_chars: int = 20_000, buckets: int = 1 << 17) -> SubwordModel:
-    """The model, learned from at most ``train_rows`` labelled rows and ``train_chars`` of each; without any, one that scores 0.5."""
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 4000, buckets: int = 1 << 17) -> SubwordModel:
+    """The model, learned from the whole texts of at most ``train_rows`` labelled rows; without any, one that scores 0.5.
+
+    Rows with a null id or label, or a label but 0 and 1, teach nothing; a null
+    text is empty; ids without a document teach nothing; repeated ids and ties
+    are as ``labelled_sample`` says; other columns are not read.
+    """
+    small_batches(docs)
     features = Features(buckets)
-    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows, most_chars=train_chars)
+    rows = labelled_sample(docs, labels, features, id_col=id_col, text_col=text_col, label_col=label_col, most=train_rows)
     if not rows:
         return SubwordModel(features, np.zeros(buckets, np.float32), 0.0)
-    return SubwordModel.fit([t.encode() for _, t, _ in rows], [k for _, _, k in rows], features=features)
+    return SubwordModel.fit(rows, features=features)
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, batch_bytes: int = 2 << 20, carry: str | None = None) -> DataFrame:

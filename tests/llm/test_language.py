@@ -16,14 +16,54 @@ def phrases(text, sample):
     return n
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_automaton_counts_longest_match_phrases(seed):
+@pytest.mark.parametrize("seed, lane", list(enumerate([7, 16, 64, 5, 1, 1024])))
+def test_automata_count_longest_match_phrases_of_whole_texts(monkeypatch, seed, lane):
+    monkeypatch.setattr(language, "LANE", lane)  # whatever the lanes, the parse is that of the whole text
     rng = np.random.default_rng(seed)
-    sample = bytes(rng.integers(1, 5, 300, dtype=np.uint8))
-    lanes = [bytes(rng.integers(1, 6, int(n), dtype=np.uint8)) for n in rng.integers(0, 80, 20)] + [sample[40:200]]
-    table = language.suffix_automaton(np.frombuffer(sample, np.uint8), 7)
-    got = language.phrase_counts([np.frombuffer(x, np.uint8) for x in lanes], [table])[0]
-    assert got.tolist() == [phrases(x, sample) for x in lanes]
+    samples = [bytes(rng.integers(1, 5, 300, dtype=np.uint8)), bytes(rng.integers(1, 4, 500, dtype=np.uint8))]
+    texts = [bytes(rng.integers(1, 6, int(n), dtype=np.uint8)) for n in rng.integers(0, 200, 20)] + [samples[0][40:200], samples[1] + samples[0][:100]]
+    as_symbols = lambda x: np.frombuffer(x, np.uint8).astype(np.int32)
+    got = language.phrase_counts([as_symbols(x) for x in texts], language.Automata([as_symbols(x) for x in samples], 7))
+    assert got.tolist() == [[phrases(x, sample) for x in texts] for sample in samples]
+
+
+def test_winner_and_score_are_those_of_plain_parsing(spark):
+    rng = np.random.default_rng(4)
+    words = {lang: ["".join(rng.choice(list("abcdefgéß"), 5)) for _ in range(40)] for lang in ("aa", "bb", "cc")}
+    rows = [(i, " ".join(rng.choice(words[lang], 60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 8)]
+    rows += [(100 + i, " ".join(rng.choice(words["aa"] + words["cc"], int(n))), None) for i, n in enumerate([1, 5, 40, 900])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.train(docs, id_col="doc_id", text_col="text", lang_col="lang", letters_per_lang=1000, passage=150)
+    assert sorted(sample) == ["aa", "bb", "cc"] and all(1000 <= sum(map(len, x)) < 1150 for x in sample.values())
+    got = {r["doc_id"]: r for r in language.predict_language(docs, letters_per_lang=1000, passage=150).collect()}
+    for doc_id, text, _ in rows:
+        cost = sorted((phrases(text, " ".join(x)) * np.log2(len(" ".join(x)) + 1), lang) for lang, x in sample.items())
+        assert got[doc_id]["lang_pred"] == cost[0][1] and np.isclose(got[doc_id]["score"], 1 - cost[0][0] / cost[1][0])
+
+
+def test_scripts_of_many_letters_beside_each_other(spark):
+    """Thirteen labels, two of them with 1500 letters each, drawn from one block of characters."""
+    rng = np.random.default_rng(5)
+    block = rng.permutation(np.arange(0x4E00, 0x4E00 + 3000))
+    scripts = {"zz1": [chr(c) for c in block[:1500]], "zz2": [chr(c) for c in block[1500:]]}
+    for k in range(11):
+        scripts[f"l{k:02}"] = [chr(c) for c in range(0x61 + k, 0x61 + k + 15)]
+    vocabulary = {lang: ["".join(rng.choice(letters, 3)) for _ in range(400)] for lang, letters in scripts.items()}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], 150)), lang) for i, lang in enumerate(list(scripts) * 25)]
+    got = language.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    pred = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert all(pred[i] == lang for i, _, lang in rows)
+
+
+def test_any_part_of_a_text_is_learned_from_and_ties_go_to_the_first(spark):
+    """The language shows only after 30,000 characters that both have; equal samples tie."""
+    same = "x1 y2 " * 5000
+    rows = [(i, same + (" ".join(ENGLISH) if lang == "en" else " ".join(GERMAN)) * 200, lang) for i, lang in enumerate(["en", "de"] * 12)]
+    docs = spark.createDataFrame([*rows, (100, " ".join(ENGLISH), None), (101, " ".join(GERMAN), None)], "doc_id long, text string, lang string")
+    pred = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs).collect()}
+    assert pred[100] == "en" and pred[101] == "de"
+    tied = spark.createDataFrame([(i, ENGLISH[0], lang) for i, lang in enumerate(["en", "de"] * 6)], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in language.predict_language(tied).collect()} == {("de", 0.0)}
 
 
 ENGLISH = ["the cat sat on the mat and the dog ran to the house", "there is a bird in the tree and it sings to the sun", "when the rain comes we go into the house and read", "he said that the water was cold and the road was long"]

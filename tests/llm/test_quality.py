@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from basalt.llm import quality
@@ -33,6 +35,58 @@ def test_labels_are_learned_and_odd_rows_scored(spark):
     assert {r["score"] for r in quality.score_quality(docs, blank).collect()} == {0.5}
 
 
+def mixed(x):
+    """The finisher of the polynomial hashes, in plain integers."""
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def plain_score(model, text):
+    """Mean weight of a text's features, one by one, through the logistic function."""
+    n, base = model.features.buckets, 0x9E3779B97F4A7C15
+    found = []
+    for size in model.features.grams:
+        for i in range(len(text) - size + 1):
+            h = 0
+            for c in text[i : i + size]:
+                h = (h * 0x01000193 + c + 1) % 2**32
+            h = (h ^ h >> 15) * (0x85EBCA6B + 2 * size) % 2**32
+            found.append((h ^ h >> 13) % n)
+    words = text.split()
+    hashes = [mixed(sum((c + 1) * base**j for j, c in enumerate(w)) % 2**64) for w in words]
+    found += [(h >> 20) % n for h in hashes]
+    found += [1 if a == b else (mixed((a * 31 + b) % 2**64) >> 20) % n for a, b in zip(hashes, hashes[1:])]
+    z = sum(float(model.weight[b]) for b in found) / max(len(found), 1) + model.bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_plain_counting(spark):
+    model = quality.SubwordModel(quality.Features(1 << 10), np.random.default_rng(3).normal(0, 3, 1 << 10).astype(np.float32), 0.3)
+    texts = [None, "", "a", "two two two words", "\u00e9t\u00e9 \u00e0 la mer\tand\nso on " * 40, " x " * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score_quality(docs, model).collect():
+        assert math.isclose(r["score"], plain_score(model, (texts[r["doc_id"]] or "").encode()), rel_tol=1e-6)
+
+
+def test_whole_texts_are_learned_from_and_repeats_are_settled(spark):
+    """What tells the labels apart stands after 60,000 characters; ids come twice, or with both labels."""
+    rows = [(i, "the same for all " * 4000 + ("good words " if i % 2 else "bad noise ") * 300) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:10] + [(3, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(5, 0), (5, 1)], "doc_id long, quality int")
+    features = quality.Features(1 << 12)
+    take = lambda d: quality.labelled_sample(d, labels, features, id_col="doc_id", text_col="text", label_col="quality", most=4000)
+    one, other = take(docs), take(docs.repartition(7))
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() and a[2] == b[2] for a, b in zip(one, other, strict=True))
+    expected = {(i, i % 2) for i in range(40)} | {(5, 0)}
+    import zlib
+
+    assert len(one) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in expected)
+    fresh = spark.createDataFrame([(1, "good words " * 50), (2, "bad noise " * 50)], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in quality.score_quality(fresh, quality.fit_quality(docs, labels)).collect()}
+    assert score[1] > 0.7 > 0.3 > score[2]
+
+
 def test_held_out_accuracy_on_the_tables(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     got = quality.score_quality(docs, quality.fit_quality(docs, labels)).join(labels.where("quality IS NOT NULL"), "doc_id").where("held_out").collect()
