@@ -2,14 +2,19 @@
 
 Symbols are runs of non-blank characters, cut after ``SYMBOL`` of them; k-mers
 are runs of ``k`` symbols.  Each k-mer is numbered among its equals in the
-text, and the numbered k-mers are hashed once; the hash's top bits choose one
-of ``BINS`` bins.  A bin keeps the two least hashes, in the order in which they
-stand in the text, and hashes that pair: a signature that changes when k-mers
-are lost and when they change places.  Likeness is the share of bins that agree
-among those that either text fills.
-
-Everything is arrays of 64-bit integers: a hash's upper 40 bits with a position
-in the lower 24, so that sorting numbers sorts by hash and then by place.
+text, and the numbered k-mers are hashed.  A signature is made of the two least
+of them by an order of its own, taken as they stand in the text: it changes
+when k-mers are lost and when they change places.  Likeness is the share of
+signatures that agree among those that either text has.
+
+The ``BINS`` orders come from one family of hashes: in the order of bin b those
+k-mers come first whose hash falls into b, the least hash first, then those
+whose second hash does, and so on.  A long text needs its k-mers' first hashes
+alone; a short one goes on until every bin has its two, so that short texts
+keep order too, and texts of any lengths are compared by the same orders.
+
+Everything is arrays of 64-bit integers, a hash's upper bits with a position in
+the lower, so that sorting numbers sorts by hash and then by place.
 """
 
 from __future__ import annotations
@@ -21,7 +26,12 @@ from .common import only, shuffle_partitions
 
 BINS = 64
 SYMBOL = 16
-_POSITION = (1 << 24) - 1
+#: A short text's hashes: so many are wanted, 7 a bin.  Texts of as many k-mers need but one each.
+WANTED = 448
+#: Place of a k-mer, the lower half of a number; an array has fewer elements.
+_LOW = (1 << 32) - 1
+#: Lower bits of a short text's numbers: above the place, 32 bits of hash, 10 of its number, 6 of the bin.
+_SHORT = (1 << 16) - 1
 _EMPTY = "----"
 
 
@@ -31,32 +41,45 @@ def _signatures(df: DataFrame, text: str, out: str, k: int) -> DataFrame:
     Each step is a column of its own that the next step names more than once,
     so that no step is computed again for every element.
     """
-    words, kmers, numbered, least, firsts = (f"__{out}_{n}" for n in ("words", "kmers", "numbered", "least", "firsts"))
-    w, a, b, c = F.col(words), F.col(kmers), F.col(numbered), F.col(least)
-    upper = lambda x: x.bitwiseAND(F.lit(~_POSITION))
-    place = lambda x: x.bitwiseAND(F.lit(_POSITION))
+    words, kmers, equal, numbered, levels, placed, firsts = (f"__{out}_{n}" for n in ("words", "kmers", "equal", "numbered", "levels", "placed", "firsts"))
+    w, h, a, b, c, many = F.col(words), F.col(kmers), F.col(equal), F.col(numbered), F.col(placed), F.col(levels)
+    upper = lambda x: x.bitwiseAND(F.lit(~_LOW))
+    lower = lambda x: x.bitwiseAND(F.lit(_LOW))
     bin_of = lambda x: F.shiftright(x, 64 - BINS.bit_length() + 1)
-    pack = lambda h, i: upper(h).bitwiseOR(place(i.cast("long")))
+    # one row has one kind of number: a long text's or a short one's
+    place = lambda x: x.bitwiseAND(F.when(many > 1, F.lit(_SHORT)).otherwise(F.lit(_LOW))).cast("int")
 
     df = df.withColumn(words, F.regexp_extract_all(F.col(text), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{SYMBOL}}}"), F.lit(0)))
     # one k-mer per start; fewer symbols than k make one k-mer of all
     starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(kmers, F.sort_array(F.transform(starts, lambda i: pack(F.xxhash64(*(F.get(w, i + j) for j in range(k))), i))))
+    df = df.withColumn(kmers, F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k)))))
+    df = df.withColumn(equal, F.sort_array(F.transform(h, lambda x, i: upper(x).bitwiseOR(i.cast("long")))))
 
     def earlier(x: Column, j: Column) -> Column:
         """How many of the k-mer's equals stand before it: they lie side by side, so halving steps find the first."""
         same = lambda d: (j >= d) & (upper(F.get(a, j - d)) == upper(x))
-        steps = F.lit([1 << p for p in range(23, -1, -1)])
+        steps = F.lit([1 << p for p in range(30, -1, -1)])
         return F.when(same(F.lit(1)), F.aggregate(steps, F.lit(0), lambda n, s: F.when(same(n + s), n + s).otherwise(n))).otherwise(F.lit(0))
 
-    df = df.withColumn(numbered, F.sort_array(F.transform(a, lambda x, j: pack(F.xxhash64(upper(x), earlier(x, j)), place(x)))))
-    # bins lie side by side as well: the two least of a bin have another bin two places before
-    df = df.withColumn(least, F.filter(b, lambda x, j: (j < 2) | (bin_of(F.get(b, j - 2)) != bin_of(x))))
+    df = df.withColumn(numbered, F.transform(a, lambda x, j: upper(F.xxhash64(upper(x), earlier(x, j))).bitwiseOR(lower(x))))
+    # one k-mer alone has no other to stand beside
+    df = df.withColumn(levels, F.when(F.size(b) < 2, F.lit(1)).otherwise(F.ceil(F.lit(WANTED) / (F.size(b) - 1)).cast("int")))
+
+    def again(level: Column, x: Column) -> Column:
+        """A short text's number: bin, level, hash and place, by the hash of this level."""
+        hash_ = F.when(level == 0, upper(x)).otherwise(F.xxhash64(upper(x), level))
+        rest = F.shiftrightunsigned(hash_, 10).bitwiseAND(F.lit(((1 << 48) - 1) & ~_SHORT))
+        return hash_.bitwiseAND(F.lit(-1 << 58)).bitwiseOR(F.shiftleft(level.cast("long"), 48)).bitwiseOR(rest).bitwiseOR(lower(x))
+
+    repeated = F.flatten(F.transform(F.sequence(F.lit(0), many - 1), lambda n: F.transform(b, lambda x: again(n, x))))
+    df = df.withColumn(placed, F.sort_array(F.when(many > 1, repeated).otherwise(b)))
 
     def signature(x: Column, j: Column) -> Column:
-        second = F.get(c, j + 1)
-        alone = second.isNull() | (bin_of(second) != bin_of(x))
-        pair = F.when(alone, F.xxhash64(upper(x))).when(place(x) < place(second), F.xxhash64(upper(x), upper(second))).otherwise(F.xxhash64(upper(second), upper(x)))
+        # the next of the bin that is another k-mer; a short text may have one k-mer there more than once
+        following = lambda d: F.get(c, j + d)
+        other = F.coalesce(*(F.when((bin_of(following(d)) == bin_of(x)) & (place(following(d)) != place(x)), place(following(d))) for d in range(1, 7)))
+        at = lambda i: F.get(h, i)
+        pair = F.when(other.isNull(), F.xxhash64(at(place(x)))).otherwise(F.xxhash64(at(F.least(place(x), other)), at(F.greatest(place(x), other))))
         first = (j < 1) | (bin_of(F.get(c, j - 1)) != bin_of(x))
         return F.when(first, F.struct(bin_of(x).cast("int").alias("bin"), F.lpad(F.lower(F.hex(pair.bitwiseAND(F.lit(0xFFFF)))), 4, "0").alias("sig")))
 
@@ -64,7 +87,7 @@ def _signatures(df: DataFrame, text: str, out: str, k: int) -> DataFrame:
     bins = F.lit(list(range(-BINS // 2, BINS // 2)))
     filled = F.col(firsts)
     df = df.withColumn(out, F.transform(bins, lambda n: F.when(F.map_contains_key(filled, n), F.element_at(filled, n)).otherwise(F.lit(_EMPTY))))
-    return df.drop(words, kmers, numbered, least, firsts)
+    return df.drop(words, kmers, equal, numbered, levels, placed, firsts)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -85,32 +108,43 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Documents stand in descending order of their integer id, equal ids by the
-    text's hash, null ids last; the next of the last is the first.  Ids are cut
-    into ranges at quantiles that the driver holds (a few numbers per shuffle
-    partition); the first row of each range stands at the end of the range
+    text's hash, null ids last; the next of the last is the first.  Rows are cut
+    into ranges at quantiles of the id that the driver holds (a few numbers per
+    shuffle partition), and an id that fills several ranges is cut further by
+    the text's hash; the first row of each range stands at the end of the range
     before as well, so a window over one range finds every row's next, and the
     texts are shuffled once.  One row per input row, repeats included; a null
-    text is empty; an empty table gives none; other columns are not read.
+    text is empty; texts with the same symbols in the same order have the same
+    fingerprint, and those without symbols an empty one, all alike; an empty
+    table gives none; other columns are not read.  Ids that are no integers
+    count as null, and keep their value.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(f"`{id_col}`").try_cast("long"), F.lit(-(1 << 63)))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = only(docs, id_col, text_col)
     ranges = 4 * shuffle_partitions(source)
-    cuts = only(docs, id_col).select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000)).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []), reverse=True)
-    # the number of cuts above the key, by halving steps over the cuts in descending order
+    found = only(docs, id_col).select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000)).alias("cuts")).first()["cuts"] or []
+    cuts = []
+    for value in sorted(set(found), reverse=True):
+        times = found.count(value)
+        # before the first row with a hot id, then by even steps of the hash; a cut without a hash stands after its id
+        cuts += [(value, (i << 64) // times - (1 << 63)) for i in range(times)] if times > 1 else [(value, None)]
+    tie = F.xxhash64(text)
+    # the number of cuts before the row, by halving steps
     steps = F.lit([1 << p for p in range(max(len(cuts), 1).bit_length() - 1, -1, -1)])
-    held = F.lit(cuts).cast("array<long>")
-    part = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(held, n + s - 1) > key, n + s).otherwise(n))
-    heads = only(docs, id_col).select(part.alias("part"), key.alias("key")).groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    ahead = spark.createDataFrame([(row["key"], heads[i - 1]["part"]) for i, row in enumerate(heads)], "key long, target int")
-
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = source.select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), text.alias("text"), part.alias("part"))
-    rows = rows.join(F.broadcast(ahead), "key", "left")  # one short row per range
+    held = F.array(*(F.struct(F.lit(v).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for v, t in cuts)) if cuts else F.array().cast("array<struct<key:long,tie:long>>")
+    before = lambda cut: F.coalesce((cut["key"] > F.col("key")) | ((cut["key"] == F.col("key")) & (cut["tie"] <= F.col("tie"))), F.lit(False))
+    part = F.aggregate(steps, F.lit(0), lambda n, s: F.when(before(F.get(held, n + s - 1)), n + s).otherwise(n))
+    placed = source.select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), text.alias("text"), tie.alias("tie")).withColumn("part", part)
+    first = placed.groupBy("part").agg(F.max(F.struct("key", F.bitwise_not("tie").alias("back"))).alias("head"))
+    heads = first.select("part", "head.key", F.bitwise_not("head.back").alias("tie")).orderBy("part").collect()
+    ahead = spark.createDataFrame([(row["key"], row["tie"], heads[i - 1]["part"]) for i, row in enumerate(heads)], "key long, tie long, target int")
+
+    rows = placed.join(F.broadcast(ahead), ["key", "tie"], "left")  # one short row per range
     own = F.struct(F.col("part"), F.lit(0).alias("extra"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("target").alias("part"), F.lit(1).alias("extra"))))))
-    rows = rows.select("doc_id", "key", "text", "at.part", "at.extra", F.xxhash64("text").alias("tie"))
+    rows = rows.select("doc_id", "key", "text", "at.part", "at.extra", "tie")
     rows = _signatures(rows, "text", "sigs", k)
 
     order = Window.partitionBy("part").orderBy("extra", F.col("key").desc(), "tie")
