@@ -45,13 +45,8 @@ def bucket(column: Column, ranges: list[tuple[float, float, str]], otherwise: st
     return out.otherwise(otherwise)
 
 
-def month_label(low: int, high: int) -> str:
-    """Label of a range of months, with an en dash."""
-    return f"{low}–{high} months"
-
-
-#: Closed ranges of tenure in months; 60 is in the last but one.
-TENURE = [(0, 12, month_label(0, 12)), (13, 24, month_label(13, 24)), (25, 36, month_label(25, 36)), (37, 48, month_label(37, 48)), (49, 60, month_label(49, 60))]
+#: Closed ranges of tenure in months, labels with an en dash; 60 is in the last but one.
+TENURE = [(0, 12, "0–12 months"), (13, 24, "13–24 months"), (25, 36, "25–36 months"), (37, 48, "37–48 months"), (49, 60, "49–60 months")]
 TENURE_ABOVE = "60+ months"
 
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension of a few short columns is sent to every executor.
-SMALL_ROWS = 200_000
+#: Rows, and bytes of their values, up to which a dimension is sent to every executor.
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most ``most`` rows, else as it is.
+def _value_bytes(df: DataFrame):
+    """Bytes of a row's values as text, 16 more a column, for what holds them."""
+    return sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0)).cast("long")
 
-    Counting stops at ``most`` rows; larger tables join by shuffling, where
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """The table with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` bytes, else as it is.
+
+    Counting stops beyond ``most`` rows; larger tables join by shuffling, where
     adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_value_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df

@@ -58,17 +58,25 @@ def append_log(row: DataFrame, table: str) -> None:
 
 def latest_run(log: DataFrame) -> DataFrame:
     """The last entry of each table and day, if the log was written twice on a day."""
-    order = Window.partitionBy("table_name", "run_date").orderBy(F.col("created_ts").desc())
+    order = Window.partitionBy("table_name", "run_date").orderBy(F.col("created_ts").desc(), F.col("row_count").desc_nulls_last())
     return log.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def _once(log: DataFrame) -> DataFrame:
+    """One entry per table and day: a log without times holds no other."""
+    return latest_run(log) if "created_ts" in log.columns else log
+
+
 def _change(now: str, before: str):
     return (F.col(now) - F.col(before)) * 100.0 / F.nullif(F.col(before), F.lit(0))
 
 
 def anomalies(log: DataFrame, run_date: str, prev_date: str, *, threshold: float = -10.0) -> DataFrame:
-    """Tables whose row count fell by more than the threshold between two days; no change from 0 rows."""
-    days = log.where(F.col("run_date").isin(run_date, prev_date))
+    """Tables whose row count fell by more than the threshold between two days; no change from 0 rows.
+
+    Of a table that was logged several times on a day, the last entry counts.
+    """
+    days = _once(log.where(F.col("run_date").isin(run_date, prev_date)))
     now = days.where(F.col("run_date") == run_date).select("table_name", F.col("run_date").alias("current_run_date"), F.col("row_count").alias("current_count"))
     old = days.where(F.col("run_date") == prev_date).select("table_name", F.col("run_date").alias("prev_run_date"), F.col("row_count").alias("prev_count"))
     return now.join(old, "table_name").withColumn("pct_change", _change("current_count", "prev_count")).where(F.col("pct_change") < threshold)
@@ -77,7 +85,7 @@ def anomalies(log: DataFrame, run_date: str, prev_date: str, *, threshold: float
 def anomalies_since_last(log: DataFrame, *, threshold: float = -10.0) -> DataFrame:
     """The same against each table's run before, whatever its day."""
     runs = Window.partitionBy("table_name").orderBy("run_date")
-    out = log.withColumn("prev_run_date", F.lag("run_date").over(runs)).withColumn("prev_count", F.lag("row_count").over(runs))
+    out = _once(log).withColumn("prev_run_date", F.lag("run_date").over(runs)).withColumn("prev_count", F.lag("row_count").over(runs))
     out = out.withColumnsRenamed({"run_date": "current_run_date", "row_count": "current_count"})
     return out.withColumn("pct_change", _change("current_count", "prev_count")).where(F.col("pct_change") < threshold).select("table_name", "current_run_date", "current_count", "prev_run_date", "prev_count", "pct_change")
 
@@ -93,14 +101,14 @@ def audit_history(log: DataFrame, table: str) -> DataFrame:
     return log.where(F.col("table_name") == table).orderBy(F.col("run_date").desc())
 
 
-def anomalies_sql(spark: SparkSession, log_view: str, run_date: str, prev_date: str) -> DataFrame:
-    """``anomalies`` in SQL with named parameters."""
+def anomalies_sql(spark: SparkSession, log_view: str, run_date: str, prev_date: str, *, threshold: float = -10.0) -> DataFrame:
+    """``anomalies`` in SQL with named parameters, over a view that has one entry per table and day."""
     return spark.sql(
         f"""SELECT c.table_name, c.run_date AS current_run_date, c.row_count AS current_count,
                    p.run_date AS prev_run_date, p.row_count AS prev_count,
                    (c.row_count - p.row_count) * 100.0 / nullif(p.row_count, 0) AS pct_change
             FROM {log_view} c JOIN {log_view} p ON c.table_name = p.table_name
             WHERE c.run_date = :run_date AND p.run_date = :prev_date
-              AND (c.row_count - p.row_count) * 100.0 / nullif(p.row_count, 0) < -10""",
-        args={"run_date": run_date, "prev_date": prev_date},
+              AND (c.row_count - p.row_count) * 100.0 / nullif(p.row_count, 0) < :threshold""",
+        args={"run_date": run_date, "prev_date": prev_date, "threshold": threshold},
     )

@@ -10,17 +10,18 @@ from basalt.workspace import Scratch
 
 
 def surrogate_keys(df: DataFrame, column: str, key: str, *, most: int = SMALL_ROWS) -> DataFrame:
-    """Distinct values with keys 1, 2, ... in the values' order; missing values have none.
+    """Distinct values with int keys 1, 2, ... in the values' order; missing values have none.
 
     The values are found once and stored, for they are few and the source is
     not: joins and counts then read the stored table.  Up to ``most`` values are
-    numbered by one window.  Beyond that, values are dealt out by range and
-    numbered within, and the driver adds up the sizes of the ranges.
+    numbered by one window over it.  Beyond that, values are dealt out by range
+    and numbered within, and the driver adds up the sizes of the ranges; the
+    keys are the same.  More values than an int has numbers are an error.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "surrogate-keys")
     values = scratch.table("values", df.select(column).where(F.col(column).isNotNull()).distinct())
-    if values.count() <= most:
-        return scratch.table("keys", values.select(F.row_number().over(Window.orderBy(column)).cast("int").alias(key), column))
+    if values.limit(most + 1).count() <= most:
+        return values.select(F.row_number().over(Window.orderBy(column)).cast("int").alias(key), column)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.table("placed", values.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()))
     sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -30,7 +31,7 @@ def surrogate_keys(df: DataFrame, column: str, key: str, *, most: int = SMALL_RO
         before += n
     starts = F.broadcast(spark.createDataFrame(rows, "__part int, __before long"))  # one row per shuffle partition
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(column))
-    return placed.withColumn("__in", inside).join(starts, "__part").select((F.col("__before") + F.col("__in")).cast("bigint").alias(key), column)
+    return placed.withColumn("__in", inside).join(starts, "__part").select((F.col("__before") + F.col("__in")).cast("int").alias(key), column)
 
 
 def build_fact(df: DataFrame, dimensions: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Codec by format, where the caller names none.
 CODEC = {"orc": "snappy", "parquet": "snappy", "csv": "none"}
@@ -16,18 +17,31 @@ def write_files(df: DataFrame, path: str, fmt: str = "orc", *, mode: str = "over
     writer.save(path)
 
 
-def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "overwrite", codec: str = "snappy", partition_by: list[str] | None = None, buckets: int | None = None, bucket_by: str | None = None) -> None:
+def writers_for(df: DataFrame, task_bytes: int = 512 << 20) -> int:
+    """Tasks that may write one partition: as many as the table has ``task_bytes``, by the optimizer's estimate, at most the session's number."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(-(-known // task_bytes), 1), most)
+
+
+def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "overwrite", codec: str = "snappy", partition_by: list[str] | None = None, buckets: int | None = None, bucket_by: str | None = None, writers: int | None = None) -> None:
     """Writes a managed table, in full by default.
 
     Overwriting is static: partitions that no longer occur are gone, so a row
-    that moved to another partition is not there twice.  Rows are dealt out by
-    partition and bucket first, so that each bucket of a partition is one file.
+    that moved to another partition is not there twice.  Rows of a bucketed
+    table are dealt out by partition and bucket number, so that each bucket of
+    a partition is one file and the buckets set how many tasks write.  Rows of
+    a partition without buckets are dealt to at most ``writers`` tasks by their
+    hash (by default as many as the table's size calls for), so that no value's
+    rows have to pass through one task.
     """
-    writer = df
+    writer, partition_by = df, partition_by or []
     if buckets and bucket_by:
-        writer = df.repartition(*(partition_by or []), bucket_by) if partition_by else df.repartition(buckets, bucket_by)
+        tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if partition_by else buckets
+        writer = df.repartition(tasks, *partition_by, F.pmod(F.hash(bucket_by), F.lit(buckets)))  # as the writer numbers buckets
     elif partition_by:
-        writer = df.repartition(*partition_by)
+        salt = writers or writers_for(df)
+        writer = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(salt))) if salt > 1 else df.repartition(*partition_by)
     out = writer.write.format(fmt).mode(mode).option("compression", codec).option("partitionOverwriteMode", "static")
     if partition_by:
         out = out.partitionBy(*partition_by)

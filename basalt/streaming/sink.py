@@ -1,10 +1,11 @@
 """A sink that holds one row per key, whatever is sent again.
 
 Rows lie in buckets of the key's hash.  A batch rewrites the buckets that it
-touches into a folder of its own number, from their latest state before it; the
-state is each bucket's latest folder.  So no file is read and replaced at once,
-a batch that is run again writes the same folder, and a message that comes twice
-changes nothing.
+touches into the folder of a new version, from their latest state before it; the
+state is each bucket's latest folder among the versions that were written to
+their end.  So no file is read and replaced at once, a write that failed leaves
+nothing that counts, and a batch that is run again, in whatever order and after
+whatever lost checkpoint, changes nothing: per key the highest row wins.
 """
 
 from __future__ import annotations
@@ -13,48 +14,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.operators.merge import latest_per_key
-from basalt.streaming.messages import parse, transform
+from basalt.streaming.messages import POSITION, dead_letters, parse, transform
 
 
 class KeyedSink:
-    """Rows of a schema by ``key``, the one with the highest ``order`` value winning.
+    """Rows of a schema by ``key``, the one with the highest ``order`` value winning; one writer at a time.
 
-    With many buckets a batch of few keys rewrites little; a bucket should fit a task.
+    With many buckets a batch of few keys rewrites little, and a bucket should
+    fit a task: ``resize`` deals a sink that has grown to more of them.  Folders
+    that newer ones have replaced are removed after ``keep`` further versions,
+    which is how long a reader of an earlier state may take.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, *, key: str = "ID", order: str = "last_updated", buckets: int = 16):
-        self.spark, self.path, self.schema, self.key, self.order, self.buckets = spark, path, schema, key, order, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, *, key: str = "ID", order: str = "last_updated", buckets: int = 16, keep: int = 3):
+        self.spark, self.path, self.schema, self.key, self.order, self.buckets, self.keep = spark, path, schema, key, order, buckets, keep
 
-    def _exists(self) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def _found(self, pattern: str) -> list:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._root()}/{pattern}")
+        return [s.getPath() for s in where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []]
 
-    def _state(self, before: int | None) -> DataFrame:
-        """All columns with version and bucket, of each bucket's latest version (before a batch)."""
-        full = f"{self.schema}, version long, bucket int"
-        if not self._exists():
-            return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(self.path)
-        if before is not None:
-            rows = rows.where(F.col("version") < before)
-        latest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket; partition columns alone
-        return rows.join(F.broadcast(latest), ["version", "bucket"], "left_semi")
+    def _root(self) -> str:
+        return f"{self.path}/buckets={self.buckets}"
+
+    def _versions(self) -> list[int]:
+        """Versions that were written to their end."""
+        return sorted(int(p.getParent().getName().split("=")[1]) for p in self._found("version=*/_SUCCESS"))
+
+    def _folders(self) -> dict[int, list[tuple[int, object]]]:
+        """(version, folder) of each bucket, the latest last; at most ``buckets * keep`` and what the last version left."""
+        done, out = set(self._versions()), {}
+        for p in self._found("version=*/bucket=*"):
+            version = int(p.getParent().getName().split("=")[1])
+            if version in done:
+                out.setdefault(int(p.getName().split("=")[1]), []).append((version, p))
+        return {bucket: sorted(found, key=lambda f: f[0]) for bucket, found in out.items()}
+
+    def _state(self, buckets: set[int] | None = None) -> DataFrame:
+        latest = [str(found[-1][1]) for bucket, found in sorted(self._folders().items()) if buckets is None or bucket in buckets]
+        return self.spark.read.schema(self.schema).parquet(*latest) if latest else self.spark.createDataFrame([], self.schema)
 
     def rows(self) -> DataFrame:
         """What the sink holds."""
-        return self._state(None).drop("version", "bucket")
+        return self._state()
 
-    def upsert(self, batch: DataFrame, number: int) -> None:
-        """Merges a batch; numbers ascend, and a batch may be run again."""
+    def upsert(self, batch: DataFrame) -> None:
+        """Merges a batch; a batch may come again."""
         fields = [f.split() for f in self.schema.split(", ")]
         names = [n for n, _ in fields]
-        fresh = batch.select(*(F.col(n).cast(kind).alias(n) for n, kind in fields)).withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one per bucket
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        fresh = batch.select(*(F.col(n).cast(kind).alias(n) for n, kind in fields))
+        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # at most one per bucket
         if not touched:
             return
-        held = self._state(number).where(F.col("bucket").isin(touched)).drop("version")
-        merged = latest_per_key(held.unionByName(fresh.select(held.columns)), ["bucket", self.key], [F.col(self.order).desc_nulls_last(), F.xxhash64(*names)])
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={number}")
+        every = self._state(touched).select(*names).unionByName(fresh).withColumn("bucket", bucket)
+        merged = latest_per_key(every, ["bucket", self.key], [F.col(self.order).desc_nulls_last(), F.xxhash64(*names)])
+        number = (self._versions() or [-1])[-1] + 1
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self._root()}/version={number}")
+        self._forget(number)
+
+    def _forget(self, now: int) -> None:
+        """Removes folders that were replaced ``keep`` versions ago."""
+        for found in self._folders().values():
+            for (_, folder), (replaced, _) in zip(found, found[1:]):
+                if replaced <= now - self.keep:
+                    folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def resize(self, buckets: int) -> "KeyedSink":
+        """The sink with another number of buckets, holding the same rows; this one's folders stay until dropped."""
+        other = KeyedSink(self.spark, self.path, self.schema, key=self.key, order=self.order, buckets=buckets, keep=self.keep)
+        other.upsert(self.rows())
+        return other
 
 
 def consume_keyed(messages: DataFrame, sink: KeyedSink, dead_path: str, checkpoint: str, *, discount_category: str, discount: float, fmt: str = "json"):
@@ -69,9 +98,9 @@ def consume_keyed(messages: DataFrame, sink: KeyedSink, dead_path: str, checkpoi
         try:
             if parsed.isEmpty():
                 return
-            good = parsed.where("valid").drop("value", "valid")
-            sink.upsert(transform(good, discount_category=discount_category, discount=discount), number)
-            parsed.where("not valid").select("value").write.mode("overwrite").format(fmt).save(f"{dead_path}/batch={number}")
+            good = parsed.where("valid").drop("value", "valid", "reason", *POSITION)
+            sink.upsert(transform(good, discount_category=discount_category, discount=discount))
+            dead_letters(parsed, number).write.mode("overwrite").format(fmt).save(f"{dead_path}/batch={number}")
         finally:
             parsed.unpersist()
 

@@ -64,12 +64,12 @@ def test_sink_holds_one_row_per_key(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "ID int, price float, last_updated string")
     held = lambda: sorted(tuple(r) for r in sink.rows().collect())
     assert held() == []
-    sink.upsert(rows(), 0)
-    sink.upsert(rows((1, 1.0, "a"), (2, 2.0, "a"), (1, 3.0, "b")), 1)
+    sink.upsert(rows())
+    sink.upsert(rows((1, 1.0, "a"), (2, 2.0, "a"), (1, 3.0, "b")))
     assert held() == [(1, 3.0, "b"), (2, 2.0, "a")]
     for _ in range(2):  # run again after a crash
-        sink.upsert(rows((2, 5.0, "b"), (3, 7.0, None), (1, 9.0, "a")), 2)
+        sink.upsert(rows((2, 5.0, "b"), (3, 7.0, None), (1, 9.0, "a")))
         assert held() == [(1, 3.0, "b"), (2, 5.0, "b"), (3, 7.0, None)]
-    sink.upsert(rows((3, 8.0, "a")), 3)
+    sink.upsert(rows((3, 8.0, "a")))
     assert held() == [(1, 3.0, "b"), (2, 5.0, "b"), (3, 8.0, "a")]
     assert KeyedSink(spark, str(tmp_path / "sink"), sink.schema, buckets=3).rows().count() == 3
