@@ -4,30 +4,34 @@ A string of ``length`` bytes that occurs twice holds the same anchor at the
 same place: the least-hashed of its k-byte substrings.  Every window of
 ``length`` bytes so belongs to one anchor, and an anchor's windows lie in one
 short segment of text.  Counting anchors and whole segments decides most of
-them; segments that share an anchor but differ are laid out along it and
-their suffixes are sorted column by column, from the right, one symbol of each
-segment a round.  A round reads the order and common prefixes of the round
-before from a file, and writes its own symbols in that order (the column of
-the Burrows-Wheeler transform), order and common prefixes to the next.  Windows
-that are equal stand in the same column, so rounds need not be interleaved.
+them, by 128 bits of hashes; segments that share an anchor but differ are laid
+out along it, and the Burrows-Wheeler transform of the collection of them is
+built column by column, from the right, one symbol of each segment a round.  A
+round reads the transform and the common prefixes of neighbouring suffixes from
+their files, finds from them the place of every segment's next suffix, and
+writes both files anew with the new symbols and prefixes in their places.
+Windows that are equal stand in the same column, so they meet in one round, as
+neighbours with a common prefix of ``length``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
 from .blobs import as_frame, dealt, stream, unstream
 from .common import Scratch, byte_batches, carried, carried_schema, only, release, shuffle_partitions, small_batches
 
+#: The symbol before a whole segment; no byte of UTF-8.
+END = 255
 #: Bytes of an anchor: windows of 200 bytes have 137 places for one.
 ANCHOR = 64
 
@@ -71,87 +75,124 @@ def anchors(texts: list[bytes], length: int, k: int = ANCHOR) -> dict[str, np.nd
 
 
 class ColumnFiles:
-    """Order and common prefixes of the last round, and the transform so far, in files written from end to end.
+    """The transform and the common prefixes, written from end to end each round and read again in the next.
 
-    The files are a task's own scratch, as Spark's spills are: no other task
-    reads them, and they go when the batch is done.
+    Up to ``held_bytes`` the two are buffers in memory; beyond that they are
+    files in the shared folder, read and written there in sequence, so that a
+    task's memory does not grow with its collection.  ``close`` removes them; a
+    lost executor's files go with the scratch folder, and no other task reads them.
     """
 
-    def __init__(self, folder: str):
-        self.state, self.next, self.bwt = (os.path.join(folder, n) for n in ("state", "next", "bwt"))
-        self.write(np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.uint8))
+    def __init__(self, folder: str, held_bytes: int):
+        self.folder, self.held_bytes, self.name, self.round = folder, held_bytes, uuid.uuid4().hex, 0
+        self.buffers = (b"", b"")
+        self.files = None
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.fromfile(self.state, np.uint8)
-        rows = len(raw) // 6
-        return raw[: 4 * rows].view(np.int32), raw[4 * rows :].view(np.int16)
-
-    def write(self, order: np.ndarray, common: np.ndarray, symbols: np.ndarray) -> None:
-        with open(self.next, "wb") as out:
-            out.write(order.tobytes())
-            out.write(common.tobytes())
-        os.replace(self.next, self.state)
-        with open(self.bwt, "ab") as out:
-            out.write(symbols.tobytes())
-
-
-def repeated_windows(group: np.ndarray, segments: list[bytes], lead: np.ndarray, length: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of segments that another segment of their group has too: (segment, first byte of the window).
-
-    ``group`` ascends; ``lead`` is the number of a segment's bytes before its anchor.
+        if self.files is None:
+            return tuple(np.frombuffer(x, np.uint8) for x in self.buffers)
+        out = []
+        for path in self._paths(self.round):
+            with self.files.open_input_stream(path) as source:
+                out.append(np.frombuffer(source.read(), np.uint8))
+        return tuple(out)
+
+    def write(self, transform: np.ndarray, common: np.ndarray) -> None:
+        if self.files is None and len(transform) + len(common) <= self.held_bytes:
+            self.buffers = (transform, common)
+            return
+        if self.files is None:
+            where = self.folder if "://" in self.folder else self.folder.removeprefix("file:")
+            self.files, self.root = pafs.FileSystem.from_uri(where)
+            self.files.create_dir(f"{self.root}/{self.name}", recursive=True)
+            self.buffers = ()
+        for path, values in zip(self._paths(self.round + 1), (transform, common)):
+            with self.files.open_output_stream(path) as sink:
+                sink.write(values.tobytes())
+        if self.round:
+            for path in self._paths(self.round):
+                self.files.delete_file(path)
+        self.round += 1
+
+    def _paths(self, number: int) -> list[str]:
+        return [f"{self.root}/{self.name}/{what}-{number}" for what in ("transform", "common")]
+
+    def close(self) -> None:
+        if self.files is not None:
+            self.files.delete_dir(f"{self.root}/{self.name}")
+
+
+def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files: ColumnFiles) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of segments that stand elsewhere too: (segment, first byte of the window).
+
+    ``lead`` is the number of a segment's bytes before its anchor, from which
+    columns are counted; segments end in different columns, and each enters as
+    an empty suffix in the round of the column after its last byte.  As the
+    suffixes that start with a symbol stand in the order in which the symbol
+    stands in the transform, a new suffix's place follows from the rank of its
+    symbol there, and what it has in common with its neighbours is one more than
+    the least common prefix between the symbol and its next equal on that side.
     """
     size = np.array([len(s) for s in segments], np.int64)
-    begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join(segments), np.uint8)
-    files = ColumnFiles(folder)
+    anchor = np.cumsum(size) - size + lead
+    enters = {int(c): np.flatnonzero(size - lead == c) for c in np.unique(size - lead)}
+    none = np.zeros(0, np.int64)
+    segment, place = none, none  # of the suffixes that were inserted last, and have symbols before them
+    empty = ended = 0  # suffixes without a symbol, which stand first; segments that are whole
     found_segment, found_first = [], []
-    enters = size - lead  # column after the last byte, from the anchor
-    entry = {int(c): np.flatnonzero(enters == c).astype(np.int32) for c in np.unique(enters)}
-    for column in range(int(enters.max()) - 1, -int(lead.max()) - 1, -1):
-        order, common = files.read()
-        keep = -lead[order] <= column  # segments that have begun are done
-        if not keep.all():
-            order, common = order[keep], _carry(common, keep)
-        new = entry.get(column + 1)
-        if new is not None:  # empty suffixes, before all others of their group, with nothing in common
-            both = np.concatenate([new, order])
-            rank = np.argsort(group[both], kind="stable")
-            order = both[rank]
-            common = np.concatenate([np.zeros(len(new), np.int16), common])[rank]
-            after = np.flatnonzero(rank < len(new)) + 1
-            common[after[after < len(order)]] = 0
-        if not len(order):
-            continue
-        symbol = data[begin[order] + lead[order] + column]
-        rank = np.lexsort((symbol, group[order]))  # stable: the order of the round before breaks ties
-        placed, symbols = order[rank], symbol[rank]
-        same = np.zeros(len(placed), bool)
-        same[1:] = (symbols[1:] == symbols[:-1]) & (group[placed[1:]] == group[placed[:-1]])
-        prefix = np.zeros(len(placed), np.int16)
-        pairs = np.flatnonzero(same)
-        if len(pairs):
-            ends = np.empty(2 * len(pairs), np.int64)
-            ends[::2], ends[1::2] = rank[pairs - 1] + 1, rank[pairs] + 1
-            prefix[pairs] = np.minimum.reduceat(np.append(common, 0), ends)[::2] + 1
-        np.minimum(prefix, length, out=prefix)
-        files.write(placed.astype(np.int32), prefix, symbols)
-        twin = prefix >= length
-        twin[:-1] |= twin[1:]
+    for column in range(max(enters), -int(lead.max()) - 1, -1):
+        transform, common = files.read()
+        n, new = len(transform), enters.get(column, none)
+        by_symbol = np.argsort(transform, kind="stable")[: n - ended]
+        last = np.zeros(n, bool)
+        last[place] = True
+        rank = np.flatnonzero(last[by_symbol])
+        turn = np.argsort(transform[place], kind="stable")
+        segment, place = segment[turn], place[turn]
+        symbol = transform[place]
+        before, after = by_symbol[np.maximum(rank - 1, 0)], by_symbol[np.minimum(rank + 1, max(len(by_symbol) - 1, 0))]
+        has_before = (rank > 0) & (transform[before] == symbol)
+        has_after = (rank + 1 < len(by_symbol)) & (transform[after] == symbol)
+        least = _least_between(common, np.concatenate([before[has_before], place[has_after]]) + 1, np.concatenate([place[has_before], after[has_after]]) + 1)
+        shared = np.minimum(least, length - 1) + 1
+        left, right = np.zeros(len(segment), np.uint8), np.zeros(len(segment), np.uint8)
+        left[has_before], right[has_after] = np.split(shared, [int(has_before.sum())])
+        at = empty + len(new) + rank  # places of the new suffixes among all
+        into = np.concatenate([empty + np.arange(len(new)), at])
+        owner = np.concatenate([new, segment])
+        more = -lead[owner] < column
+        symbols = np.full(len(owner), END, np.uint8)
+        symbols[more] = data[anchor[owner[more]] + column - 1]
+        old = np.ones(n + len(into), bool)
+        old[into] = False
+        next_transform, next_common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        next_transform[old], next_transform[into] = transform, symbols
+        next_common[old] = common
+        next_common[into[: len(new)]] = 0
+        next_common[at] = left
+        next_common[at[has_after] + 1] = right[has_after]
+        files.write(next_transform, next_common)
+        twin = np.maximum(left, right) >= length
         if twin.any():
-            hit = placed[twin]
-            found_segment.append(hit)
-            found_first.append(lead[hit] + column)
-    if not found_segment:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_segment).astype(np.int64), np.concatenate(found_first)
-
-
-def _carry(common: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Common prefixes of the rows kept: the least since the last row kept."""
-    kept = np.flatnonzero(keep)
-    if not len(kept):
-        return common[:0]
-    return np.minimum.reduceat(common[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+            found_segment.append(segment[twin])
+            found_first.append(lead[segment[twin]] + column)
+        empty += len(new)
+        ended += int((~more).sum())
+        segment, place = owner[more], into[more]
+    return (np.concatenate(found_segment), np.concatenate(found_first)) if found_segment else (none, none)
+
+
+def _least_between(common: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of common[first:end] for each pair; taken in descending order, so that nothing between pairs is read."""
+    if not len(first):
+        return np.zeros(0, np.uint8)
+    order = np.argsort(-first, kind="stable")
+    bounds = np.empty(2 * len(first), np.int64)
+    bounds[::2], bounds[1::2] = first[order], end[order]
+    out = np.empty(len(first), np.uint8)
+    out[order] = np.minimum.reduceat(np.append(common, np.uint8(0)), bounds)[::2]
+    return out
 
 
 def _blobs(batch: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
@@ -240,13 +281,13 @@ def _batched(rows, kinds: dict, size: int):
         yield stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds)))
 
 
-def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, crowd: int) -> DataFrame:
+def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, held_bytes: int, crowd: int) -> DataFrame:
     """row, first, end of repeated bytes; spans of one row may overlap."""
     spark = source.sparkSession
-    counted = anchor_counts(source, length, batch_bytes).repartition(parts, "akey").groupBy("akey", "segkey").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("akey")
-    counted = counted.withColumn("all", F.sum("n").over(whole)).withColumn("kinds", F.count(F.lit(1)).over(whole)).where("all > 1")
-    kept = scratch.table("segments", counted.select("akey", "segkey", "n", "kinds"))
+    # counted by anchor and segment together, and by anchor from partial sums: no task holds all segments of an anchor
+    counted = anchor_counts(source, length, batch_bytes).groupBy("akey", "segkey").agg(F.sum("n").alias("n"))
+    anchors_of = counted.groupBy("akey").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("akey", "kinds")
+    kept = scratch.table("segments", counted.join(anchors_of.hint("merge"), "akey").select("akey", "segkey", "n", "kinds"))
     marked = scratch.table("anchors", anchor_rows(source, length, batch_bytes).join(kept, ["akey", "segkey"]).select("akey", "segkey", "row", "pos", "kinds", "n"))
 
     first, windows = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(F.lit(4095))
@@ -269,12 +310,17 @@ def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, lengt
     pieces = as_frame(spark, requests(f"kinds <= {crowd}").mapPartitions(lambda items: _batched(_requested(items, cut), kinds, 8192)), "akey long, row long, first long, lead int, single boolean, bytes binary")
     grouped = pieces.repartition(parts, "akey").sortWithinPartitions("akey")
 
+    folder = scratch.path("columns")
+
     def sort_columns(batches):
         release()
         for table in _whole_anchors(batches, segments_at_once):
             lead, single, row, start = (table[n].to_numpy(zero_copy_only=False) for n in ("lead", "single", "row", "first"))
-            with tempfile.TemporaryDirectory() as folder:
-                segment, window = repeated_windows(table["akey"].to_numpy(), table["bytes"].to_pylist(), lead.astype(np.int64), length, folder)
+            files = ColumnFiles(folder, held_bytes)
+            try:
+                segment, window = repeated_windows(table["bytes"].to_pylist(), lead.astype(np.int64), length, files)
+            finally:
+                files.close()
             own = single[segment]
             segment, window = segment[own], window[own]
             rank = np.lexsort((window, segment))
@@ -321,24 +367,28 @@ def _whole_anchors(batches, at_once: int):
         yield held
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 8192, crowd: int = 50_000, keep_text: bool = False, carry: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 2048, held_bytes: int = 16 << 20, crowd: int = 50_000, keep_text: bool = False, carry: str | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes
     and the text that they are, without characters that were cut apart.
 
     Removes every byte that lies in a string of ``length`` bytes that starts
     anywhere else in the table, the same text included; strings are judged on
     the input.  A null text is empty; texts shorter than ``length`` keep all;
-    repeated rows and copies repeat each other and lose all; a null id stays
+    ``length`` is 65 to 255 bytes; repeated rows and copies repeat each other and lose all; a null id stays
     null; an empty table gives none; other columns are not read, but for
     ``carry``, which comes back with its row.
 
-    An anchor that over ``crowd`` different segments share is a passage cut off
-    in ever other places; its windows are counted one by one, by their hashes,
-    dealt out by window, so that no task holds such a group.
+    The segments of about ``segments_at_once`` go into one transform, which is
+    in memory up to ``held_bytes`` and in files of the shared folder beyond.  An
+    anchor that over ``crowd`` different segments share is a passage cut off in
+    ever other places, and would fill a task: its windows are dealt out one by
+    one, by their content, and found by counting it (128 bits of hashes).
 
     The texts are shuffled once, compressed; both jobs that need them by row
     read that one shuffle.
     """
+    if not ANCHOR < length < 256:
+        raise ValueError("length is from 65 to 255 bytes")
     spark = docs.sparkSession
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
@@ -357,7 +407,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield _blobs(table, (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
     texts = dealt(own.mapInArrow(number, "part int, blob binary"), parts)
-    spans = repeated_spans(source, texts, parts, scratch, length, batch_bytes, segments_at_once, crowd)
+    spans = repeated_spans(source, texts, parts, scratch, length, batch_bytes, segments_at_once, held_bytes, crowd)
     spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def finish(items):

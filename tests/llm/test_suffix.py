@@ -1,6 +1,5 @@
 import hashlib
 import random
-import tempfile
 
 import numpy as np
 import pytest
@@ -55,8 +54,7 @@ def test_columns_find_what_brute_force_finds():
         if rows:
             segments = [texts[found["text"][i]][found["first"][i] : found["last"][i] + length] for _, i in rows]
             lead = np.array([found["place"][i] - found["first"][i] for _, i in rows])
-            with tempfile.TemporaryDirectory() as folder:
-                hits = suffix.repeated_windows(np.array([g for g, _ in rows]), segments, lead, length, folder)
+            hits = suffix.repeated_windows(segments, lead, length, suffix.ColumnFiles("", 1 << 30))
             for s, w in zip(*hits):
                 i = rows[s][1]
                 masks[found["text"][i]][found["first"][i] + w :][:length] = True
@@ -64,6 +62,41 @@ def test_columns_find_what_brute_force_finds():
             assert (got == expected).all()
 
 
+@pytest.mark.parametrize("held_bytes", [0, 100, 1 << 20])
+def test_files_hold_the_collections_transform_and_common_prefixes(tmp_path, held_bytes):
+    """After the last round the files are what sorting all suffixes gives; segments end in order of their entry."""
+    rng = random.Random(held_bytes)
+    for _ in range(20):
+        segments = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 9))]
+        lead = np.array([rng.randint(0, len(s) - 1) for s in segments])
+        files = suffix.ColumnFiles(f"file:{tmp_path}/columns", held_bytes)
+        suffix.repeated_windows(segments, lead, 5, files)
+        transform, common = files.read()
+        enters = np.argsort([-(len(s) - k) for s, k in zip(segments, lead)], kind="stable").tolist()
+        every = sorted((s[i:], enters.index(n), s[i - 1] if i else suffix.END) for n, s in enumerate(segments) for i in range(len(s) + 1))
+        assert transform.tolist() == [x[2] for x in every]
+        for (a, _, _), (b, _, _), got in zip(every, every[1:], common[1:].tolist()):
+            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert got == min(same, 5)
+        files.close()
+        assert not list(tmp_path.rglob("transform*"))
+
+
+@pytest.mark.parametrize("held_bytes", [0, 1 << 24])
+def test_very_long_texts(spark, held_bytes):
+    """Texts of 100 KB and more that share passages at shifted places."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passages = [noise(n) for n in (199, 200, 201, 450, 3000)]
+    texts = [noise(50_000) + "".join(noise(rng.randint(1, 4000)) + rng.choice(passages) for _ in range(30)) for _ in range(4)]
+    texts += [texts[0][:120_000] + "x", noise(300) * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix.remove_repeats(docs, held_bytes=held_bytes).collect()}
+    data = [t.encode() for t in texts]
+    for i, (t, mask) in enumerate(zip(data, brute_mask(data, 200))):
+        assert got[i] == (int(mask.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest())
+
+
 @pytest.mark.parametrize("at_once,crowd", [(8192, 50_000), (4, 50_000), (8, 3)])
 def test_documents_of_every_kind(spark, at_once, crowd):
     rng = random.Random(8)
