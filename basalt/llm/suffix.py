@@ -367,7 +367,7 @@ def _whole_anchors(batches, at_once: int):
         yield held
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 2048, held_bytes: int = 16 << 20, crowd: int = 50_000, keep_text: bool = False, carry: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_bytes: int = 1 << 20, segments_at_once: int = 2048, held_bytes: int = 16 << 20, crowd: int = 1000, keep_text: bool = False, carry: str | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes
     and the text that they are, without characters that were cut apart.
 
