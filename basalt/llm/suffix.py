@@ -21,6 +21,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
@@ -122,7 +123,7 @@ class ColumnFiles:
             self.files.delete_dir(f"{self.root}/{self.name}")
 
 
-def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files: ColumnFiles) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files: ColumnFiles, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Windows of segments that stand elsewhere too: (segment, first byte of the window).
 
     ``lead`` is the number of a segment's bytes before its anchor, from which
@@ -132,6 +133,8 @@ def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files
     stands in the transform, a new suffix's place follows from the rank of its
     symbol there, and what it has in common with its neighbours is one more than
     the least common prefix between the symbol and its next equal on that side.
+    A segment that can no longer share ``length`` symbols with any other ends
+    early, unless ``whole`` is asked for.
     """
     size = np.array([len(s) for s in segments], np.int64)
     data = np.frombuffer(b"".join(segments), np.uint8)
@@ -144,16 +147,10 @@ def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files
     for column in range(max(enters), -int(lead.max()) - 1, -1):
         transform, common = files.read()
         n, new = len(transform), enters.get(column, none)
-        by_symbol = np.argsort(transform, kind="stable")[: n - ended]
-        last = np.zeros(n, bool)
-        last[place] = True
-        rank = np.flatnonzero(last[by_symbol])
         turn = np.argsort(transform[place], kind="stable")
         segment, place = segment[turn], place[turn]
-        symbol = transform[place]
-        before, after = by_symbol[np.maximum(rank - 1, 0)], by_symbol[np.minimum(rank + 1, max(len(by_symbol) - 1, 0))]
-        has_before = (rank > 0) & (transform[before] == symbol)
-        has_after = (rank + 1 < len(by_symbol)) & (transform[after] == symbol)
+        rank, before, after = _by_symbol(transform, place)
+        has_before, has_after = before >= 0, after >= 0
         least = _least_between(common, np.concatenate([before[has_before], place[has_after]]) + 1, np.concatenate([place[has_before], after[has_after]]) + 1)
         shared = np.minimum(least, length - 1) + 1
         left, right = np.zeros(len(segment), np.uint8), np.zeros(len(segment), np.uint8)
@@ -161,7 +158,10 @@ def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files
         at = empty + len(new) + rank  # places of the new suffixes among all
         into = np.concatenate([empty + np.arange(len(new)), at])
         owner = np.concatenate([new, segment])
-        more = -lead[owner] < column
+        ahead = lead[owner] + column
+        more = ahead > 0
+        if not whole:
+            more[len(new) :] &= np.maximum(left, right) + ahead[len(new) :] >= length
         symbols = np.full(len(owner), END, np.uint8)
         symbols[more] = data[anchor[owner[more]] + column - 1]
         old = np.ones(n + len(into), bool)
@@ -183,6 +183,32 @@ def repeated_windows(segments: list[bytes], lead: np.ndarray, length: int, files
     return (np.concatenate(found_segment), np.concatenate(found_first)) if found_segment else (none, none)
 
 
+def _by_symbol(transform: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places in the transform, in the order of their symbols: their rank if it were sorted by symbol, and the places of the equal symbols before and after, or -1.
+
+    Works on runs of equal symbols, of which a transform has few.
+    """
+    n = len(transform)
+    if not len(place):
+        return place, place, place
+    edge = np.ones(n, bool)
+    np.not_equal(transform[1:], transform[:-1], out=edge[1:])
+    first = np.flatnonzero(edge)
+    size = np.diff(first, append=n)
+    symbol = transform[first]
+    order = np.argsort(symbol, kind="stable")
+    run = np.searchsorted(first, place, "right") - 1  # places come by symbol, so these runs stand in this order in ``order`` as well
+    held = np.zeros(len(first), bool)
+    held[run] = True
+    at = np.flatnonzero(held[order])[np.cumsum(np.diff(run, prepend=run[0]) != 0)]
+    upto = np.cumsum(size[order])
+    begin, end = first[run], first[run] + size[run]
+    earlier, later = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(first) - 1)]
+    before = np.where(place > begin, place - 1, np.where((at > 0) & (symbol[earlier] == symbol[run]), first[earlier] + size[earlier] - 1, -1))
+    after = np.where(place + 1 < end, place + 1, np.where((at + 1 < len(first)) & (symbol[later] == symbol[run]), first[later], -1))
+    return upto[at] - size[run] + place - begin, before, after
+
+
 def _least_between(common: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The least of common[first:end] for each pair; taken in descending order, so that nothing between pairs is read."""
     if not len(first):
@@ -211,20 +237,6 @@ def _by_row(batches, parts: int):
             yield _blobs(batch, (batch.column(0).to_numpy().view(np.uint64) % np.uint64(parts)).astype(np.int32))
 
 
-def anchor_counts(source: DataFrame, length: int, batch_bytes: int) -> DataFrame:
-    """akey, segkey, n: segments counted per batch already."""
-
-    def run(batches):
-        release()
-        for batch in byte_batches(batches, batch_bytes):
-            found = anchors([(t.as_py() or "").encode() for t in batch.column(1)], length)
-            both = np.stack([found["akey"], found["segkey"]], axis=1).view(np.int64)
-            keys, n = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(n.astype(np.int64))], names=["akey", "segkey", "n"])
-
-    return source.mapInArrow(run, "akey long, segkey long, n long")
-
-
 def anchor_rows(source: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """akey, segkey, row, pos for every anchor; pos packs first window, windows and lead."""
 
@@ -251,7 +263,7 @@ def _unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _requested(items, take):
-    """Calls ``take(row, text, akeys, positions, singles)`` for each text that is asked for; requests come before texts."""
+    """Calls ``take(row, text, akeys, positions, singles, crowded)`` for each text that is asked for; requests come before texts."""
     asked, rows = [], None
     for _, blob in items:
         table = unstream(blob)
@@ -263,11 +275,11 @@ def _requested(items, take):
         if rows is None:
             held = pa.concat_tables(asked).sort_by("row")
             rows, pos, akey = (held[n].to_numpy() for n in ("row", "pos", "akey"))
-            single = held["single"].to_numpy(zero_copy_only=False)
+            single, crowded = (held[n].to_numpy(zero_copy_only=False) for n in ("single", "crowded"))
         for row, text in zip(table["row"].to_pylist(), table["text"]):
             a, b = np.searchsorted(rows, row, "left"), np.searchsorted(rows, row, "right")
             if a < b:
-                yield from take(row, text.as_py(), akey[a:b], pos[a:b], single[a:b])
+                yield from take(row, text.as_py(), akey[a:b], pos[a:b], single[a:b], crowded[a:b])
 
 
 def _batched(rows, kinds: dict, size: int):
@@ -284,38 +296,36 @@ def _batched(rows, kinds: dict, size: int):
 def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, held_bytes: int, crowd: int) -> DataFrame:
     """row, first, end of repeated bytes; spans of one row may overlap."""
     spark = source.sparkSession
+    found = scratch.table("found", anchor_rows(source, length, batch_bytes), compression="lz4")
     # counted by anchor and segment together, and by anchor from partial sums: no task holds all segments of an anchor
-    counted = anchor_counts(source, length, batch_bytes).groupBy("akey", "segkey").agg(F.sum("n").alias("n"))
+    counted = found.groupBy("akey", "segkey").agg(F.count(F.lit(1)).alias("n"))
     anchors_of = counted.groupBy("akey").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("akey", "kinds")
     kept = scratch.table("segments", counted.join(anchors_of.hint("merge"), "akey").select("akey", "segkey", "n", "kinds"))
-    marked = scratch.table("anchors", anchor_rows(source, length, batch_bytes).join(kept, ["akey", "segkey"]).select("akey", "segkey", "row", "pos", "kinds", "n"))
+    marked = scratch.table("anchors", found.join(kept, ["akey", "segkey"]).select("akey", "segkey", "row", "pos", "kinds", "n"))
+    scratch.drop("found")
 
     first, windows = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(F.lit(4095))
     covers = marked.where("n > 1").select("row", first.alias("first"), (first + windows + length).alias("end"))
-    wanted = marked.where("kinds > 1 and n = 1").select("row", "pos", "akey", "kinds", F.lit(True).alias("single"))
-    shared = marked.where("kinds > 1 and n > 1").groupBy("akey", "segkey").agg(F.min(F.struct("row", "pos", "kinds")).alias("one"))
-    wanted = wanted.union(shared.select("one.row", "one.pos", "akey", "one.kinds", F.lit(False)))
-
-    def requests(which: str):
-        chosen = wanted.where(which).drop("kinds")
-        return spark.sparkContext.union([dealt(chosen.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts), texts])
-
-    def cut(row, data, akey, pos, single):
-        start, many, lead = _unpack(pos)
-        for i in range(len(pos)):
-            s = int(start[i])
-            yield int(akey[i]), row, s, int(lead[i]), bool(single[i]), data[s : s + int(many[i]) + length]
-
+    crowded = (F.col("kinds") > crowd).alias("crowded")
+    wanted = marked.where("kinds > 1 and n = 1").select("row", "pos", "akey", crowded, F.lit(True).alias("single"))
+    shared = marked.where("kinds > 1 and n > 1").groupBy("akey", "segkey").agg(F.min(F.struct("row", "pos", "kinds")).alias("one")).select("one.*", "akey")
+    wanted = wanted.union(shared.select("row", "pos", "akey", crowded, F.lit(False)))
+    requests = spark.sparkContext.union([dealt(wanted.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts), texts])
     kinds = {"akey": pa.int64(), "row": pa.int64(), "first": pa.int64(), "lead": pa.int32(), "single": pa.bool_(), "bytes": pa.binary()}
-    pieces = as_frame(spark, requests(f"kinds <= {crowd}").mapPartitions(lambda items: _batched(_requested(items, cut), kinds, 8192)), "akey long, row long, first long, lead int, single boolean, bytes binary")
+    pieces = as_frame(spark, requests.mapPartitions(lambda items: _batched(_pieces(items, length), kinds, 8192)), "akey long, row long, first long, lead int, single boolean, bytes binary")
     grouped = pieces.repartition(parts, "akey").sortWithinPartitions("akey")
-
     folder = scratch.path("columns")
 
     def sort_columns(batches):
         release()
         for table in _whole_anchors(batches, segments_at_once):
+            twice = _equal_windows(table, length)
+            if twice is not None:
+                yield twice
+                table = table.filter(pc.greater_equal(table["lead"], 0))
             lead, single, row, start = (table[n].to_numpy(zero_copy_only=False) for n in ("lead", "single", "row", "first"))
+            if not len(lead):
+                continue
             files = ColumnFiles(folder, held_bytes)
             try:
                 segment, window = repeated_windows(table["bytes"].to_pylist(), lead.astype(np.int64), length, files)
@@ -332,21 +342,55 @@ def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, lengt
             base = start[segment[at]]
             yield pa.RecordBatch.from_arrays([pa.array(row[segment[at]]), pa.array(base + window[at]), pa.array(base + last + length)], names=["row", "first", "end"])
 
-    found = covers.union(grouped.mapInArrow(sort_columns, "row long, first long, end long"))
-    if kept.where(f"kinds > {crowd}").isEmpty():
-        return found
+    return covers.union(grouped.mapInArrow(sort_columns, "row long, first long, end long"))
 
-    def windows_of(row, data, akey, pos, single):
-        start, many, _ = _unpack(pos)
+
+def _pieces(items, length: int):
+    """(akey, row, first, lead, single, bytes) of every segment that is asked for.
+
+    A crowded anchor's segment gives its windows instead, each under a key of
+    its own content: lead -1, and 16 bytes of hash.  Windows that the partition
+    has more than once are one row here, and their places are sure already:
+    lead -2.
+    """
+    alone: dict[tuple[int, bytes], tuple[int, int, bool]] = {}
+
+    def cut(row, data, akey, pos, single, crowded):
+        start, many, lead = _unpack(pos)
         for i in range(len(pos)):
-            for s in range(int(start[i]), int(start[i] + many[i]) + 1):
-                yield int(akey[i]), xxhash.xxh3_64_intdigest(data[s : s + length]) - (1 << 63), row, s, bool(single[i])
-
-    kinds = {"akey": pa.int64(), "window": pa.int64(), "row": pa.int64(), "first": pa.int64(), "single": pa.bool_()}
-    alone = as_frame(spark, requests(f"kinds > {crowd}").mapPartitions(lambda items: _batched(_requested(items, windows_of), kinds, 65536)), "akey long, window long, row long, first long, single boolean")
-    alone = scratch.table("windows", alone)
-    twice = alone.groupBy("akey", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey", "window")
-    return found.union(alone.where("single").join(twice, ["akey", "window"], "left_semi").select("row", "first", (F.col("first") + length).alias("end")))
+            s, n = int(start[i]), int(many[i])
+            if not crowded[i]:
+                yield int(akey[i]), row, s, int(lead[i]), bool(single[i]), data[s : s + n + length]
+                continue
+            for at in range(s, s + n + 1):
+                digest = xxhash.xxh3_128_digest(data[at : at + length])
+                key = (int(akey[i]) ^ int.from_bytes(digest[:8], "little", signed=True), digest)
+                if key not in alone:
+                    alone[key] = (row, at, bool(single[i]))
+                    continue
+                before = alone[key]
+                if before[2]:
+                    alone[key] = (*before[:2], False)
+                    yield key[0], *before[:2], -2, True, None
+                if single[i]:
+                    yield key[0], row, at, -2, True, None
+
+    yield from _requested(items, cut)
+    for (key, digest), (row, at, single) in alone.items():
+        yield key, row, at, -1, single, digest
+
+
+def _equal_windows(table: pa.Table, length: int) -> pa.RecordBatch | None:
+    """Spans of the windows of crowded anchors that are there twice, or are known to be; None if the table has no such windows."""
+    own = table.filter(pc.less(table["lead"], 0))
+    if not own.num_rows:
+        return None
+    lead, first, row = (own[n].to_numpy() for n in ("lead", "first", "row"))
+    keys = own["bytes"].combine_chunks().fill_null(b"").dictionary_encode().indices.to_numpy()
+    both = np.stack([own["akey"].to_numpy(), keys.astype(np.int64)])
+    _, back, many = np.unique(both, axis=1, return_inverse=True, return_counts=True)
+    hit = (lead == -2) | ((many[back.ravel()] > 1) & own["single"].to_numpy(zero_copy_only=False))
+    return pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(first[hit]), pa.array(first[hit] + length)], names=["row", "first", "end"])
 
 
 def _whole_anchors(batches, at_once: int):

@@ -70,7 +70,7 @@ def test_files_hold_the_collections_transform_and_common_prefixes(tmp_path, held
         segments = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 9))]
         lead = np.array([rng.randint(0, len(s) - 1) for s in segments])
         files = suffix.ColumnFiles(f"file:{tmp_path}/columns", held_bytes)
-        suffix.repeated_windows(segments, lead, 5, files)
+        suffix.repeated_windows(segments, lead, 5, files, whole=True)
         transform, common = files.read()
         enters = np.argsort([-(len(s) - k) for s, k in zip(segments, lead)], kind="stable").tolist()
         every = sorted((s[i:], enters.index(n), s[i - 1] if i else suffix.END) for n, s in enumerate(segments) for i in range(len(s) + 1))
