@@ -38,8 +38,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
