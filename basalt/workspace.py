@@ -27,7 +27,7 @@ class Scratch:
     """Tables written once to the shared folder, so that lineage ends there.
 
     Spark's committer writes them, so a lost executor costs its own tasks only.
-    Tables stay until ``drop`` or the end of the driver's process.
+    Tables stay until ``drop``, ``drop_scratch`` or the end of the driver's process.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -51,10 +51,15 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_scratch() -> None:
+    """Removes the scratch tables of all queries so far: for long sessions, once their results have been read or written."""
+    while _LIVE:
+        _LIVE.pop().drop()
+
+
 @atexit.register
 def _clean() -> None:
-    for scratch in _LIVE:
-        try:
-            scratch.drop()
-        except Exception:  # the session has ended before the process
-            pass
+    try:
+        drop_scratch()
+    except Exception:  # the session has ended before the process
+        pass
