@@ -23,8 +23,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Rows of text are long: where the session has Spark's default of 10,000 rows to an Arrow batch, takes fewer.
 
-    It bounds what a task holds in the JVM and in Python; a number that the
-    session's owner has chosen stays.
+    It bounds what a task holds in the JVM and in Python.  Spark has no such
+    setting for one query alone, so the session keeps it; a number that the
+    session's owner has chosen stays as it is.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(name) == "10000":
@@ -47,23 +48,29 @@ def carried_schema(df: DataFrame, carry: str | None, text: bool = True) -> str:
 
 
 def _return_freed_arrays() -> None:
-    """Has the C library give large freed arrays back to the system, so that a worker holds what it uses.
+    """Has the C library of a worker give large freed arrays back to the system, so that it holds what it uses.
 
     Otherwise its bound for that rises with the arrays it has seen, to 32 MB;
-    a bound much lower costs a tenth of the time in page faults.
+    a bound much lower costs a tenth of the time in page faults.  Only tasks
+    call this, once a worker; the driver's process is left as it is.
     """
+    global _returns
+    if _returns:
+        return
+    _returns = True
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt:
         mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
         mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
-_return_freed_arrays()
+_returns = False
 _KEPT: dict[str, object] = {}
 
 
 def kept_model(name: str, make):
     """A worker's model of this name, kept from task to task; a worker holds one model at a time."""
+    _return_freed_arrays()
     if name not in _KEPT:
         release()
         _KEPT[name] = make()
@@ -72,6 +79,7 @@ def kept_model(name: str, make):
 
 def release() -> None:
     """Gives back what earlier tasks of other operators have left in this worker."""
+    _return_freed_arrays()
     if _KEPT:
         _KEPT.clear()
         gc.collect()

@@ -9,43 +9,53 @@ from .common import read_table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents through Simple-8b files and back: one row per document; a null text has the end id alone."""
     return simple8b.token_file_digest(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing; `und` with score 0 for texts without a letter; ties go to the first language."""
     return language.predict_language(read_table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 ids; a null text is its end id; ties go by id, piece and crc."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start twice; null is empty, copies lose all."""
     return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness; null is empty, equal texts have equal fingerprints."""
     return ordermin.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero; null ids are no component's least."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the model of the labelled ones; empty texts have the score of the bias."""
     docs = read_table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark; null has no words; a null item counts as "null"."""
     return aho.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, whole; null is empty; one row per input row."""
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; null is its end alone; repeated rows count as often as they occur."""
     return interpolation.score_documents(read_table(spark, sf_dir, "documents"))
 
 

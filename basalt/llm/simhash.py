@@ -429,15 +429,16 @@ def _verified(docs: DataFrame, marked: DataFrame, edges: DataFrame, scratch: Scr
     return scratch.table("verified", dealt.mapInArrow(run, "node long, root long"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = 8, segments: int = 9, hot: int = 16_384) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = 3, segments: int = 8, hot: int = 2048) -> DataFrame:
     """The rows of ``docs``, all their columns, without near-duplicates: of each group the least id stays.
 
     Fingerprints of the words, which a few edits hardly change, find pairs
-    within ``tau`` bits by pigeonring filtering; those that 256 bits of SimHash
-    over shingles of ``words`` words do not rule out are candidates.  So are
-    pairs that share a band of min-wise hashes of their shingles, wherever the
-    edits stand: a block added, cut off or replaced changes too many words for
-    the fingerprints.  A candidate is a link only if the Jaccard similarity of the two sets of
+    within ``tau`` bits by pigeonring filtering, by an index key of 16 bits;
+    those that 256 bits of SimHash over shingles of ``words`` words do not rule
+    out are candidates.  So are pairs that share a band of min-wise hashes of
+    their shingles, wherever the edits stand: a block added, cut off or replaced
+    changes too many words for the fingerprints, and more bits of them would
+    leave an index key too short to tell documents apart.  A candidate is a link only if the Jaccard similarity of the two sets of
     shingles, computed exactly, is ``similarity`` or more.  A null text counts
     as empty; texts without words are copies of each other; texts of fewer
     words than ``words`` are one shingle; of rows that are equal in id and text

@@ -52,7 +52,7 @@ def texts_of(df):
 
 def test_all_stages_but_the_last_keep_the_columns(stages):
     for df in stages[:-1]:
-        assert dict(df.dtypes) == dict(stages[0].dtypes) and df.columns == corpus_pipeline.COLUMNS
+        assert dict(df.dtypes) == dict(stages[0].dtypes) and df.columns == stages[0].columns
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(stages[-1].columns)
 
 
@@ -130,6 +130,62 @@ def test_near_copies_are_those_of_brute_force(spark):
             assert i in kept
 
 
+def edited(rng, words, kind):
+    """A text whose five-word shingles are 0.80 to 0.88 like those of ``words``, or None."""
+    out = list(words)
+    share = rng.uniform(0.05, 0.25)
+    if kind == "appended":
+        out += [word(rng) + "x" for _ in range(int(share * len(words)))]
+    elif kind == "cut off":
+        out = out[: -max(int(share * len(words)), 1)]
+    elif kind == "block":
+        n = max(int(share / 2 * len(words)), 1)
+        at = rng.randrange(len(words) - n)
+        out[at : at + n] = [word(rng) + "x" for _ in range(n)]
+    else:
+        for at in rng.sample(range(len(words)), max(int(share / 10 * len(words)), 1)):
+            out[at] = word(rng) + "x"
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, out))
+    return out if 0.8 <= len(a & b) / len(a | b) < 0.88 else None
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut off", "block", "scattered"])
+def test_recall_just_above_the_limit(spark, kind):
+    """Pairs of likeness 0.80 to 0.88: at least 95 of 100 lose one document."""
+    rng = random.Random(kind)
+    rows, pairs = [], 0
+    while pairs < 120:
+        base = [word(rng) + word(rng) for _ in range(rng.randint(60, 400))]
+        other = edited(rng, base, kind)
+        if other:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(pairs)} <= kept
+    assert sum(2 * i + 1 not in kept for i in range(pairs)) >= 0.95 * pairs
+
+
+def test_stages_keep_whatever_columns_there_are(spark, planted):
+    """Columns named as operators name theirs, in another order, and a very long text, which holds a repeated passage and words of the benchmark."""
+    folder, docs, passage = planted
+    rng = random.Random(3)
+    long = " ".join(word(rng) for _ in range(40_000))
+    rows = [("s", docs[i], i, 0.5, "r", "k") for i in range(60)] + [("s", f"{long} {passage}", 900, 0.5, "r", "k"), ("s", f"{passage} {long[:3000]}", 901, 0.5, "r", "k"), (None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "score string, text string, doc_id long, carried double, row string, kept_id string")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, table, folder).collect()
+        assert out[0].__fields__ == table.columns
+        assert all(tuple(r)[3:] == (0.5, "r", "k") and r["score"] == "s" for r in out if r["doc_id"] is not None)
+        assert {*range(60), 900, 901} <= {r["doc_id"] for r in out} and (None in {r["doc_id"] for r in out})
+        if n == 2:
+            left = {r["doc_id"]: r["text"] for r in out}
+            assert left[900] == f"{long[3000:]} " and left[901].strip() == ""
+            assert left[None] is None
+    assert {r["doc_id"] for r in corpus_pipeline.best_fit_packing(spark, table, folder).collect()} == {*range(60), 900, 901, None}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.select("doc_id", "text"), folder).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_give_a_row_per_document(spark, sf_dir, name):
     rows = registry.QUERIES[name](spark, sf_dir).select("doc_id").distinct().count()

@@ -34,7 +34,7 @@ def clustered(n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tau,segments,hot", [(2, 8, 2048), (2, 8, 8), (2, 16, 8), (3, 7, 16), (8, 9, 32)])
+@pytest.mark.parametrize("tau,segments,hot", [(2, 8, 2048), (2, 8, 8), (2, 16, 8), (3, 7, 16), (3, 8, 8), (8, 9, 32)])
 def test_links_are_those_of_brute_force(spark, tau, segments, hot):
     fps = clustered(400, tau)
     nodes = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
