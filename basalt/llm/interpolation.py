@@ -9,7 +9,10 @@ documents whose counts are left out of the estimates.
 Counts are those of the whole training part.  A batch of documents asks the
 parts of the key space for the counts of its distinct tokens and pairs, giving
 its own share of them; the answers come back to the batch.  So no token crosses
-the network twice, and a hot token costs one number per batch.
+the network twice, and a hot token costs one number per batch.  A batch sends
+``FAN`` questions at most: if the key space has more parts, questions go to
+relays, which unite those of many batches, sum their counts and ask the parts
+themselves.  So questions grow with the data and not with its square.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from .common import byte_batches, id_crc, only, release, shuffle_partitions, sma
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-#: Pairs are told by 52 bits: of a million million different pairs, one in some thousand shares its count.
-_PAIR = np.uint64((1 << 52) - 1)
+#: Questions of a sender, and so the answers that it waits for.
+FAN = 1024
 #: Context-frequency buckets: 0 for an unseen context, then by the power of two, the last open.
 BUCKETS = 32
 #: Cells of the held-out histogram per doubling of a ratio of probabilities.
@@ -61,44 +64,56 @@ def bucket_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) -> DataFrame:
-    """(part, blob): questions to the parts of the key space, and each batch's own record to part ``batch % parts``."""
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the key space that counts each key; parts are ranges, so they ascend with the keys."""
+    return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _pair_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return rolling.mix(np.where(before < 0, _START, tokens[before]) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+
+
+def _distinct(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys in ascending order, each once; where each of ``keys`` is among them; the sums of their counts."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(ranked), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(fresh)
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ranked))))
+    return ranked[at], where, *(np.add.reduceat(c[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64) for c in counts)
+
+
+def _questions(sender: int, home: int, lists: list[tuple[np.ndarray, ...]], parts: int, targets: int):
+    """(target, blob) for the targets, ranges of parts, that have some of the keys of the (keys, counts, counts kept); answers go to ``home``."""
+    target = [_part_of(keys, parts) * np.uint64(targets) // np.uint64(parts) for keys, _, _ in lists]
+    cuts = [np.searchsorted(t, np.arange(targets + 1, dtype=np.uint64)) for t in target]
+    for t in range(targets):
+        out = []
+        for (keys, full, held), cut in zip(lists, cuts):
+            own = slice(cut[t], cut[t + 1])
+            out += [planes(np.diff(keys[own], prepend=np.uint64(0))), least_type(full[own]), least_type(held[own])]
+        if len(out[1]) or len(out[4]):
+            yield t, b"a" + squeeze("ask", sender, home, t, *out)
+
+
+def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens: int) -> DataFrame:
+    """(part, blob): questions to the parts of the key space or their relays, and each batch's own record to part ``batch % parts``."""
+    ranges = min(parts, fan)
+    relays = -(-parts // ranges)  # of each range, each for some of the batches
 
     def emit(number, hashes, many, docs, crc):
         tokens, many, crc = np.concatenate(hashes), np.concatenate(many), np.concatenate(crc)
-        before = _contexts(tokens, many)
-        pairs = rolling.mix(np.where(before < 0, _START, tokens[before]) * np.uint64(0x9E3779B97F4A7C15) + tokens) & _PAIR
         train = np.repeat(crc % 7 != 2, many)
         kept = np.repeat((crc % 7 != 2) & (crc // 7 % 10 != 0), many)
-        lists, where = [], []
-        for keys in (tokens, pairs):
-            order = np.argsort(keys)
-            ranked = keys[order]
-            fresh = np.ones(len(ranked), bool)
-            fresh[1:] = ranked[1:] != ranked[:-1]
-            at = np.flatnonzero(fresh)
-            unique = ranked[at]
-            part = (unique >> np.uint64(20)) % np.uint64(parts)
-            by_part = np.argsort(part, kind="stable")
-            index = np.empty(len(unique), np.int64)
-            index[by_part] = np.arange(len(unique))
-            back = np.empty(len(keys), np.int64)
-            back[order] = np.repeat(index, np.diff(np.append(at, len(ranked))))
-            where.append(planes(back))
-            full = np.add.reduceat(train[order], at, dtype=np.int64)[by_part]
-            held = np.add.reduceat(kept[order], at, dtype=np.int64)[by_part]
-            lists.append((unique[by_part], full, held, np.searchsorted(part[by_part], np.arange(parts + 1, dtype=np.uint64))))
-        rows_part, rows_blob = [], []
-        for p in range(parts):
-            out = []
-            for keys, full, held, cuts in lists:
-                own = slice(cuts[p], cuts[p + 1])
-                out += [planes(np.diff(keys[own], prepend=np.uint64(0))), least_type(full[own]), least_type(held[own])]
-            if len(out[1]) or len(out[4]):
-                rows_part.append(p)
-                rows_blob.append(b"a" + squeeze("ask", number, *out))
-        rows_part.append(number % parts)
-        rows_blob.append(b"b" + squeeze("batch", number, docs, least_type(many), crc, *where))
+        words, where, *counts = _distinct(tokens, train, kept)
+        pairs, _, *pair_counts = _distinct(_pair_keys(tokens, _contexts(tokens, many)), train, kept)
+        home = number % parts
+        rows_part, rows_blob = [home], [b"b" + squeeze("batch", number, docs, least_type(many), crc, planes(np.diff(words, prepend=np.uint64(0))), planes(where))]
+        for t, blob in _questions(number, home, [(words, *counts), (pairs, *pair_counts)], parts, ranges):
+            rows_part.append((t + ranges * (number % relays)) % parts)
+            rows_blob.append(blob)
         return pa.RecordBatch.from_arrays([pa.array(rows_part, pa.int32()), pa.array(rows_blob, pa.binary())], names=["part", "blob"])
 
     def run(batches):
@@ -121,36 +136,68 @@ def _ask(source: DataFrame, parts: int, batch_bytes: int, batch_tokens: int) ->
     return source.mapInArrow(run, "part int, blob binary")
 
 
-def _answer(parts: int):
-    """For each batch that asked a part: the counts of its keys, in its order; and the part's totals."""
+def _united(asked: list[tuple]) -> list[tuple]:
+    """For tokens and for pairs: the distinct keys of all questions, where each question's are among them, and their summed counts."""
+    out = []
+    for k in (4, 7):
+        keys = [np.cumsum(unplanes(a[k]), dtype=np.uint64) for a in asked]
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        counts = [np.concatenate([a[k + j] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for j in (1, 2)]
+        unique, where, *counts = _distinct(flat, *counts)
+        out.append((unique, np.split(where, np.cumsum([len(x) for x in keys])[:-1]), *counts))
+    return out
+
+
+def _replies(asked: list[tuple], united: list[tuple], counts: list[tuple]):
+    """(home, blob): the counts of each question's keys, in its order."""
+    for i, a in enumerate(asked):
+        out = [least_type(count[where[i]]) for (_, where, _, _), both in zip(united, counts) for count in both]
+        yield int(a[2]), b"r" + squeeze("reply", a[1], a[3], *out)
+
+
+def _answer(part: int, items):
+    """For each question to a part: the counts of its keys; and the part's totals."""
+    asked = [unsqueeze(blob[1:]) for _, blob in items if _is(blob, "ask")]
+    united = _united(asked)
+    _, _, full, held = united[0]
+    yield 0, b"t" + squeeze([int(x) for count in (full, held) for x in (count.sum(), (count > 0).sum())])
+    yield from _replies(asked, united, [u[2:] for u in united])
+
+
+def _pass_on(parts: int):
+    """A relay's questions to the parts: those of its batches, united."""
 
     def run(part, items):
         asked = [unsqueeze(blob[1:]) for _, blob in items if _is(blob, "ask")]
-        totals, replies = [], [[] for _ in asked]
-        for k in (0, 3):
-            keys = [np.cumsum(unplanes(a[2 + k]), dtype=np.uint64) for a in asked]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            order = np.argsort(flat, kind="stable")
-            at = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0)) if len(flat) else np.zeros(0, np.int64)
-            which = np.empty(len(flat), np.int64)
-            which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(flat))))
-            for j in (1, 2):
-                n = np.concatenate([a[2 + k + j] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64)
-                total = np.bincount(which, n, len(at)).astype(np.int64)
-                if k == 0:
-                    totals += [int(total.sum()), int((total > 0).sum())]
-                got = total[which]
-                cut = 0
-                for reply, own in zip(replies, keys):
-                    reply.append(least_type(got[cut : cut + len(own)]))
-                    cut += len(own)
-        yield 0, b"t" + squeeze(totals)
-        for a, reply in zip(asked, replies):
-            yield int(a[1] % parts), b"r" + squeeze("reply", a[1], part, *reply)
+        if asked:
+            yield from _questions(part, part, [(keys, *counts) for keys, _, *counts in _united(asked)], parts, parts)
 
     return run
 
 
+def _pass_back(items):
+    """A relay's answers to its batches; the parts' answers to the relay come before the batches' questions."""
+    got, asked = [], []
+    for _, blob in items:
+        if _is(blob, "reply"):
+            got.append(unsqueeze(blob[1:]))
+        elif _is(blob, "ask"):
+            asked.append(unsqueeze(blob[1:]))
+    if asked:
+        got.sort(key=lambda r: r[2])
+        counts = [tuple(np.concatenate([r[3 + k + j] for r in got]).astype(np.int64) for j in (0, 1)) for k in (0, 2)]
+        yield from _replies(asked, _united(asked), counts)
+
+
+def exchange(asked, parts: int, fan: int):
+    """(replies, totals) for questions that were dealt out: RDDs of blobs, the replies at their senders' homes."""
+    if parts <= fan:
+        replies = deal(asked.mapPartitionsWithIndex(_answer), parts)
+        return replies, replies
+    answers = deal(deal(asked.mapPartitionsWithIndex(_pass_on(parts)), parts).mapPartitionsWithIndex(_answer), parts)
+    return deal(asked.context.union([answers, asked]).mapPartitions(_pass_back), parts), answers
+
+
 def _is(blob: bytes, kind: str) -> bool:
     """Kinds are told by the first byte, so that only the blobs that are needed are unpacked."""
     return blob[:1] == kind[:1].encode()
@@ -160,13 +207,13 @@ class Counts:
     """What a batch knows after the answers: per token, counts of itself, its context and its pair."""
 
     def __init__(self, record: tuple, replies: list[tuple], kept: bool):
-        _, _, self.docs, many, self.crc, word, pair = record
+        _, _, self.docs, many, self.crc, unique, where = record
         self.many = many.astype(np.int64)
+        where = unplanes(where).astype(np.int64)
+        tokens = np.cumsum(unplanes(unique), dtype=np.uint64)[where]
         replies = sorted(replies, key=lambda r: r[2])
-        take = 1 if kept else 0
-        words = np.concatenate([r[3 + take] for r in replies]).astype(np.int64)
-        pairs = np.concatenate([r[5 + take] for r in replies]).astype(np.int64)
-        self.word, self.pair = words[unplanes(word).astype(np.int64)], pairs[unplanes(pair).astype(np.int64)]
+        words, pairs = (np.concatenate([r[k + kept] for r in replies]).astype(np.int64) for k in (3, 5))
+        self.word, self.pair = words[where], pairs[_distinct(_pair_keys(tokens, _contexts(tokens, self.many)))[1]]
         before = _contexts(self.word, self.many)
         ends = self.word[np.cumsum(self.many) - 1]  # a document's start occurs as often as its end
         self.context = np.where(before < 0, np.repeat(ends, self.many), self.word[before])
@@ -221,7 +268,7 @@ def learn_weights(cells: dict[int, int], rounds: int = 100) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, batch_tokens: int = 800_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, batch_tokens: int = 800_000, fan: int = FAN) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose id's crc32 modulo 7 is not 2; a tenth of those
@@ -230,7 +277,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     end alone; a null id counts as empty text and is learned from; one row per
     input row, and repeated rows count as often as they occur; if nothing can
     be learned the model is the uniform distribution; an empty table gives
-    none; other columns are not read.
+    none; other columns are not read.  Tokens and pairs are told by 64 bits of a
+    hash.  The model is of pairs: questions for triples would be as many again.
 
     The driver gets one line of totals per part of the key space and a
     histogram whose cells are bounded by the buckets and the range of doubles.
@@ -243,9 +291,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = shuffle_partitions(source)
     if not source.count():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    dealt_out = dealt(_ask(source, parts, batch_bytes, batch_tokens), parts)
-    replies = deal(dealt_out.mapPartitionsWithIndex(_answer(parts)), parts)
-    totals = replies.filter(lambda x: _is(x[1], "totals")).map(lambda x: unsqueeze(x[1][1:])[0]).collect()
+    dealt_out = dealt(_ask(source, parts, fan, batch_bytes, batch_tokens), parts)
+    replies, answers = exchange(dealt_out, parts, fan)
+    totals = answers.filter(lambda x: _is(x[1], "totals")).map(lambda x: unsqueeze(x[1][1:])[0]).collect()
     n_all, v_all, n_kept, v_kept = (sum(t[i] for t in totals) for i in range(4))
     both = spark.sparkContext.union([replies, dealt_out])
 

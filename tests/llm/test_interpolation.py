@@ -36,8 +36,9 @@ def expected(rows, weights):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [40, 0])
-def test_scores_are_those_of_plain_counting(spark, monkeypatch, size):
+@pytest.mark.parametrize("size, fan", [(40, 1024), (40, 1), (40, 2), (40, 3), (0, 1024)])
+def test_scores_are_those_of_plain_counting(spark, monkeypatch, size, fan):
+    """Four parts; with a smaller fan the questions go through relays."""
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(["a", "B", "cc", "dé", "\te", "f\n"], rng.integers(0, 30)))) for i in range(size)]
     rows += [(100, None), (101, ""), (None, "A b"), (3, "a a a"), (102, "long " * 4000)] if size else []
@@ -45,7 +46,7 @@ def test_scores_are_those_of_plain_counting(spark, monkeypatch, size):
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda cells: seen.append(learn(cells)) or seen[-1])
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, score string")
-    got = lm.score_documents(docs, batch_tokens=50).collect()
+    got = lm.score_documents(docs, batch_tokens=50, fan=fan).collect()
     assert len(seen) == (size > 0)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == expected(rows, (seen or [None])[0])
 
