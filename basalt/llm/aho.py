@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         release()
         number, automata = held.value
         get = number.get
-        for batch in byte_batches(batches, 4 << 20):
+        for batch in byte_batches(batches, 2 << 20):
             texts = [(t.as_py() or "").encode().translate(_TABLE) for t in batch.column(1)]
             lists = [t.split() for t in texts]
             size = np.fromiter(map(len, lists), np.int64, len(lists))

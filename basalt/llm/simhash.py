@@ -319,7 +319,10 @@ def band_forest(nodes: DataFrame, *, similarity: float) -> DataFrame:
             a, b = _band_links(table, least)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = nodes.select("node", "sig", F.posexplode("bands").alias("ring", "key"))
+    # most nodes share no band: short rows find those that do, and only they carry their hashes
+    rows = nodes.select("node", F.posexplode("bands").alias("ring", "key"))
+    shared = rows.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ring", "key")
+    rows = rows.join(shared.hint("merge"), ["ring", "key"], "left_semi").join(nodes.select("node", "sig").hint("merge"), "node").select("node", "sig", "ring", "key")
     dealt = rows.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key", "node")
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -293,8 +293,8 @@ def _batched(rows, kinds: dict, size: int):
         yield stream(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], names=list(kinds)))
 
 
-def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, held_bytes: int, crowd: int) -> DataFrame:
-    """row, first, end of repeated bytes; spans of one row may overlap."""
+def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, length: int, batch_bytes: int, segments_at_once: int, held_bytes: int, crowd: int):
+    """row, first, end of repeated bytes, dealt out by row as blobs; spans of one row may overlap."""
     spark = source.sparkSession
     found = scratch.table("found", anchor_rows(source, length, batch_bytes), compression="lz4")
     # counted by anchor and segment together, and by anchor from partial sums: no task holds all segments of an anchor
@@ -342,7 +342,9 @@ def repeated_spans(source: DataFrame, texts, parts: int, scratch: Scratch, lengt
             base = start[segment[at]]
             yield pa.RecordBatch.from_arrays([pa.array(row[segment[at]]), pa.array(base + window[at]), pa.array(base + last + length)], names=["row", "first", "end"])
 
-    return covers.union(grouped.mapInArrow(sort_columns, "row long, first long, end long"))
+    kind = "part int, blob binary"
+    found = covers.mapInArrow(lambda b: _by_row(b, parts), kind).union(grouped.mapInArrow(lambda b: _by_row(sort_columns(b), parts), kind))
+    return dealt(found, parts)
 
 
 def _pieces(items, length: int):
@@ -452,7 +454,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     texts = dealt(own.mapInArrow(number, "part int, blob binary"), parts)
     spans = repeated_spans(source, texts, parts, scratch, length, batch_bytes, segments_at_once, held_bytes, crowd)
-    spans = dealt(spans.mapInArrow(lambda b: _by_row(b, parts), "part int, blob binary"), parts)
 
     def finish(items):
         marks = []
