@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rolling
 from .common import Scratch, byte_batches, crc_of, only, small_batches
 from .tokens import encoder_for
 
-#: Groups that the ranks of one length are dealt to, so that no length fills a task.
-GROUPS = 64
+#: Pieces of one length that are ranked together; a length with more is cut into groups, so that none fills a task.
+CELL = 250_000
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -81,13 +83,13 @@ def best_pair(free: np.ndarray, size: np.ndarray, room: int) -> tuple[int, int]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id_col: str, text_col: str, keep_ids: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, grp and, if asked, ids."""
+    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, grp (a number that spreads them) and, if asked, ids."""
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp int" + ", ids array<long>" * keep_ids
 
     def run(batches):
-        encoder, seen = encoder_for(tokenizer, 400_000), 0
+        encoder, seen = encoder_for(tokenizer, 400_000), TaskContext.get().partitionId() << 40
         for batch in byte_batches(batches, batch_bytes):
             ids, n = encoder.encode(batch.column(1).fill_null("").to_pylist())
             ids = np.insert(ids, np.cumsum(n), end_id)
@@ -99,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int,
             length = np.minimum(n[row] - start, capacity)
             begin = (np.cumsum(n) - n)[row] + start
             crc = [crc_of(ids[a : a + k]) for a, k in zip(begin, length)]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((np.arange(len(row)) + seen) % GROUPS, pa.int32())]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array((rolling.mix((np.arange(len(row)) + seen).astype(np.uint64)) >> np.uint64(33)).astype(np.int32))]
             if keep_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids.astype(np.int64))))
             seen += len(row)
@@ -109,19 +111,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int,
     return source.mapInArrow(run, schema)
 
 
-def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, cell: int = CELL) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (length, grp and others).
 
-    The driver sees counts per length and group: at most ``capacity * GROUPS``
-    numbers.  Ranks within a length and group are one window over small groups.
+    The driver sees the count of each length, and of each group of about
+    ``cell`` pieces that a length is cut into: some numbers at any size.  Ranks
+    within a group are one window.
     """
     spark = pieces.sparkSession
-    cells = pieces.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n")).toPandas()
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, cells["length"].to_numpy(np.int64), cells["n"].to_numpy(np.int64))
-    before = np.zeros((capacity + 1, GROUPS), np.int64)
-    before[cells["length"].to_numpy(np.int64), cells["grp"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    before = np.cumsum(before, axis=1) - before
+    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():
+        counts[length] = n
+    groups = np.maximum(-(-counts // cell), 1)
+    first = np.cumsum(groups) - groups  # groups of all lengths in a row
+    pieces = pieces.withColumn("grp", F.col("grp") % F.get(F.lit(groups.tolist()), F.col("length").cast("int")))
+    before = np.zeros(int(groups.sum()), np.int64)
+    for length, grp, n in pieces.groupBy("length", "grp").agg(F.count(F.lit(1))).collect():
+        before[first[length] + grp] = n
+    before = np.cumsum(before) - before
+    before -= np.repeat(before[first], groups)  # within its length
     runs, used, base = [], np.zeros(capacity + 1, np.int64), 0
     for items, times in plan_bins(counts, capacity):
         offset = 0
@@ -132,19 +140,19 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         base += times
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 5)
-    held = spark.sparkContext.broadcast((before, table))
+    held = spark.sparkContext.broadcast((first, before, table))
     columns = [c for c in pieces.columns if c != "grp"]
     order = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1)
 
     def run(batches):
-        before, table = held.value
+        first, before, table = held.value
         span = 1 << 44  # ranks stay below it
         keys = table[:, 0] * span + table[:, 1]
         for batch in batches:
             get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             length = get["length"].to_numpy()
-            rank = get["rank"].to_numpy() + before[length, get["grp"].to_numpy()]
+            rank = get["rank"].to_numpy() + before[first[length] + get["grp"].to_numpy()]
             at = table[np.searchsorted(keys, length * span + rank, "right") - 1] if len(length) else table[:0]
             inside = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays([*(get[c] for c in columns), pa.array(at[:, 3] + inside // np.maximum(at[:, 2], 1)), pa.array(at[:, 4] + inside % np.maximum(at[:, 2], 1) * length)], names=[*columns, "sequence_id", "offset"])

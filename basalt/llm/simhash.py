@@ -394,15 +394,15 @@ def alike_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def _verified(docs: DataFrame, marked: DataFrame, edges: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, best: DataFrame, edges: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(node, root) of the nodes of ``edges``, which join candidates: root is the least node of the exact component.
 
     The texts of each group of candidates, one per node, come together in one
-    task, and all its pairs count, whichever candidates joined them.
+    task, and all its pairs count, whichever candidates joined them; ``best`` has
+    the id and key of one text per node.
     """
     groups = connected_components(edges, scratch)
-    one = marked.join(groups, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    one = scratch.table("candidates", one.select("node", "root", F.col("one.doc_id").alias("one_id"), F.col("one.key").alias("one_key")))
+    one = scratch.table("candidates", best.join(groups, "node").select("node", "root", F.col("best.doc_id").alias("one_id"), F.col("best.key").alias("one_key")))
     text = F.col(f"`{text_col}`")
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
     texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).select("root", "node", "text")
@@ -458,10 +458,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     edges = link_forest(nodes.select("node", *sketch), scratch, tau=tau, segments=segments, hot=hot, extra=alike)
     edges = edges.union(band_forest(nodes, similarity=similarity))
-    roots = _verified(docs, marked, edges, scratch, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
-    grouped = marked.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"))
-    kept = scratch.table("kept", best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
+    # copies come down to one row a node before anything is joined
+    best = scratch.table("best", marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best")))
+    roots = _verified(docs, best, edges, scratch, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    grouped = best.join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("best").alias("best"))
+    kept = scratch.table("kept", first.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
     key = _text_key(docs[f"`{text_col}`"])
     out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
     if marked.groupBy("doc_id", "key").count().where("count > 1").isEmpty():

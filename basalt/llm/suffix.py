@@ -373,15 +373,20 @@ def _pieces(items, length: int):
                 before = alone[key]
                 if before[2]:
                     alone[key] = (*before[:2], False)
-                    yield key[0], *before[:2], -2, True, None
+                    yield _anywhere(*before[:2]), *before[:2], -2, True, None
                 if single[i]:
-                    yield key[0], row, at, -2, True, None
+                    yield _anywhere(row, at), row, at, -2, True, None
 
     yield from _requested(items, cut)
     for (key, digest), (row, at, single) in alone.items():
         yield key, row, at, -1, single, digest
 
 
+def _anywhere(row: int, at: int) -> int:
+    """A key for a window that is settled: of its place, so that a hot window's rows do not go to one task."""
+    return row ^ at << 20
+
+
 def _equal_windows(table: pa.Table, length: int) -> pa.RecordBatch | None:
     """Spans of the windows of crowded anchors that are there twice, or are known to be; None if the table has no such windows."""
     own = table.filter(pc.less(table["lead"], 0))
