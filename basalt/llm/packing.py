@@ -21,8 +21,8 @@ from . import rolling
 from .common import Scratch, byte_batches, crc_of, only, small_batches
 from .tokens import encoder_for
 
-#: Pieces of one length that are ranked together; a length with more is cut into groups, so that none fills a task.
-CELL = 250_000
+#: Groups that lengths are cut into at most, and pieces that are ranked together at least.
+GROUPS, CELL = 200_000, 1000
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -111,17 +111,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int,
     return source.mapInArrow(run, schema)
 
 
-def place_pieces(pieces: DataFrame, capacity: int, cell: int = CELL) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, cell: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (length, grp and others).
 
     The driver sees the count of each length, and of each group of about
-    ``cell`` pieces that a length is cut into: some numbers at any size.  Ranks
-    within a group are one window.
+    ``cell`` pieces that a length is cut into, so that no length fills a task:
+    by default 1000, or as many as make 200,000 groups.  Ranks within a group
+    are one window.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():
         counts[length] = n
+    cell = cell or max(CELL, -(-int(counts.sum()) // GROUPS))
     groups = np.maximum(-(-counts // cell), 1)
     first = np.cumsum(groups) - groups  # groups of all lengths in a row
     pieces = pieces.withColumn("grp", F.col("grp") % F.get(F.lit(groups.tolist()), F.col("length").cast("int")))

@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     so that one id cannot fill a task) and sorted within; texts are shuffled
     once, and Spark's committer writes the files, so that lost executors cost
     their own tasks only.  A shard holds about ``shard_ids`` ids, and at least
-    one document.  Null ids come first; a null text is empty and has the end id
+    one document.  Ids are integers, as the files hold them; null ids come first; a null text is empty and has the end id
     alone.
     """
     small_batches(docs)
