@@ -19,6 +19,8 @@ the lower, so that sorting numbers sorts by hash and then by place.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ _LOW = (1 << 32) - 1
 #: Lower bits of a short text's numbers: above the place, 32 bits of hash, 10 of its number, 6 of the bin.
 _SHORT = (1 << 16) - 1
 _EMPTY = "----"
+#: Ranges that the rows are cut into at most: their bounds are part of the plan.
+RANGES = 100_000
 
 
 def _signatures(df: DataFrame, text: str, out: str, k: int) -> DataFrame:
@@ -123,19 +127,20 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     key = F.coalesce(F.col(f"`{id_col}`").try_cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = only(docs, id_col, text_col)
-    ranges = 4 * shuffle_partitions(source)
+    ranges = min(4 * shuffle_partitions(source), RANGES)
     found = only(docs, id_col).select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000)).alias("cuts")).first()["cuts"] or []
-    cuts = []
-    for value in sorted(set(found), reverse=True):
-        times = found.count(value)
-        # before the first row with a hot id, then by even steps of the hash; a cut without a hash stands after its id
-        cuts += [(value, (i << 64) // times - (1 << 63)) for i in range(times)] if times > 1 else [(value, None)]
+    cuts, many = [], Counter(found)
+    for value in sorted(many, reverse=True):
+        times = many[value]
+        # before the first row with a hot id, then by even steps of the hash; the cut of another id stands after it
+        cuts += [(value, (i << 64) // times - (1 << 63)) for i in range(times)] if times > 1 else [(value, (1 << 63) - 1)]
     tie = F.xxhash64(text)
     # the number of cuts before the row, by halving steps
     steps = F.lit([1 << p for p in range(max(len(cuts), 1).bit_length() - 1, -1, -1)])
-    held = F.array(*(F.struct(F.lit(v).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for v, t in cuts)) if cuts else F.array().cast("array<struct<key:long,tie:long>>")
-    before = lambda cut: F.coalesce((cut["key"] > F.col("key")) | ((cut["key"] == F.col("key")) & (cut["tie"] <= F.col("tie"))), F.lit(False))
-    part = F.aggregate(steps, F.lit(0), lambda n, s: F.when(before(F.get(held, n + s - 1)), n + s).otherwise(n))
+    # one text is one literal, which the optimizer folds into an array
+    keys, ties = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<long>") if cuts else F.array().cast("array<long>") for i in (0, 1))
+    before = lambda i: F.coalesce((F.get(keys, i) > F.col("key")) | ((F.get(keys, i) == F.col("key")) & (F.get(ties, i) <= F.col("tie"))), F.lit(False))
+    part = F.aggregate(steps, F.lit(0), lambda n, s: F.when(before(n + s - 1), n + s).otherwise(n))
     placed = source.select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), text.alias("text"), tie.alias("tie")).withColumn("part", part)
     first = placed.groupBy("part").agg(F.max(F.struct("key", F.bitwise_not("tie").alias("back"))).alias("head"))
     heads = first.select("part", "head.key", F.bitwise_not("head.back").alias("tie")).orderBy("part").collect()
