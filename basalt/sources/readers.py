@@ -48,11 +48,17 @@ def next_cursor(df: DataFrame, column: str):
     return df.agg(F.max(column)).first()[0]
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, *, streaming: bool = True, **options: str) -> DataFrame:
-    """Key and value of a topic as strings; needs Spark's Kafka package on the class path."""
-    reader = spark.readStream if streaming else spark.read
-    raw = reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
-    return raw.selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value")
+def read_kafka(spark: SparkSession, servers: str, topic: str, *, streaming: bool = True, most_per_batch: int | None = None, binary: bool = False, **options: str) -> DataFrame:
+    """Key, value and place of a topic's messages, values as text unless ``binary``; needs Spark's Kafka package on the class path.
+
+    A task reads a partition, so consumers are as many as partitions and cores
+    allow.  ``most_per_batch`` bounds what a stream takes on at once.
+    """
+    reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if streaming and most_per_batch:
+        reader = reader.option("maxOffsetsPerTrigger", str(most_per_batch))
+    value = "value" if binary else "CAST(value AS STRING) AS value"
+    return reader.options(**options).load().selectExpr("CAST(key AS STRING) AS key", value, "topic", "partition", "offset", "timestamp")
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:

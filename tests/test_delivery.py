@@ -6,6 +6,7 @@ import pytest
 
 from basalt import schemas
 from basalt.plans import telecom
+from basalt.sources import readers
 from basalt.streaming import avro, messages
 from basalt.streaming.cursor import CursorStore, with_retries
 from basalt.streaming.sink import KeyedSink
@@ -111,6 +112,25 @@ def test_kafka_writer_asks_for_confirmed_delivery(products):
     assert options["kafka.acks"] == "all" and options["kafka.enable.idempotence"] == "true" and options["kafka.retries"] == "3"
 
 
+def test_kafka_reader_keeps_the_place_and_bounds_its_batches():
+    made = []
+
+    class Reader:
+        def __getattr__(self, name):
+            return lambda *args, **options: made.append((name, args, options)) or self
+
+    class Session:
+        readStream = read = Reader()
+
+    readers.read_kafka(Session(), "host:9092", "products", most_per_batch=500, startingOffsets="earliest")
+    calls = [(name, args) for name, args, _ in made]
+    assert ("format", ("kafka",)) in calls and ("option", ("subscribe", "products")) in calls and ("option", ("maxOffsetsPerTrigger", "500")) in calls
+    assert made[-3][2] == {"startingOffsets": "earliest"} and made[-1][0] == "selectExpr" and {"topic", "partition", "offset", "timestamp"} <= set(made[-1][1])
+    made.clear()
+    readers.read_kafka(Session(), "host:9092", "products", streaming=False, most_per_batch=500, binary=True)
+    assert not any(args[:1] == ("maxOffsetsPerTrigger",) for _, args, _ in made) and made[-1][1][1] == "value"
+
+
 RECORD = json.dumps({"type": "record", "name": "product", "fields": [{"name": n, "type": k} for n, k in (("ID", "int"), ("name", "string"), ("category", ["null", "string"]), ("price", "float"), ("last_updated", "string"))]})
 
 
