@@ -34,3 +34,48 @@ WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
          FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
+def _assigned(books: str) -> str:
+    """The nearest entry is the least of (squared distance, index), as one number."""
+    return f"""(SELECT vec_id, label, p, any_value(x) AS x, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
+                FROM (SELECT q.*, b.e, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda j: (q.x[j] - b.c[j]) * (q.x[j] - b.c[j]))) AS BIGINT) AS d FROM parts q JOIN {books} b USING (p))
+                GROUP BY vec_id, label, p)"""
+
+
+def _moved(assigned: str, books: str) -> str:
+    return f"""(SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+                    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+                    FROM (SELECT p, e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM {assigned}) GROUP BY p, e, j) GROUP BY p, e) m USING (p, e))"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+              FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(0, 16)) AS p FROM kept)),
+     seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+     c0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN seeds USING (vec_id)),
+     a0 AS MATERIALIZED {_assigned("c0")},
+     c1 AS MATERIALIZED {_moved("a0", "c0")},
+     a1 AS MATERIALIZED {_assigned("c1")},
+     c2 AS MATERIALIZED {_moved("a1", "c1")},
+     a2 AS MATERIALIZED {_assigned("c2")},
+     codes AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label),
+     totals AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes GROUP BY label),
+     books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, label_error, codebooks_sha256, codes.label FROM codes JOIN totals ON codes.label IS NOT DISTINCT FROM totals.label CROSS JOIN books"""
+
+
+def _dice(group: int) -> str:
+    return f"CAST(concat('0x', substr(h, {8 * group + 1}, 8)) AS UBIGINT)"
+
+
+INFILL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+     dice AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_dice(0)} % (len(u) + 1) AS one, {_dice(1)} % (len(u) + 1) AS two, {_dice(2)} % 100 AS three, {_dice(3)} % 100 AS four FROM docs),
+     forms AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR three >= 90 THEN 'plain' WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form FROM dice),
+     cuts AS (SELECT *, array_to_string(u[1 : least(one, two)], '') AS prefix, array_to_string(u[least(one, two) + 1 : greatest(one, two)], '') AS middle, array_to_string(u[greatest(one, two) + 1 : n], '') AS suffix FROM forms)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE concat(prefix, middle, suffix) END) AS restored_sha256
+FROM cuts"""
