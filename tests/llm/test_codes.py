@@ -1,0 +1,109 @@
+import collections
+import hashlib
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.llm import codes, oracles
+
+
+def plain(rows, parts=16, entries=64, rounds=2):
+    """Every distance of every part in every round, in Python's integers."""
+    kept = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    size = next((len(v) for _, v, _ in order if v and len(v) % parts == 0), 0)
+    whole = [r for r in order if len(r[1]) == size and size]
+    w = size // parts
+    cut = lambda v, p: v[p * w : (p + 1) * w]
+    books = [[cut(v, p) for _, v, _ in whole[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = collections.defaultdict(list)
+            for _, v, _ in whole:
+                groups[near(cut(v, p), books[p])[1]].append(cut(v, p))
+            for e, own in groups.items():
+                books[p][e] = [sum(c) // len(own) for c in zip(*own)]
+    sha = hashlib.sha256(",".join(str(x) for book in books for c in book for x in c).encode()).hexdigest()
+    out, totals = [], collections.Counter()
+    for i, v, label in kept:
+        if len(v) != size or not size:
+            out.append((i, None, None, label))
+            continue
+        found = [near(cut(v, p), books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found), label))
+        totals[label] += out[-1][2]
+    return [(i, code, error, totals.get(label), sha, label) for i, code, error, label in out]
+
+
+def by_text(rows):
+    return sorted(tuple(map(str, r)) for r in rows)
+
+
+def table(spark, rows, label="int"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {label}")
+
+
+def vectors(n, size=32, seed=0, grid=None):
+    rng = np.random.default_rng(seed)
+    values = rng.normal(0, 0.3, (n, size)).astype(np.float32) if grid is None else rng.integers(0, grid, (n, size)) / 256
+    return [(int(i), [float(x) for x in v], int(rng.integers(3)) if i % 5 else None) for i, v in zip(rng.permutation(n), values)]
+
+
+@pytest.mark.parametrize("grid", [None, 3])  # few values make many ties and equal entries
+def test_codes_are_those_of_plain_rounds(spark, grid):
+    rows = vectors(200, grid=grid)
+    assert by_text(codes.compress_vectors(table(spark, rows).repartition(3)).collect()) == by_text(plain(rows))
+    assert by_text(codes.compress_vectors(table(spark, rows), parts=8, entries=5, rounds=4).collect()) == by_text(plain(rows, 8, 5, 4))
+    assert by_text(codes.compress_vectors(table(spark, rows), entries=1, rounds=0).collect()) == by_text(plain(rows, 16, 1, 0))
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = vectors(90, 16)
+    odd = [(1000, None, 1), (1001, [nan] * 16, 1), (1002, [inf] + [0.0] * 15, 1), (1003, [None] + [0.0] * 15, 1), (1004, [], 9), (1005, [0.5] * 17, 9), (1006, [0.5] * 32, 0)]
+    again = [rows[0], rows[0], (rows[1][0], [0.1] * 16, 7), (None, [0.2] * 16, None), (None, [0.3] * 16, 1)]
+    every = rows + odd + again
+    docs = table(spark, every).withColumns({c: F.lit(1) for c in ("code", "error", "scaled", "id")})
+    got = codes.compress_vectors(docs)
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256", "label"]
+    assert by_text(got.collect()) == by_text(plain(every))
+    assert {r["vec_id"] for r in got.collect() if r["code"] is None} == {1004, 1005, 1006}
+    few = rows[:3]
+    assert by_text(codes.compress_vectors(table(spark, few)).collect()) == by_text(plain(few))
+    assert codes.compress_vectors(table(spark, [])).count() == 0
+    none = codes.compress_vectors(table(spark, [(1, [0.5] * 3, 1)])).collect()
+    assert [tuple(r) for r in none] == [(1, None, None, None, hashlib.sha256(b"").hexdigest(), 1)]
+    large = codes.compress_vectors(table(spark, [*few, (99, [3.0e38] * 16, 1)])).collect()
+    assert [r["error"] for r in large if r["vec_id"] == 99] == [None]
+
+
+def test_bounds_spare_scans_and_lose_no_tie():
+    rng = np.random.default_rng(2)
+    for spread in (3, 400):  # many ties; few
+        x = rng.integers(-spread, spread, (500, 4, 3))
+        books = x[:20].transpose(1, 0, 2).copy()
+        state, before = None, None
+        for _ in range(6):
+            lloyd = codes.Lloyd(books, before)
+            entry, upper, lower, scans = lloyd.assign(x, state)
+            state, true = (entry, upper, lower), np.stack([codes.squares(x[:, p], books[p]) for p in range(4)], 1)
+            assert (entry == true.argmin(axis=2)).all()
+            ordered = np.sqrt(np.sort(true, axis=2).astype(float))
+            assert (upper >= np.sqrt(np.take_along_axis(true, entry[:, :, None].astype(int), 2)[:, :, 0])).all() and (lower <= ordered[:, :, 1]).all()
+            before, books = books, np.stack([np.stack([x[entry[:, p] == e, p].sum(0) // max((entry[:, p] == e).sum(), 1) if (entry[:, p] == e).any() else books[p, e] for e in range(20)]) for p in range(4)])
+        assert spread == 3 or scans < 0.5 * entry.size
+    still = codes.Lloyd(before, before).assign(x, codes.Lloyd(before).assign(x, None)[:3])
+    assert still[3] < 0.1 * entry.size
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    cursor = con.execute(oracles.VECTOR_CODES)
+    got = codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    assert [d[0] for d in cursor.description] == got.columns
+    assert by_text(cursor.fetchall()) == by_text(got.collect())
