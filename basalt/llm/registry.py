@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aho, interpolation, language, oracles, ordermin, packing, quality, simhash, simple8b, suffix, tokens
+from . import aho, codes, infill, interpolation, language, oracles, ordermin, packing, quality, simhash, simple8b, suffix, tokens, toxicity
 from .common import read_table
 
 
@@ -59,7 +59,23 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op5_order_minhash, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_lm_scores)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by the lexicon of the labelled ones; texts without an entry share one score."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every finite vector in 16 parts of 64 entries after two rounds; ties go to the lower index, null labels are one."""
+    return codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document; null is empty and plain; one row per input row."""
+    return infill.transform_infill(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_packing, op4_suffix_dedup, op5_order_minhash, op6_simhash, op7_quality, op8_decontamination, op9_token_counts, op10_lm_scores, op11_toxicity, op12_vector_codes, op13_infill)}
 
 #: The others need a tokenizer, XXH64 or learning, which SQL has not; tests hold them against brute force.
-ORACLE_SQL = {"op4_suffix_dedup": oracles.REPEATS, "op8_decontamination": oracles.DECONTAMINATION}
+ORACLE_SQL = {"op4_suffix_dedup": oracles.REPEATS, "op8_decontamination": oracles.DECONTAMINATION, "op12_vector_codes": oracles.VECTOR_CODES, "op13_infill": oracles.INFILL}
