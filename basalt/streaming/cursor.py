@@ -48,7 +48,10 @@ class CursorStore:
             self._fs.delete(self._path(f"cursor-{old}"), False)
 
     def publish(self, df: DataFrame, key: str, cursor_column: str, write: Callable[[DataFrame], None]) -> str | None:
-        """Writes all rows beyond the stored cursor, then moves it; a crash in between repeats messages and loses none."""
+        """Writes all rows beyond the stored cursor, then moves it; a crash in between repeats messages and loses none.
+
+        For sources whose times are committed in order: rows that come late are what ``keyset.KeysetCursor`` is for.
+        """
         held = self.read()
         reached = publish_increment(df, key, cursor_column, held, write)
         if reached is not None and str(reached) != held:

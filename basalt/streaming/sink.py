@@ -73,11 +73,19 @@ class KeyedSink:
         self._forget(number)
 
     def _forget(self, now: int) -> None:
-        """Removes folders that were replaced ``keep`` versions ago."""
+        """Removes folders that were replaced ``keep`` versions ago, and versions that hold no other folder."""
+        drop = lambda folder: folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        used = {now}
         for found in self._folders().values():
-            for (_, folder), (replaced, _) in zip(found, found[1:]):
+            for (version, folder), (replaced, _) in zip(found, found[1:]):
                 if replaced <= now - self.keep:
-                    folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+                    drop(folder)
+                else:
+                    used.add(version)
+            used.add(found[-1][0])
+        for marker in self._found("version=*/_SUCCESS"):
+            if int(marker.getParent().getName().split("=")[1]) not in used:
+                drop(marker.getParent())
 
     def resize(self, buckets: int) -> "KeyedSink":
         """The sink with another number of buckets, holding the same rows; this one's folders stay until dropped."""
