@@ -104,6 +104,9 @@ def register(spark: SparkSession) -> None:
 def read_increments(spark: SparkSession, schema: str, *, connect: str, table: str, time: str, key: str, database: str | None = None, rows_per_task: int = 500_000):
     """The stream of a table's changes: each batch is what has been committed beyond the one before.
 
+    Under ``availableNow`` Spark gives such a source one batch a run: after a
+    crash, that is the batch that was cut short, and the next run takes what is new.
+
     A row without time or key is never read; rows that are committed late, at or
     before a time that the stream has passed, are not seen: read with a look-back
     and drop repeats (``messages.deduplicate``), or pull by ``KeysetCursor``.

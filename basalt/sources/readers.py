@@ -61,6 +61,29 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, *, streaming: bool
     return reader.options(**options).load().selectExpr("CAST(key AS STRING) AS key", value, "topic", "partition", "offset", "timestamp")
 
 
+#: Joins of bucketed tables: a bucket that is one sorted file needs no sort; tables with more buckets join by merging them.
+BUCKET_SETTINGS = {
+    "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "true",
+    "spark.sql.bucketing.coalesceBucketsInJoin.maxBucketRatio": "16",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+def bucketed_session(spark: SparkSession) -> SparkSession:
+    """A session over the same catalog in which bucketed tables join bucket by bucket.
+
+    Spark then lists the files of a bucketed table when it plans: where each
+    bucket is one file (``write_table`` sees to it), it trusts the order in which
+    the file was written.  The caller's session keeps its settings.
+    """
+    session = spark.newSession()
+    for name, value in BUCKET_SETTINGS.items():
+        session.conf.set(name, value)
+    return session
+
+
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """One date per row, written month/day/year without padding."""
     return read_text(spark, path, schemas.CALENDAR).select(F.to_date("Date", "M/d/yyyy").alias("Date"))

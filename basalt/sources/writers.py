@@ -27,22 +27,16 @@ def writers_for(df: DataFrame, task_bytes: int = 512 << 20) -> int:
 def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "overwrite", codec: str = "snappy", partition_by: list[str] | None = None, buckets: int | None = None, bucket_by: str | None = None, writers: int | None = None) -> None:
     """Writes a managed table, in full by default.
 
-    Overwriting is static: partitions that no longer occur are gone, so a row
-    that moved to another partition is not there twice.  Rows of a bucketed
+    Overwriting replaces the table: partitions that no longer occur are gone, so
+    a row that moved to another partition is not there twice.  Rows of a bucketed
     table are dealt out by partition and bucket number, so that each bucket of
-    a partition is one file and the buckets set how many tasks write.  Rows of
-    a partition without buckets are dealt to at most ``writers`` tasks by their
-    hash (by default as many as the table's size calls for), so that no value's
-    rows have to pass through one task.
+    a partition is one file and the buckets set how many tasks write: see
+    ``buckets_for``.  Rows of a partition without buckets are dealt to at most
+    ``writers`` tasks in turn (by default as many as the table's size calls
+    for), so that no value's rows have to pass through one task.
     """
-    writer, partition_by = df, partition_by or []
-    if buckets and bucket_by:
-        tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if partition_by else buckets
-        writer = df.repartition(tasks, *partition_by, F.pmod(F.hash(bucket_by), F.lit(buckets)))  # as the writer numbers buckets
-    elif partition_by:
-        salt = writers or writers_for(df)
-        writer = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(salt))) if salt > 1 else df.repartition(*partition_by)
-    out = writer.write.format(fmt).mode(mode).option("compression", codec).option("partitionOverwriteMode", "static")
+    partition_by = partition_by or []
+    out = _dealt(df, partition_by, buckets, bucket_by, writers).write.format(fmt).mode(mode).option("compression", codec)
     if partition_by:
         out = out.partitionBy(*partition_by)
     if buckets and bucket_by:
@@ -50,6 +44,60 @@ def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "over
     out.saveAsTable(name)
 
 
+def _dealt(df: DataFrame, partition_by: list[str], buckets: int | None, bucket_by: str | None, writers: int | None = None) -> DataFrame:
+    """Rows as the tasks are to write them."""
+    if buckets and bucket_by:
+        tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if partition_by else buckets
+        return df.repartition(tasks, *partition_by, F.pmod(F.hash(bucket_by), F.lit(buckets)))  # as the writer numbers buckets
+    if not partition_by:
+        return df
+    salt = writers or writers_for(df)
+    if salt == 1:
+        return df.repartition(*partition_by)
+    turn = df.withColumn("__turn", F.pmod(F.monotonically_increasing_id(), F.lit(salt)))  # rows that are equal, or hold a map, are spread as well
+    return turn.repartition(*partition_by, "__turn").drop("__turn")
+
+
+def buckets_for(df: DataFrame, bucket_bytes: int = 256 << 20) -> int:
+    """How many buckets a table needs: the power of two with at most ``bucket_bytes`` in each, by the optimizer's estimate.
+
+    Powers of two divide each other, so tables of different sizes still join
+    bucket by bucket.
+    """
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 1 << max(-(-known // bucket_bytes) - 1, 0).bit_length()
+
+
+def _table_layout(spark: SparkSession, table: str) -> tuple[list[str], int | None, str | None]:
+    """Partition columns, number of buckets and the column they go by."""
+    columns = spark.catalog.listColumns(table)
+    said = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    bucketed = [c.name for c in columns if c.isBucket]
+    return [c.name for c in columns if c.isPartition], int(said["Num Buckets"]) if bucketed else None, bucketed[0] if bucketed else None
+
+
+def replace_partitions(df: DataFrame, table: str) -> None:
+    """Writes the partitions that ``df`` has rows of, in place of what they held; the table's others stay as they are, files and all."""
+    spark, name = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    partition_by, buckets, bucket_by = _table_layout(spark, table)
+    said = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    if "partitionoverwritemode=static" in said.get("Storage Properties", "").lower():
+        raise ValueError(f"{table} has an option by which any overwrite would empty its other partitions")
+    rows = _dealt(df.select(spark.table(table).columns), partition_by, buckets, bucket_by)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(name, before)
+
+
+def drop_partition(spark: SparkSession, table: str, values: dict) -> None:
+    """Drops one partition with its files."""
+    terms = ", ".join(f"`{c}` = {'NULL' if v is None else repr(str(v))}" for c, v in values.items())
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({terms})")
+
+
 def use_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
     spark.catalog.setCurrentDatabase(name)
