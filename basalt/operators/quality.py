@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.columns import count_where, is_blank
@@ -36,6 +38,23 @@ def reconcile(**tables: DataFrame) -> DataFrame:
     return found
 
 
+def promote(raw: DataFrame, stage: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], *, raw_checks: dict[str, Column] | None = None, staged_checks: dict[str, Column] | None = None) -> dict[str, int]:
+    """Stages raw rows and writes them, and counts both sides in that one pass: raw_rows, staged_rows, lost_rows and the checks.
+
+    Checks are conditions whose rows are counted on their side.  The counts are
+    metrics of the write itself, so the source is read once and they are of the
+    very rows that were written; ``stage`` should not shuffle, as tasks of a
+    shuffle that are run again would be counted again.
+    """
+    rows = F.count(F.lit(1)).alias("rows")
+    before, after = Observation(), Observation()
+    counted = lambda checks: [count_where(condition).alias(name) for name, condition in (checks or {}).items()]
+    write(stage(raw.observe(before, rows, *counted(raw_checks))).observe(after, rows, *counted(staged_checks)))
+    seen, kept = before.get, after.get
+    found = {"raw_rows": seen.pop("rows"), "staged_rows": kept.pop("rows")}
+    return found | {"lost_rows": found["raw_rows"] - found["staged_rows"]} | seen | kept
+
+
 def metrics(df: DataFrame, table: str, run_date: str, *, null_column: str, key: str, null_name: str | None = None, duplicate_name: str | None = None) -> DataFrame:
     """One row of the log in one pass: rows, missing values, rows less distinct keys, missing keys.
 

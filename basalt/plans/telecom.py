@@ -45,6 +45,12 @@ def stage(raw: DataFrame) -> DataFrame:
     return raw.withColumn("TotalCharges", safe_float(F.col("TotalCharges")))
 
 
+def promote(raw: DataFrame, path: str) -> dict[str, int]:
+    """Stages the raw records as ORC; rows on both sides, header lines and missing totals, counted while they are written."""
+    header = F.col("customerID") == "customerID"
+    return quality.promote(raw, stage, lambda df: write_files(df, path), raw_checks={"header_rows": header}, staged_checks={"null_totalcharges": F.col("TotalCharges").isNull()})
+
+
 def publish_curated(staged: DataFrame, table: str, *, buckets: int = 4) -> None:
     """The curated table, by contract and bucketed by customer, replaced in full."""
     columns = [c for c in staged.columns if c != "Contract"]
@@ -67,6 +73,16 @@ def build_dimensions(source: DataFrame) -> dict[str, DataFrame]:
     return {table: star.surrogate_keys(source.select(F.col(natural).alias(name)), name, key) for table, natural, key, name in DIMENSIONS}
 
 
+def extend_dimensions(spark: SparkSession, source: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
+    """The three stored dimensions, with keys for what is new in the source; keys that facts hold already stay."""
+    return {table: star.extend_dimension(spark, f"{prefix}{table}", source.select(F.col(natural).alias(name)), name, key) for table, natural, key, name in DIMENSIONS}
+
+
+def merge_curated(spark: SparkSession, table: str, delta_raw: DataFrame) -> list[dict]:
+    """Merges deltas into the curated table, rewriting the contracts that they touch; the table needs a load date."""
+    return merge.merge_partitions(spark, table, stage(delta_raw), "customerID", tie=["tenure", "MonthlyCharges", "TotalCharges"])
+
+
 def build_fact(source: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
     """Customer activity with the keys of its dimensions."""
     linked = [(dimensions[table].withColumnRenamed(name, natural), natural, key) for table, natural, key, name in DIMENSIONS]

@@ -17,6 +17,55 @@ def write_files(df: DataFrame, path: str, fmt: str = "orc", *, mode: str = "over
     writer.save(path)
 
 
+def write_clustered(df: DataFrame, path: str, fmt: str = "parquet", *, cluster_by: list[str], lookup: list[str] | None = None, parts: int | None = None, group_bytes: int | None = None, mode: str = "overwrite") -> None:
+    """Files whose rows lie together by ``cluster_by``, with bloom filters on ``lookup``, so that reads skip what they cannot need.
+
+    Rows are dealt out by range and sorted, so the least and highest values of a
+    row group or stripe say much; the filters tell of columns that the order does
+    not help whether a value can be there at all.  ``group_bytes`` is the size of
+    a row group or stripe.
+    """
+    parts = parts or max(writers_for(df), 1)
+    options = {}
+    for column in lookup or []:
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+    if lookup:
+        options["orc.bloom.filter.columns"] = ",".join(lookup)
+    if group_bytes:
+        options |= {"parquet.block.size": str(group_bytes), "orc.stripe.size": str(group_bytes)}
+    write_files(df.repartitionByRange(parts, *cluster_by).sortWithinPartitions(*cluster_by), path, fmt, mode=mode, **options)
+
+
+#: Types that hold every value of the type before the arrow.
+_WIDER = {"tinyint": "smallint int bigint float double", "smallint": "int bigint float double", "int": "bigint double", "bigint": "", "float": "double", "date": "timestamp timestamp_ntz"}
+
+
+def insert_by_name(df: DataFrame, table: str) -> None:
+    """Appends rows to a table, column by column of the same name, whatever their order.
+
+    A column that the table has not, or one of a type that does not fit (the
+    table's, or one that holds all of its values), is an error, and nothing is
+    written; a column that the rows have not is NULL.  Names are told apart
+    without regard to case, as the catalog does.
+    """
+    spark = df.sparkSession
+    target = spark.table(table).schema
+    wanted = {f.name.lower(): f for f in target.fields}
+    given: dict[str, str] = {}
+    for f in df.schema.fields:
+        if f.name.lower() in given:
+            raise ValueError(f"column {f.name} is there twice")
+        given[f.name.lower()] = f.name
+        if f.name.lower() not in wanted:
+            raise ValueError(f"{table} has no column {f.name}")
+        have, want = f.dataType.simpleString(), wanted[f.name.lower()].dataType.simpleString()
+        if have not in (want, "void") and want not in _WIDER.get(have, "").split():
+            raise ValueError(f"column {f.name} is {have}, and {table} has {want}")
+    rows = df.select(*((F.col(f"`{given[n]}`") if n in given else F.lit(None)).cast(f.dataType).alias(f.name) for n, f in wanted.items()))
+    partition_by, buckets, bucket_by = _table_layout(spark, table)
+    _dealt(rows, partition_by, buckets, bucket_by).write.insertInto(table)
+
+
 def writers_for(df: DataFrame, task_bytes: int = 512 << 20) -> int:
     """Tasks that may write one partition: as many as the table has ``task_bytes``, by the optimizer's estimate, at most the session's number."""
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,7 +14,7 @@ from basalt.sources.readers import beyond_cursor, next_cursor
 
 
 def keyed_json(df: DataFrame, key: str) -> DataFrame:
-    """One message per row: the key as text, so that a key's messages keep their order, and the row as JSON."""
+    """One message per row: the key as text, and the row as JSON; ``order.OrderedPublisher`` numbers and sends a key's messages in order."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
@@ -123,6 +123,19 @@ def consume(messages: DataFrame, good_path: str, dead_path: str, checkpoint: str
     return messages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def deduplicate(stream: DataFrame, keys: list[str], time: str, bound: str) -> DataFrame:
+    """A stream in which each key comes once, as long as its copies come within ``bound`` of each other by their own time.
+
+    State holds the keys of the last ``bound`` and lets go of older ones, so it
+    does not grow with the stream.  A row that is older than the watermark (the
+    latest time seen, less the bound) is left out, whether a copy or not; rows
+    without a time are left out as well.  The time may lack a zone: it is read
+    as a timestamp of the session's, which watermarks need.
+    """
+    timed = stream.withColumn("__at", F.col(time).cast("timestamp")).where(F.col("__at").isNotNull())
+    return timed.withWatermark("__at", bound).dropDuplicatesWithinWatermark(keys).drop("__at")
+
+
 def read_batches(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
     """All batches that a consumer has written."""
     return spark.read.schema(schema).format(fmt).load(path)

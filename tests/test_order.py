@@ -1,0 +1,95 @@
+"""Numbers of a key's messages: given in order, kept from run to run, checked on arrival."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.streaming import order
+
+
+def rows(spark, n=600, seed=3):
+    """A third of the rows has one key; times repeat and are told apart by the id."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise((F.col("id") % 11).cast("int"))
+    return spark.range(n).select("id", hot.alias("user"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(40))).cast("int").alias("ts"))
+
+
+def plain(data, last=()):
+    out, number = {}, dict(last)
+    for r in sorted(data, key=lambda r: (r["user"], r["ts"], r["id"])):
+        number[r["user"]] = number.get(r["user"], 0) + 1
+        out[r["id"]] = number[r["user"]]
+    return out, number
+
+
+def test_numbers_are_those_of_plain_counting(spark):
+    df = rows(spark)
+    expected, number = plain(df.collect())
+    for frame in (df, df.repartition(9)):
+        assert {r["id"]: r["seq"] for r in order.numbered(frame, "user", ["ts", "id"]).collect()} == expected
+    last = spark.createDataFrame([(7, 100), (1, 5), (99, 3)], "user int, last long")
+    expected, _ = plain(df.collect(), {7: 100, 1: 5})
+    assert {r["id"]: r["seq"] for r in order.numbered(df, "user", ["ts", "id"], last=last).collect()} == expected
+    odd = spark.createDataFrame([(1, None, 1), (2, 5, 1)], "id long, user int, ts int")
+    assert [tuple(r) for r in order.numbered(odd, "user", ["ts", "id"]).collect()] == [(2, 5, 1, 1)]
+    assert order.numbered(odd.limit(0), "user", ["ts", "id"]).count() == 0
+
+
+def test_a_hot_key_is_dealt_to_many_tasks(spark):
+    placed = order._placed(rows(spark, 3000), "user", ["ts", "id"])
+    sizes = {r[order._PART]: r["count"] for r in placed.where("user = 7").groupBy(order._PART).count().collect()}
+    assert len(sizes) > 1 and max(sizes.values()) < 1000
+
+
+def arrived(spark, path):
+    """Messages in the order in which they lie in their files."""
+    out = []
+    for f in sorted(path.glob("part-*")):
+        out += [(f.name, n, json.loads(line)) for n, line in enumerate(f.read_text().splitlines())]
+    return spark.createDataFrame([(f, n, m["user"], m["seq"], m["id"], m["ts"]) for f, n, m in out], "file string, line int, user int, seq long, id long, ts int")
+
+
+def test_runs_are_published_in_order(spark, tmp_path):
+    df, publisher = rows(spark), order.OrderedPublisher(spark, str(tmp_path / "numbers"), key="user", order=["ts", "id"], partitions=5, compact=2)
+    send = lambda run: lambda m: m.select("value").write.mode("overwrite").text(str(tmp_path / f"run{run}"))
+    runs = [df.where("ts < 10"), df.where("ts BETWEEN 10 AND 19"), df.where("ts BETWEEN 20 AND 29"), df.where("ts >= 30")]
+    for number, part in enumerate(runs, 1):
+        publisher.publish(part.repartition(6), number, send(number))
+    publisher.publish(runs[3], 4, send(4))  # sent again
+    publisher.publish(runs[2], 3, send(3))
+    expected, _ = plain(df.collect())
+    got = {}
+    for number in range(1, 5):
+        held = arrived(spark, tmp_path / f"run{number}")
+        for r in held.collect():
+            got[r["id"]] = r["seq"]
+        per_user = held.groupBy("user").agg(F.countDistinct("file").alias("files")).collect()
+        assert all(r["files"] == 1 for r in per_user) and held.select("file").distinct().count() <= 5
+        assert order.order_faults(held, "user", ["line"], first=None).count() == 0
+    assert got == expected
+
+
+def test_faults_of_arrival_are_found(spark):
+    df = order.numbered(rows(spark, 3000), "user", ["ts", "id"]).withColumn("at", F.col("seq"))
+    assert order.order_faults(df, "user", ["at"]).count() == 0 and order.missing_numbers(df, "user").count() == 0
+    lost = df.where("id % 50 <> 12").collect()
+    faults = {(r["user"], r["seq"]): (r["expected"], r["fault"]) for r in order.order_faults(df.where("id % 50 <> 12").repartition(5), "user", ["at"]).collect()}
+    expected, missing = {}, {}
+    for user in {r["user"] for r in lost}:
+        own, before = sorted(r["seq"] for r in lost if r["user"] == user), 0
+        for n in own:
+            if n != before + 1:
+                expected[user, n] = (before + 1, "gap")
+            before = n
+        if own[-1] > len(own):
+            missing[user] = (own[-1], own[-1] - len(own))
+    assert faults == expected and expected
+    assert {r["user"]: (r["last"], r["missing"]) for r in order.missing_numbers(df.where("id % 50 <> 12"), "user").collect()} == missing
+    swapped = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (1, 3, 2), (1, 4, 4), (2, 1, 2)], "user int, at int, seq long")
+    assert sorted((r["user"], r["at"], r["expected"], r["fault"]) for r in order.order_faults(swapped, "user", ["at"]).collect()) == [(1, 2, 2, "gap"), (1, 3, 4, "again"), (1, 4, 3, "gap"), (2, 1, 1, "gap")]
+
+
+@pytest.mark.parametrize("field, kind, value", [("seq", "long", 4), ("name", "string", "x")])
+def test_fields_of_a_value(spark, field, kind, value):
+    df = spark.createDataFrame([('{"seq": 4, "name": "x"}',)], "value string")
+    assert df.select(order.column_of(field, kind)).first()[0] == value
