@@ -8,13 +8,13 @@ there is a third, part type.
 from __future__ import annotations
 
 import atexit
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.columns import bucket, safe_float
 from basalt.operators import analytics, merge, quality, star
+from basalt.plans import changes
 from basalt.sources import readers, writers
 from basalt.streaming import messages
 from basalt.streaming.sink import KeyedSink, consume_keyed
@@ -190,34 +190,25 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, "parquet", lambda path, _: readers.read_parquet(spark, path))
 
 
-_TABLES: list[tuple[SparkSession, str]] = []
-
-
 @atexit.register
 def _drop_tables() -> None:
-    for spark, name in _TABLES:
+    for spark, name in changes.TABLES:
         try:
             writers.drop_table(spark, name)
         except Exception:  # the session has ended before the process
             pass
 
 
-def _table_name(spark: SparkSession, what: str) -> str:
-    name = f"basalt_{what}_{uuid.uuid4().hex[:12]}"
-    _TABLES.append((spark, name))
-    return name
-
-
 def partitioned_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by status in four buckets a status, written and read again with one status pruned to."""
-    name = _table_name(spark, "curated")
+    name = changes.table_name(spark, "curated")
     writers.write_table(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), name, partition_by=["o_orderstatus"], buckets=4, bucket_by="o_custkey")
     return spark.table(name).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 def overwrite_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice, the second time with one status moved to another: no row is there twice."""
-    name = _table_name(spark, "twice")
+    name = changes.table_name(spark, "twice")
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     writers.write_table(orders, name, partition_by=["o_orderstatus"])
     writers.write_table(orders.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus"))), name, partition_by=["o_orderstatus"])
@@ -225,11 +216,12 @@ def overwrite_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and customers bucketed alike, joined without a shuffle."""
-    left, right = _table_name(spark, "orders"), _table_name(spark, "customer")
+    """Orders and customers bucketed alike, joined without a shuffle or a sort."""
+    left, right = changes.table_name(spark, "orders"), changes.table_name(spark, "customer")
     writers.write_table(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), left, buckets=8, bucket_by="c_custkey")
     writers.write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), right, buckets=8, bucket_by="c_custkey")
-    joined = spark.table(left).hint("merge").join(spark.table(right), "c_custkey")
+    session = readers.bucketed_session(spark)
+    joined = session.table(left).join(session.table(right), "c_custkey")
     return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"))
 
 
@@ -294,7 +286,7 @@ QUERIES = {
         duplicate_keys, null_or_empty_count, safe_cast, row_count, dq_metrics, dq_anomaly, dq_repeated_run, dq_prev_run, dq_missing_tables, audit_history, inflate, incremental_pull, incremental_cursor,
         scan_text_roundtrip, scan_orc_roundtrip, scan_parquet, partitioned_curated, overwrite_idempotent, bucketed_join, keyed_json_publish, stream_transform, stream_dlq, stream_idempotent,
     )
-}
+} | changes.QUERIES
 
 _ROUND_TRIP = "SELECT l_returnflag, count(*) AS lines, round(avg(l_extendedprice), 2) AS avg_price, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM lineitem GROUP BY l_returnflag"
 _LOG = "SELECT event_type AS table_name, strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS row_count FROM events GROUP BY 1, 2"
@@ -375,4 +367,4 @@ ORACLE_SQL = {
     "stream_idempotent": f"""
         SELECT "ID", category, CASE WHEN category = 'click' THEN 0.5 ELSE 1 END * (price + CASE WHEN "ID" % 3 = 0 THEN 1 ELSE 0 END) AS price,
                CASE WHEN "ID" % 3 = 0 THEN '2025-01-01 00:00:00' ELSE last_updated END AS last_updated FROM ({_PRODUCTS})""",
-}
+} | changes.ORACLE_SQL

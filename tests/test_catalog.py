@@ -48,9 +48,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in text
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
-    text = plan(catalog.bucketed_join(spark, sf_dir))
-    assert "SortMergeJoin" in text and text.split("SortMergeJoin", 1)[1].split("== Initial", 1)[0].count("Exchange") == 0
+@pytest.mark.parametrize("name, sorts", [("bucketed_join", 0), ("bucket_merge_join", 1)])
+def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir, name, sorts):
+    text = plan(catalog.QUERIES[name](spark, sf_dir))
+    below = text.split("SortMergeJoin", 1)[1].split("== Initial", 1)[0]
+    assert below.count("Exchange") == 0 and below.count("Sort [") == sorts
+
+
+def test_partitions_of_the_fact_are_pruned_by_the_join(spark, sf_dir):
+    assert "dynamicpruning" in plan(catalog.QUERIES["pruned_fact_rate"](spark, sf_dir))
 
 
 def test_latest_per_key_limits_each_group_before_the_shuffle(spark, sf_dir):
