@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.operators.joins import SMALL_ROWS, broadcast_if_small
+from basalt.operators.joins import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, measured
 from basalt.workspace import Scratch
 
 
@@ -52,8 +52,10 @@ def _numbered(values: DataFrame, column: str, key: str, last: int, scratch: Scra
     ranges; the keys are the same.  More values than an int has numbers are an error.
     """
     spark = values.sparkSession
-    if values.limit(most + 1).count() <= most:
-        return values.select((F.row_number().over(Window.orderBy(column)) + F.lit(last)).cast("int").alias(key), column)
+    rows, size = measured(values, most)
+    if rows <= most:
+        out = values.select((F.row_number().over(Window.orderBy(column)) + F.lit(last)).cast("int").alias(key), column)
+        return F.broadcast(out) if rows <= SMALL_ROWS and size + 20 * rows <= SMALL_BYTES else out  # joins need not count it again
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.table("placed", values.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()))
     sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())

@@ -81,8 +81,8 @@ def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "over
     table are dealt out by partition and bucket number, so that each bucket of
     a partition is one file and the buckets set how many tasks write: see
     ``buckets_for``.  Rows of a partition without buckets are dealt to at most
-    ``writers`` tasks in turn (by default as many as the table's size calls
-    for), so that no value's rows have to pass through one task.
+    ``writers`` tasks, by the task that reads them (by default as many as the
+    table's size calls for), so that no value's rows have to pass through one task.
     """
     partition_by = partition_by or []
     out = _dealt(df, partition_by, buckets, bucket_by, writers).write.format(fmt).mode(mode).option("compression", codec)
@@ -103,7 +103,8 @@ def _dealt(df: DataFrame, partition_by: list[str], buckets: int | None, bucket_b
     salt = writers or writers_for(df)
     if salt == 1:
         return df.repartition(*partition_by)
-    turn = df.withColumn("__turn", F.pmod(F.monotonically_increasing_id(), F.lit(salt)))  # rows that are equal, or hold a map, are spread as well
+    # by the task that reads a row: so rows that are equal, or hold a map, are spread as well, and a task that is run again deals them alike
+    turn = df.withColumn("__turn", F.pmod(F.spark_partition_id(), F.lit(salt)))
     return turn.repartition(*partition_by, "__turn").drop("__turn")
 
 

@@ -36,6 +36,13 @@ def test_each_bucket_of_a_partition_is_one_file(plain):
         writers.drop_table(plain, name)
 
 
+def test_equal_rows_and_maps_are_spread(plain):
+    rows = plain.range(0, 20_000, 1, 8).select(F.lit(1).alias("x"), F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.lit("one").alias("part"))
+    writers.write_table(rows, "salted_equal", partition_by=["part"], writers=4)
+    assert len(files(plain, "salted_equal")) > 1 and plain.table("salted_equal").count() == 20_000
+    writers.drop_table(plain, "salted_equal")
+
+
 def test_a_partition_is_written_by_several_tasks_if_it_is_large(plain):
     rows = plain.range(20_000).select("id", F.lit("one").alias("part"))
     for tasks in (1, 6):
@@ -50,6 +57,9 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower() or "hint" in df._jdf.queryExecution().logical().toString().lower()
     few = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("v"))
     assert hinted(joins.broadcast_if_small(few)) and hinted(joins.broadcast_if_small(few.limit(0)))
+    sized = F.broadcast(few).select("v")  # its size was known when it was made: no job
+    assert joins.is_hinted(sized) and hinted(joins.broadcast_if_small(sized, most=1)) and not joins.is_hinted(few.where("v = 'x'"))
+    assert joins.is_hinted(star.surrogate_keys(few, "v", "k").withColumnRenamed("v", "w").select("w", "k"))
     assert not hinted(joins.broadcast_if_small(few, most=9)) and not hinted(joins.broadcast_if_small(few, most_bytes=5000))
 
 
