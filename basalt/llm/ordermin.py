@@ -9,9 +9,10 @@ signatures that agree among those that either text has.
 
 The ``BINS`` orders come from one family of hashes: in the order of bin b those
 k-mers come first whose hash falls into b, the least hash first, then those
-whose second hash does, and so on.  A long text needs its k-mers' first hashes
-alone; a short one goes on until every bin has its two, so that short texts
-keep order too, and texts of any lengths are compared by the same orders.
+whose second hash does, and so on, for as many hashes as the text's length calls
+for (one for a long text); then all others, by a hash of their own with b.  So
+every bin of a text of two or more k-mers has two, and texts of any lengths are
+compared by the same orders but for the few bins that come to those others.
 
 Everything is arrays of 64-bit integers, a hash's upper bits with a position in
 the lower, so that sorting numbers sorts by hash and then by place.
@@ -78,19 +79,37 @@ def _signatures(df: DataFrame, text: str, out: str, k: int) -> DataFrame:
     repeated = F.flatten(F.transform(F.sequence(F.lit(0), many - 1), lambda n: F.transform(b, lambda x: again(n, x))))
     df = df.withColumn(placed, F.sort_array(F.when(many > 1, repeated).otherwise(b)))
 
+    def others(n: Column) -> Column:
+        """The k-mers in the order in which they come to bin ``n`` after those of its own hashes; few bins ask."""
+        return F.sort_array(F.transform(b, lambda v: upper(F.xxhash64(upper(v), n, F.lit("other"))).bitwiseOR(lower(v))))
+
+    at = lambda i: F.get(h, i)
+    short = lambda pair: F.lpad(F.lower(F.hex(pair.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
+    ordered = lambda i, o: F.xxhash64(at(F.least(i, o)), at(F.greatest(i, o)))
+    place_of = lambda v: lower(v).cast("int")
+
     def signature(x: Column, j: Column) -> Column:
         # the next of the bin that is another k-mer; a short text may have one k-mer there more than once
+        in_bin = lambda y: bin_of(y) == bin_of(x)
         following = lambda d: F.get(c, j + d)
-        other = F.coalesce(*(F.when((bin_of(following(d)) == bin_of(x)) & (place(following(d)) != place(x)), place(following(d))) for d in range(1, 7)))
-        at = lambda i: F.get(h, i)
-        pair = F.when(other.isNull(), F.xxhash64(at(place(x)))).otherwise(F.xxhash64(at(F.least(place(x), other)), at(F.greatest(place(x), other))))
+        near = [F.when(in_bin(following(d)) & (place(following(d)) != place(x)), place(following(d))) for d in range(1, 7)]
+        far = F.when(in_bin(following(6)), place(F.get(F.filter(F.slice(c, j + 8, F.size(c)), lambda y: in_bin(y) & (place(y) != place(x))), F.lit(0))))
+        added = F.when(F.size(b) > 1, place_of(F.get(F.filter(others(bin_of(x).cast("int")), lambda v: place_of(v) != place(x)), F.lit(0))))
+        other = F.coalesce(*near, far, added)
+        pair = F.when(other.isNull(), F.xxhash64(at(place(x)))).otherwise(ordered(place(x), other))
         first = (j < 1) | (bin_of(F.get(c, j - 1)) != bin_of(x))
-        return F.when(first, F.struct(bin_of(x).cast("int").alias("bin"), F.lpad(F.lower(F.hex(pair.bitwiseAND(F.lit(0xFFFF)))), 4, "0").alias("sig")))
+        return F.when(first, F.struct(bin_of(x).cast("int").alias("bin"), short(pair).alias("sig")))
 
     df = df.withColumn(firsts, F.map_from_entries(F.filter(F.transform(c, signature), lambda s: s.isNotNull())))
     bins = F.lit(list(range(-BINS // 2, BINS // 2)))
     filled = F.col(firsts)
-    df = df.withColumn(out, F.transform(bins, lambda n: F.when(F.map_contains_key(filled, n), F.element_at(filled, n)).otherwise(F.lit(_EMPTY))))
+
+    def added(n: Column) -> Column:
+        two = F.transform(F.slice(others(n), 1, 2), place_of)
+        return short(F.aggregate(F.array(two), F.lit(0).cast("long"), lambda _, t: ordered(F.get(t, F.lit(0)), F.get(t, F.lit(1)))))
+
+    missing = lambda n: F.when(F.size(b) > 1, added(n)).otherwise(F.lit(_EMPTY))
+    df = df.withColumn(out, F.transform(bins, lambda n: F.when(F.map_contains_key(filled, n), F.element_at(filled, n)).otherwise(missing(n))))
     return df.drop(words, kmers, equal, numbered, levels, placed, firsts)
 
 

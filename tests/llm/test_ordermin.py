@@ -41,12 +41,27 @@ def reference(text, k=3, bins=64):
     out = []
     for b in range(-bins // 2, bins // 2):
         found = sorted(order.get(b, []))
-        other = [x[2] for x in found[1:7] if x[2] != found[0][2]][:1]
-        in_text = [(kmers[p], 8) for p in sorted([found[0][2], *other])] if found else []
-        out.append(f"{xx(in_text) & 0xFFFF:04x}" if found else "----")
+        places = [x[2] for x in found]
+        if n > 1:
+            places += [p for _, p in sorted((xx([(h, 8), (b, 4), "other"]) & HIGH, p) for h, p in numbered)]
+        two = sorted(list(dict.fromkeys(places))[:2])
+        out.append(f"{xx([(kmers[p], 8) for p in two]) & 0xFFFF:04x}" if two else "----")
     return out
 
 
+def test_every_bin_of_two_kmers_has_two(spark):
+    """Texts of 2 to 600 k-mers: no bin is empty, and all are those of plain sorting."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([4, 4, 4, 5, 5, 6, 7, 9, 30, 100, 300, 449, 450, 451, 452, 453, 500, 600] * 4)]
+    rows += [(1000, "a b a b a b a b"), (1001, "x " * 600), (1002, "one two three"), (1003, "")]
+    got = {r["doc_id"]: cut(r["fingerprint"]) for r in ordermin.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == reference(text)
+        assert i >= 1002 or "----" not in got[i]
+    long = next(i for i, t in rows if len(t.split()) == 500)
+    assert len(set(got[long])) > 50
+
+
 def near(a, b):
     filled = [(x, y) for x, y in zip(a, b) if x != "----" or y != "----"]
     return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
