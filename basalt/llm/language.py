@@ -214,27 +214,29 @@ def model_of(sample: dict[str, list[str]]) -> tuple:
     return alphabet, [lang for lang, _ in parts], Automata([p for _, p in parts], alphabet.size), np.array([np.log2(len(p) + 1) for _, p in parts])
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, letters_per_lang: int, passage: int = 2000) -> dict[str, list[str]]:
+def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, letters_per_lang: int, passage: int = 2000, most_langs: int = 100) -> dict[str, list[str]]:
     """Labelled passages per language, at least ``letters_per_lang`` characters if there are as many, in the order of a hash of id and place.
 
     Learns only from rows that are not held out and whose language is known.
     Texts are dealt into passages of ``passage`` characters, and any of them may
     be drawn, wherever it stands in its text; the share that is drawn is set by
     the language's total size, so the driver gets a bounded amount at any size
-    of the corpus and of a text.  Passages that are equal in all count once.
+    of the corpus and of a text.  Passages that are equal in all count once.  Of
+    more than ``most_langs`` label values those with the most characters are
+    learned, ties by name: the others are never predicted.
     """
     rows = only(docs, id_col, text_col, lang_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where((id_crc(F.col("id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a text's passages: whole texts are dealt into them, and every one is as likely to be learned from
     pieces = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / passage).cast("int"))
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text").cast("long")).alias("n")).collect()}
-    total = {lang: n for lang, n in total.items() if n}
+    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text").cast("long")).alias("n")).where("n > 0")
+    total = {r["lang"]: r["n"] for r in sizes.orderBy(F.col("n").desc(), "lang").limit(most_langs).collect()}
     if not total:
         return {}
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(total.items()) for x in (lang, min(1.0, 3.0 * letters_per_lang / n)))), F.col("lang"))
     draw = lambda i: F.pmod(F.xxhash64(F.col("id").cast("string"), i, F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     drawn = F.filter(F.transform(pieces, lambda i: F.struct(draw(i).alias("draw"), i.alias("piece"))), lambda p: p["draw"] < F.col("share"))
-    rows = rows.where(F.col("text") != "").withColumn("share", share).select("lang", "text", F.explode(drawn).alias("p"))
+    rows = rows.where((F.col("text") != "") & F.col("lang").isin(*total)).withColumn("share", share).select("lang", "text", F.explode(drawn).alias("p"))
     sample = rows.select("lang", "p.draw", F.substring("text", F.col("p.piece") * passage + 1, F.lit(passage)).alias("text")).distinct().collect()
     out: dict[str, list[str]] = {}
     room = dict.fromkeys(total, letters_per_lang)
@@ -245,7 +247,7 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, letters
     return out
 
 
-def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", letters_per_lang: int = 24_000, passage: int = 2000, batch_bytes: int = 2 << 20) -> DataFrame:
+def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", letters_per_lang: int = 24_000, passage: int = 2000, most_langs: int = 100, batch_bytes: int = 2 << 20) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
     ``score`` is one minus the ratio of the winner's normalised phrases to the
@@ -256,12 +258,14 @@ def predict_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id is not held out; an empty table gives none; other columns are not
     read.  One pass over the texts, no shuffle.
 
-    A worker holds some 130 bytes per character of the samples
-    (``letters_per_lang`` a language) and a root of four bytes per language and letter.
+    At most ``most_langs`` languages are learned, those with the most text: a
+    label column may hold anything.  A worker holds some 130 bytes per character
+    of the samples (``letters_per_lang`` a language) and a root of four bytes per
+    language and letter.
     """
     spark = docs.sparkSession
     small_batches(docs)
-    sample = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, letters_per_lang=letters_per_lang, passage=passage)
+    sample = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, letters_per_lang=letters_per_lang, passage=passage, most_langs=most_langs)
     held = spark.sparkContext.broadcast(sample)
     name = f"language {uuid.uuid4().hex}"  # a worker builds the automata once from the text it is sent
     kind = dict(docs.dtypes)[id_col]

@@ -94,3 +94,14 @@ def test_held_out_accuracy_on_the_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.predict_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+def test_a_bounded_number_of_labels_is_learned(spark):
+    """The label column may hold anything: the languages with the most text are learned."""
+    rows = [(i, "alpha beta gamma delta " * 20, "la") for i in range(8)] + [(i, "eins zwei drei vier " * 10, "lb") for i in range(10, 18)] + [(i, f"junk {i} word", f"junk{i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.train(docs, id_col="doc_id", text_col="text", lang_col="lang", letters_per_lang=24_000, most_langs=2)
+    assert set(sample) == {"la", "lb"}
+    got = language.predict_language(docs, most_langs=2).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"la", "lb"}
+    assert all(r["lang_pred"] == "la" for r in got if r["doc_id"] < 8)
