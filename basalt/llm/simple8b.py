@@ -165,11 +165,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     so that one id cannot fill a task) and sorted within; texts are shuffled
     once, and Spark's committer writes the files, so that lost executors cost
     their own tasks only.  A shard holds about ``shard_ids`` ids, and at least
-    one document.  Ids are integers, as the files hold them; null ids come first; a null text is empty and has the end id
-    alone.
+    one document.  The files hold ids as 64-bit integers: one that is none counts
+    as null; null ids come first; a null text is empty and has the end id alone.
     """
     small_batches(docs)
-    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = source.repartitionByRange(shuffle_partitions(source), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):

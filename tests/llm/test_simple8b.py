@@ -46,3 +46,9 @@ def test_files_hold_whole_documents_in_order(spark):
         at += len(ids)
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, 1, 3, 5, 5, 7, 9]
     assert simple8b.token_file_digest(docs.limit(0), path, end_id=2).count() == 0
+
+
+def test_ids_that_are_no_integers_count_as_null(spark):
+    docs = spark.createDataFrame([("7", "the cat"), ("x7", "sat"), (None, "on"), ("3", "")], "doc_id string, text string")
+    got = simple8b.token_file_digest(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, 3, 7]
