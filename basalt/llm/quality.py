@@ -1,8 +1,8 @@
 """Quality classifier by supervised subword embeddings (operator 7).
 
 A document is the average of learned vectors of its hashed words, word pairs
-and byte n-grams; a softmax over the average gives the label.  The vectors are
-learned by stochastic gradient descent in numpy.  As the softmax has two
+and character n-grams of words; a softmax over the average gives the label.  The
+vectors are learned by stochastic gradient descent in numpy.  As the softmax has two
 classes, a document's score needs one number per vector, so scoring a text is
 one table lookup per n-gram.
 """
@@ -23,40 +23,44 @@ _AGAIN = np.uint64(1 << 20)
 
 
 class Features:
-    """Buckets of a text's words, word pairs and byte n-grams; case counts.
+    """Buckets of a text's words, word pairs and the character n-grams of its words; case counts.
 
-    A word that stands right after itself is read as a mark, the same for all
-    words, so that the model can learn what such a mark is worth.
+    A word's n-grams are those of its characters with a mark on either side,
+    which is a blank here: "<cat>" has "<ca", "cat" and "at>".  A word that stands
+    right after itself is read as a mark, the same for all words, so that the
+    model can learn what such a mark is worth.
     """
 
     def __init__(self, buckets: int = 1 << 17, grams: tuple[int, ...] = (3, 4)):
         self.buckets, self.grams = buckets, grams
 
-    def of_batch(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def of_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind of feature: buckets of all texts in a row, first and end of each text there."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        # a blank before, between and behind the texts: a word begins and ends with one
+        data = np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le", "replace"), np.uint32)
         size = np.array([len(t) for t in texts], np.int64)
-        end = np.cumsum(size)
+        end = np.cumsum(size + 1)
         first = end - size
         mask = np.uint32(self.buckets - 1)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        wide = np.where(blank, np.uint32(0), data + np.uint32(1))
+        # words before each place, in which n-grams are counted
+        begins = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
         out = []
-        wide = data.astype(np.uint32) + np.uint32(1)
         for n in self.grams:
-            h = np.zeros(max(len(data) - n + 1, 0), np.uint32)
+            many = max(len(data) - n + 1, 0)
+            h, inside = np.zeros(many, np.uint32), np.ones(many, bool)
             for j in range(n):
-                h = h * np.uint32(0x01000193) + wide[j : j + len(h)]
+                h = h * np.uint32(0x01000193) + wide[j : j + many]
+                if 0 < j < n - 1:
+                    inside &= ~blank[j : j + many]
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x85EBCA6B + 2 * n)
             h ^= h >> np.uint32(13)
-            out.append((h & mask, np.minimum(first, len(h)), np.maximum(np.minimum(end - n + 1, len(h)), np.minimum(first, len(h)))))
-        blank = np.ones(len(data) + 2, bool)
-        blank[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
-        starts = blank[:-1].copy()
-        starts[first[size > 0]] = True  # a word ends with its text
-        begins = np.flatnonzero(starts[: len(data)] & ~blank[1:-1])
-        stops = blank[1:].copy()
-        stops[end[size > 0] - 1 + 1] = True
-        ends = np.flatnonzero(stops[1 : len(data) + 1] & ~blank[1:-1]) + 1
+            at = np.flatnonzero(inside)
+            # a text's n-grams start at the blank before it, or later
+            out.append((h[at] & mask, np.searchsorted(at, first - 1), np.searchsorted(at, end - n + 2)))
         sums = rolling.prefix(data)
         word = rolling.mix(rolling.spans(sums, begins, ends))
         a, b = np.searchsorted(begins, first), np.searchsorted(begins, end)
@@ -65,15 +69,15 @@ class Features:
         pair[word[:-1] == word[1:]] = _AGAIN
         a2 = np.minimum(a, len(pair))
         out.append(((pair >> np.uint64(20)).astype(np.uint32) & mask, a2, np.maximum(np.minimum(b - 1, len(pair)), a2)))
-        return out
+        return [(h, x, np.maximum(x, y)) for h, x, y in out]
 
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's buckets, ascending, and how often each occurs."""
         found = np.concatenate([h[a[0] : b[0]] for h, a, b in self.of_batch([text])])
         which, times = np.unique(found, return_counts=True)
         return which, least_type(times.astype(np.uint64))
 
-    def totals(self, texts: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def totals(self, texts: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum of ``weight`` over each text's features, and their number."""
         total, many = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for buckets, first, end in self.of_batch(texts):
@@ -91,7 +95,13 @@ class SubwordModel:
 
     @classmethod
     def fit(cls, sample: list[tuple[np.ndarray, np.ndarray, int]], *, features: Features, dim: int = 8, steps: int = 24_000, rate: float = 0.5, seed: int = 7) -> "SubwordModel":
-        """Learns from (buckets, counts, label) by ``steps`` documents in random order, each as often as the others, and at most 60 times each."""
+        """Learns from (buckets, counts, label) by ``steps`` documents in random order, each as often as the others, and at most 60 times each.
+
+        A step goes down the gradient of the document's loss: by ``rate`` for the
+        softmax, a tenth of it for its bias, and for the vectors by the rate over
+        the largest share that a feature has in the document, as the gradient of
+        an average over thousands of features is small.  The rate falls to 0.
+        """
         rng = np.random.default_rng(seed)
         table = ((rng.random((features.buckets, dim)) - 0.5) / dim).astype(np.float32)
         top, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
@@ -113,11 +123,10 @@ class SubwordModel:
                 back = p @ top
                 top -= lr * np.outer(p, mean)
                 bias -= lr * 0.1 * p
-                # shares are small, so vectors move by the features' weight against the largest
                 table[which] = vectors - lr * np.outer(share / max(share.max(initial=0), 1e-9), back)
         return cls(features, (table @ (top[1] - top[0])).astype(np.float32), float(bias[1] - bias[0]))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         total, many = self.features.totals(texts, self.weight)
         z = total / np.maximum(many, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -141,7 +150,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, *, i
     def run(batches):
         release()
         for batch in byte_batches(batches, batch_bytes, "text"):
-            found = [squeeze(*features.counts(t.as_py().encode())) for t in batch.column(3)]
+            found = [squeeze(*features.counts(t.as_py())) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["order", "label", "tie", "counts"])
 
     counted = rows.mapInArrow(run, "order long, label int, tie long, counts binary")
@@ -183,7 +192,7 @@ def score_quality(docs: DataFrame, model: SubwordModel, *, id_col: str = "doc_id
         model = held.value
         for batch in byte_batches(batches, batch_bytes):
             more = batch.columns[2:] if carry else []
-            score = model.scores([(t.as_py() or "").encode() for t in batch.column(2)])
+            score = model.scores([t.as_py() or "" for t in batch.column(2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *more], names=["doc_id", "held_out", "score", "predicted", *["text", "carried"][: len(more)]])
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (id_crc(F.col(f"`{id_col}`"), 4) == 2).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
