@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rolling
+from . import rolling, verify
 from .common import Scratch, byte_batches, only, release, shuffle_partitions, small_batches
 from .components import connected_components
 
@@ -305,10 +305,13 @@ def _band_links(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     return node[joined], node[label[joined]]
 
 
-def band_forest(nodes: DataFrame, *, similarity: float) -> DataFrame:
+def band_forest(nodes: DataFrame, scratch: Scratch, *, similarity: float, hot: int) -> DataFrame:
     """Edges (a, b) that join all nodes that share a band and may be ``similarity`` alike; ``nodes``: node, bands, sig.
 
-    The bytes rule out what is four standard deviations below ``similarity``.
+    The bytes rule out what is four standard deviations below ``similarity``.  A
+    band that more than ``hot`` nodes share (a template, a notice) is one key and
+    would fill a task: all its nodes are candidates, joined to the least of them
+    by a sum over the band, and only their exact comparison rules any out.
     """
     n = BANDS * BAND
     least = int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity)))
@@ -321,14 +324,15 @@ def band_forest(nodes: DataFrame, *, similarity: float) -> DataFrame:
 
     # most nodes share no band: short rows find those that do, and only they carry their hashes
     rows = nodes.select("node", F.posexplode("bands").alias("ring", "key"))
-    shared = rows.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ring", "key")
-    rows = rows.join(shared.hint("merge"), ["ring", "key"], "left_semi").join(nodes.select("node", "sig").hint("merge"), "node").select("node", "sig", "ring", "key")
+    shared = scratch.table("shared-bands", rows.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"))
+    stars = rows.join(shared.where(F.col("n") > hot).hint("merge"), ["ring", "key"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    rows = rows.join(shared.where(F.col("n") <= hot).select("ring", "key").hint("merge"), ["ring", "key"], "left_semi").join(nodes.select("node", "sig").hint("merge"), "node").select("node", "sig", "ring", "key")
     dealt = rows.repartition(shuffle_partitions(nodes, 4 << 20), "ring", "key").sortWithinPartitions("ring", "key", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").union(stars.distinct())
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, key (of the text), node (of the set of shingles), fp of the words, s0 to s3, 256 bits of the shingles, and ``minwise``'s bands and sig."""
+    """doc_id, key (of the text), node (of the set of shingles), fp of the words, s0 to s3, 256 bits of the shingles, size (how many there are), and ``minwise``'s bands and sig."""
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     salts = [np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in (1, 2, 3)]
@@ -345,16 +349,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 fp = np.packbits(votes.sum(axis=0) * 2 > np.sqrt(times).sum(), bitorder="little").view("<i8")[0]
                 distinct = np.unique(shingles)
                 node = np.uint64(xxhash.xxh64_intdigest(distinct.tobytes())).astype(np.int64)
-                out.append((int(node), int(fp), *bits, *minwise(distinct)))
-            columns = list(zip(*out)) if out else [[]] * 8
+                out.append((int(node), int(fp), *bits, len(distinct), *minwise(distinct)))
+            columns = list(zip(*out)) if out else [[]] * 9
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.list_(pa.int64())), pa.array(columns[7], pa.binary())],
-                names=["doc_id", "key", "node", "fp", "s0", "s1", "s2", "s3", "bands", "sig"],
+                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.list_(pa.int64())), pa.array(columns[8], pa.binary())],
+                names=["doc_id", "key", "node", "fp", "s0", "s1", "s2", "s3", "size", "bands", "sig"],
             )
 
     text = F.col(f"`{text_col}`")
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, s0 long, s1 long, s2 long, s3 long, bands array<long>, sig binary")
+    return source.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, s0 long, s1 long, s2 long, s3 long, size long, bands array<long>, sig binary")
 
 
 def shingle_bits(similarity: float) -> int:
@@ -367,71 +371,6 @@ def shingle_bits(similarity: float) -> int:
     return int(256 * p + 3 * np.sqrt(256 * p * (1 - p)))
 
 
-def alike_within(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Least index of each set's component, sets (of distinct hashes) being linked if their Jaccard similarity is ``similarity`` or more.
-
-    Exact.  Sets that are already in one component are not compared again, so a
-    group of near copies takes about one pass.
-    """
-    n = len(sets)
-    label, size = np.arange(n), np.fromiter(map(len, sets), np.int64, n)
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    parts = np.split(ids, np.cumsum(size)[:-1])
-    marked = np.zeros(len(values), bool)
-    for i in range(n - 1):
-        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-        other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (low > 0) & (low >= similarity * high - 1))
-        if not len(other):
-            continue
-        marked[parts[i]] = True
-        starts = np.cumsum(size[other]) - size[other]
-        shared = np.add.reduceat(marked[np.concatenate([parts[j] for j in other])], starts, dtype=np.int64)
-        marked[parts[i]] = False
-        linked = other[shared / (size[i] + size[other] - shared) >= similarity]
-        if len(linked):
-            joined = np.isin(label, np.append(label[linked], label[i]))
-            label[joined] = label[joined].min()
-    return label
-
-
-def _verified(docs: DataFrame, best: DataFrame, edges: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes of ``edges``, which join candidates: root is the least node of the exact component.
-
-    The texts of each group of candidates, one per node, come together in one
-    task, and all its pairs count, whichever candidates joined them; ``best`` has
-    the id and key of one text per node.
-    """
-    groups = connected_components(edges, scratch)
-    one = scratch.table("candidates", best.join(groups, "node").select("node", "root", F.col("best.doc_id").alias("one_id"), F.col("best.key").alias("one_key")))
-    text = F.col(f"`{text_col}`")
-    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
-    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).select("root", "node", "text")
-
-    def run(batches):
-        release()
-        root, nodes, sets = None, [], []
-
-        def done():
-            label = alike_within(sets, similarity)
-            held = np.array(nodes, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(held[label])], names=["node", "root"])
-
-        for batch in batches:
-            for r, node, words_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if r != root and nodes:
-                    yield done()
-                    nodes, sets = [], []
-                root = r
-                if not nodes or nodes[-1] != node:  # rows may be repeated
-                    nodes.append(node)
-                    sets.append(_shingle_set(words_of.as_py(), words))
-        if nodes:
-            yield done()
-
-    dealt = texts.repartition(shuffle_partitions(docs), "root").sortWithinPartitions("root", "node")
-    return scratch.table("verified", dealt.mapInArrow(run, "node long, root long"))
-
-
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = 3, segments: int = 8, hot: int = 2048) -> DataFrame:
     """The rows of ``docs``, all their columns, without near-duplicates: of each group the least id stays.
 
@@ -457,10 +396,14 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         return sum(np.bitwise_count(batch[s].view(np.uint64)[a] ^ batch[s].view(np.uint64)[b]).astype(np.int64) for s in sketch[1:]) <= limit
 
     edges = link_forest(nodes.select("node", *sketch), scratch, tau=tau, segments=segments, hot=hot, extra=alike)
-    edges = edges.union(band_forest(nodes, similarity=similarity))
+    edges = edges.union(band_forest(nodes, scratch, similarity=similarity, hot=hot))
     # copies come down to one row a node before anything is joined
-    best = scratch.table("best", marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best")))
-    roots = _verified(docs, best, edges, scratch, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    best = scratch.table("best", marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"), F.first("size").alias("size")))
+    groups = connected_components(edges, scratch)
+    one = best.join(groups, "node").select("node", "root", "size", F.col("best.doc_id").alias("one_id"), F.col("best.key").alias("one_key"))
+    text = F.col(f"`{text_col}`")
+    source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("text"))
+    roots = verify.exact_components(source, one, scratch, lambda t: _shingle_set(t, words), similarity=similarity)
     grouped = best.join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     first = grouped.groupBy("root").agg(F.min("best").alias("best"))
     kept = scratch.table("kept", first.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")))

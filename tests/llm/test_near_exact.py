@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from basalt.llm import simhash
+from basalt.llm import simhash, verify
 
 
 def shingles(words):
@@ -60,7 +61,7 @@ def test_alike_within_is_exact():
     rng = np.random.default_rng(3)
     base = np.arange(100, dtype=np.uint64)
     sets = [base, base[:80], base[:79], np.zeros(0, np.uint64), base[20:] + np.uint64(0), base + np.uint64(500), np.append(base[20:], base[:5] + np.uint64(900))]
-    got = simhash.alike_within(sets, 0.8)
+    got = verify.alike_within(sets, 0.8)
     # 79 of 80 links the third to the second, which is 80 of 100 of the first
     assert got.tolist() == [0, 0, 0, 3, 0, 5, 0]
     for _ in range(20):
@@ -72,7 +73,7 @@ def test_alike_within_is_exact():
                     a, b = set(sets[i].tolist()), set(sets[j].tolist())
                     if len(a & b) / len(a | b) >= 0.8:
                         root[i] = root[j] = min(root[i], root[j])
-        assert simhash.alike_within(sets, 0.8).tolist() == root
+        assert verify.alike_within(sets, 0.8).tolist() == root
 
 
 def edited(rng, base, kind, share):
@@ -97,3 +98,47 @@ def test_block_edits_are_found(spark):
     wanted = exact_kept(docs)
     assert len(docs) - len(wanted) > 60
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(table_of(spark, docs)).collect()} == wanted
+
+
+def test_links_between_are_exact():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 25, rng.integers(0, 50)).astype(np.uint64)) for _ in range(24)]
+        label = rng.integers(0, 9, 24)
+        queries, members = list(range(9)), list(range(9, 24))
+        found = verify.links_between([sets[i] for i in queries], label[queries], [sets[i] for i in members], label[members], 0.8)
+
+        def joined(links):
+            root = {int(x): int(x) for x in label}
+            for _ in range(24):
+                for q, m in links:
+                    a, b = root[int(label[q])], root[int(label[9 + m])]
+                    root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+            return root
+
+        alike = [(q, m) for q in queries for m in range(15) if len(sets[q]) and len(sets[9 + m]) and len(np.intersect1d(sets[q], sets[9 + m])) / len(np.union1d(sets[q], sets[9 + m])) >= 0.8]
+        assert set(found) <= set(alike) and joined(found) == joined(alike)
+    assert verify.links_between([], np.zeros(0, int), [sets[0]], label[:1], 0.8) == []
+
+
+@pytest.mark.parametrize("nodes, shingles_, hot", [(6, 10**9, 2048), (1000, 900, 2048), (5, 10**9, 4), (10**9, 10**9, 3)])
+def test_large_groups_are_dealt_out_and_exact(spark, monkeypatch, nodes, shingles_, hot):
+    """Chains, copies with a shared template and unlike texts in one group of candidates, compared by chunks of a few."""
+    monkeypatch.setattr(verify, "NODES", nodes)
+    monkeypatch.setattr(verify, "SHINGLES", shingles_)
+    monkeypatch.setattr(verify, "LEADERS", 2)
+    rng = random.Random(11)
+    docs, template = {}, new_words(rng, 120)
+    chain = new_words(rng, 100)
+    for i in range(20):  # each is like the next, the first is not like the last
+        docs[i] = list(chain)
+        at = 5 * i % 95
+        chain[at : at + 5] = new_words(rng, 5)
+    for i in range(100, 130):  # a template with a page of their own: candidates, not alike
+        docs[i] = template + new_words(rng, 45 + i % 7)
+    for i in range(200, 225):  # copies with single edits
+        docs[i] = list(template)
+        docs[i][4 * (i - 200)] = new_words(rng, 1)[0]
+    docs[300], docs[301] = [], ["one"]
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table_of(spark, docs), hot=hot).collect())
+    assert kept == sorted(exact_kept(docs))
