@@ -200,9 +200,10 @@ def _drop_tables() -> None:
 
 
 def partitioned_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by status in four buckets a status, written and read again with one status pruned to."""
+    """Orders by status in four buckets a status, or as many as their size calls for, written and read again with one status pruned to."""
     name = changes.table_name(spark, "curated")
-    writers.write_table(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), name, partition_by=["o_orderstatus"], buckets=4, bucket_by="o_custkey")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    writers.write_table(orders, name, partition_by=["o_orderstatus"], buckets=max(4, writers.buckets_for(orders)), bucket_by="o_custkey")
     return spark.table(name).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
@@ -218,8 +219,10 @@ def overwrite_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and customers bucketed alike, joined without a shuffle or a sort."""
     left, right = changes.table_name(spark, "orders"), changes.table_name(spark, "customer")
-    writers.write_table(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), left, buckets=8, bucket_by="c_custkey")
-    writers.write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), right, buckets=8, bucket_by="c_custkey")
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    buckets = max(8, writers.buckets_for(orders))  # each is one task's and one file's
+    writers.write_table(orders, left, buckets=buckets, bucket_by="c_custkey")
+    writers.write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), right, buckets=buckets, bucket_by="c_custkey")
     session = readers.bucketed_session(spark)
     joined = session.table(left).join(session.table(right), "c_custkey")
     return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"))

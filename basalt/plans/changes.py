@@ -98,10 +98,12 @@ def pruned_fact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in eight buckets and customers in four: buckets are merged, nothing is dealt out, and only the merged side is sorted."""
-    left, right = table_name(spark, "orders8"), table_name(spark, "customer4")
-    writers.write_table(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), left, buckets=8, bucket_by="c_custkey")
-    writers.write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), right, buckets=4, bucket_by="c_custkey")
+    """Orders in eight buckets, or what their size calls for, and customers in half as many: buckets are merged, nothing is dealt out, and only the merged side is sorted."""
+    left, right = table_name(spark, "orders"), table_name(spark, "customer")
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    buckets = max(8, writers.buckets_for(orders))
+    writers.write_table(orders, left, buckets=buckets, bucket_by="c_custkey")
+    writers.write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), right, buckets=buckets // 2, bucket_by="c_custkey")
     session = readers.bucketed_session(spark)
     joined = session.table(left).join(session.table(right), "c_custkey")
     return joined.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("top_price"))

@@ -21,7 +21,8 @@ class KeyedSink:
     """Rows of a schema by ``key``, the one with the highest ``order`` value winning; one writer at a time.
 
     With many buckets a batch of few keys rewrites little, and a bucket should
-    fit a task: ``resize`` deals a sink that has grown to more of them.  Folders
+    fit a task: ``fitted`` deals a sink that has grown to more of them, and
+    ``latest`` opens it with the number it has come to.  Folders
     that newer ones have replaced are removed after ``keep`` further versions,
     which is how long a reader of an earlier state may take.
     """
@@ -87,6 +88,21 @@ class KeyedSink:
             if int(marker.getParent().getName().split("=")[1]) not in used:
                 drop(marker.getParent())
 
+    @classmethod
+    def latest(cls, spark: SparkSession, path: str, schema: str, *, buckets: int = 16, **more) -> "KeyedSink":
+        """The sink at a path with the most buckets that it has been dealt to; ``buckets`` if there is none yet."""
+        found = cls(spark, path, schema, buckets=buckets, **more)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/buckets=*/version=*/_SUCCESS")
+        done = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+        numbers = [int(s.getPath().getParent().getParent().getName().split("=")[1]) for s in done]
+        found.buckets = max(numbers, default=buckets)
+        return found
+
+    def fitted(self, rows_per_bucket: int = 2_000_000) -> "KeyedSink":
+        """This sink, or one of the same rows in the next power of two of buckets that hold ``rows_per_bucket`` at most on average."""
+        wanted = 1 << max(-(-self.rows().count() // rows_per_bucket) - 1, 0).bit_length()
+        return self.resize(wanted) if wanted > self.buckets else self
+
     def resize(self, buckets: int) -> "KeyedSink":
         """The sink with another number of buckets, holding the same rows; this one's folders stay until dropped."""
         other = KeyedSink(self.spark, self.path, self.schema, key=self.key, order=self.order, buckets=buckets, keep=self.keep)

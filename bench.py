@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "segment_rate", "star_segment_rate", "avg_profile", "rate_by_bucket", "filtered_avg", "star_fact_build", "latest_per_key", "snapshot_merge_latest",
-    "duplicate_keys", "dq_metrics", "dq_anomaly", "inflate", "incremental_pull", "bucketed_join",
+    "duplicate_keys", "dq_metrics", "dq_anomaly", "inflate", "incremental_pull", "bucketed_join", "partition_merge", "pruned_fact_rate", "bucket_merge_join", "ordered_publish", "promotion_counts",
 ]
 
 

@@ -136,6 +136,12 @@ def test_sink_survives_a_lost_checkpoint_and_half_written_versions(spark, tmp_pa
     broken.mkdir(parents=True)  # a write that did not end counts for nothing
     assert held(again) == expected
     assert held(again.resize(5)) == expected
+    assert again.fitted().buckets == 2 and KeyedSink.latest(spark, str(tmp_path / "new"), schema).buckets == 16
+    grown = again.fitted(rows_per_bucket=1)
+    assert grown.buckets == 8 and held(grown) == expected
+    grown.upsert(rows((3, 7.0, "99")))
+    latest = KeyedSink.latest(spark, str(tmp_path / "sink"), schema, buckets=2)
+    assert latest.buckets == 8 and (3, 7.0, "99") in held(latest) and len(held(latest)) == 8
 
 
 def test_delta_files_land_and_merge(spark, tmp_path):
