@@ -3,8 +3,8 @@
 Texts are folded first: case, accents, letters that look like Latin ones, and
 digits and signs that stand for letters inside a word.  The lexicon has whole
 words and stems, each with a weight, and exception phrases inside which nothing
-counts.  A text's weights are summed up and normalised by its length; a logistic
-function of both makes the score.
+counts.  A text's weights are summed up, repeats of one entry counting less and
+less, and normalised by its length; a logistic function of both makes the score.
 
 Weights, exceptions and the function are learned from labelled rows; callers may
 add entries and exceptions of their own.
@@ -121,7 +121,15 @@ class Matcher:
         return found
 
     def total(self, text: str) -> float:
-        return math.fsum(weight for _, weight in self.hits(text).values())
+        return weight_of(text, self.hits(text))
+
+
+def weight_of(text: str, hits: dict[int, tuple[int, float]]) -> float:
+    """The weights of hits, those of one entry being worth less and less: its weight times one and the logarithm of their number."""
+    many: dict[str, list] = {}
+    for first, (length, weight) in hits.items():
+        many.setdefault(text[first : first + length], [weight, 0])[1] += 1
+    return math.fsum(weight * (1 + math.log(n)) for weight, n in many.values())
 
 
 def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -202,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """The lexicon, learned from the whole texts of at most ``train_rows`` labelled rows.
 
     An entry is a word or stem that ``support`` toxic rows or more have and whose
-    log-odds of toxic against clean rows, less one standard deviation, is
+    log-odds of toxic against clean rows, less two standard deviations, is
     ``least_weight`` or more: that is its weight.  At most ``entries`` are kept,
     the best supported first, and no stem that adds no row to its continuations.  An exception is an entry's word with the word
     before or behind it that ``support`` clean rows or more have, and no larger
@@ -237,7 +245,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     counted = sample.mapInArrow(count_stems, _COUNTS).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counted.where(F.col("toxic") >= support).withColumn("weight", odds - doubt).where(F.col("weight") >= least_weight)
+    found = counted.where(F.col("toxic") >= support).withColumn("weight", odds - 2 * doubt).where(F.col("weight") >= least_weight)
     weights = without_idle_stems({r["key"]: (r["weight"], r["toxic"]) for r in found.orderBy((F.col("weight") * F.col("toxic")).desc(), "key").limit(entries).collect()}) | own
 
     def count_phrases(batches):
@@ -299,7 +307,7 @@ def score_toxicity(docs: DataFrame, model: Lexicon, *, id_col: str = "doc_id", t
             more = batch.columns[2:] if carry else []
             texts = [folded(t) for t in batch.column(2).to_pylist()]
             found = [matcher.hits(t) for t in texts]
-            total = np.array([math.fsum(w for _, w in f.values()) for f in found])
+            total = np.array([weight_of(t, f) for t, f in zip(texts, found)])
             score = model.score(total, np.array([t.count(" ") - 1 for t in texts], float))
             columns = [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array([len(f) for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "held_out", "score", "predicted", "n_hits", *["text", "carried"][: len(more)]])
