@@ -2,9 +2,10 @@
 
 A token's probability is a mixture of the maximum-likelihood estimates of its
 pair with the token before it, of itself alone, and of the uniform
-distribution.  The weights depend on how often the context occurs, in powers of
-two, and are learned by expectation-maximisation on a part of the training
-documents whose counts are left out of the estimates.
+distribution; by order three, of that mixture and of the estimate of its triple
+with the two tokens before it.  The weights depend on how often the context
+occurs, in powers of two, and are learned by expectation-maximisation on a part
+of the training documents whose counts are left out of the estimates.
 
 Counts are those of the whole training part.  A batch of documents asks the
 parts of the key space for the counts of its distinct tokens and pairs, giving
@@ -73,6 +74,18 @@ def _pair_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return rolling.mix(np.where(before < 0, _START, tokens[before]) * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
+def _triple_keys(pairs: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Keys of triples: of the pair that ends before each token, and the token."""
+    return rolling.mix(np.where(before < 0, _START, pairs[before]) * np.uint64(0xD1B54A32D192ED03) + tokens)
+
+
+def _keys(tokens: np.ndarray, many: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of each token, its pair and, by order three, its triple."""
+    before = _contexts(tokens, many)
+    out = [tokens, _pair_keys(tokens, before)]
+    return out if order == 2 else [*out, _triple_keys(out[1], before, tokens)]
+
+
 def _distinct(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Keys in ascending order, each once; where each of ``keys`` is among them; the sums of their counts."""
     order = np.argsort(keys)
@@ -94,11 +107,11 @@ def _questions(sender: int, home: int, lists: list[tuple[np.ndarray, ...]], part
         for (keys, full, held), cut in zip(lists, cuts):
             own = slice(cut[t], cut[t + 1])
             out += [planes(np.diff(keys[own], prepend=np.uint64(0))), least_type(full[own]), least_type(held[own])]
-        if len(out[1]) or len(out[4]):
+        if any(len(c) for c in out[1::3]):
             yield t, b"a" + squeeze("ask", sender, home, t, *out)
 
 
-def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens: int) -> DataFrame:
+def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens: int, order: int) -> DataFrame:
     """(part, blob): questions to the parts of the key space or their relays, and each batch's own record to part ``batch % parts``."""
     ranges = min(parts, fan)
     relays = -(-parts // ranges)  # of each range, each for some of the batches
@@ -107,11 +120,11 @@ def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens
         tokens, many, crc = np.concatenate(hashes), np.concatenate(many), np.concatenate(crc)
         train = np.repeat(crc % 7 != 2, many)
         kept = np.repeat((crc % 7 != 2) & (crc // 7 % 10 != 0), many)
-        words, where, *counts = _distinct(tokens, train, kept)
-        pairs, _, *pair_counts = _distinct(_pair_keys(tokens, _contexts(tokens, many)), train, kept)
+        lists = [_distinct(keys, train, kept) for keys in _keys(tokens, many, order)]
+        words, where = lists[0][:2]
         home = number % parts
         rows_part, rows_blob = [home], [b"b" + squeeze("batch", number, docs, least_type(many), crc, planes(np.diff(words, prepend=np.uint64(0))), planes(where))]
-        for t, blob in _questions(number, home, [(words, *counts), (pairs, *pair_counts)], parts, ranges):
+        for t, blob in _questions(number, home, [(keys, *counts) for keys, _, *counts in lists], parts, ranges):
             rows_part.append((t + ranges * (number % relays)) % parts)
             rows_blob.append(blob)
         return pa.RecordBatch.from_arrays([pa.array(rows_part, pa.int32()), pa.array(rows_blob, pa.binary())], names=["part", "blob"])
@@ -137,9 +150,9 @@ def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens
 
 
 def _united(asked: list[tuple]) -> list[tuple]:
-    """For tokens and for pairs: the distinct keys of all questions, where each question's are among them, and their summed counts."""
+    """For tokens, pairs and triples: the distinct keys of all questions, where each question's are among them, and their summed counts."""
     out = []
-    for k in (4, 7):
+    for k in range(4, len(asked[0]), 3) if asked else (4, 7):
         keys = [np.cumsum(unplanes(a[k]), dtype=np.uint64) for a in asked]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         counts = [np.concatenate([a[k + j] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for j in (1, 2)]
@@ -185,7 +198,7 @@ def _pass_back(items):
             asked.append(unsqueeze(blob[1:]))
     if asked:
         got.sort(key=lambda r: r[2])
-        counts = [tuple(np.concatenate([r[3 + k + j] for r in got]).astype(np.int64) for j in (0, 1)) for k in (0, 2)]
+        counts = [tuple(np.concatenate([r[3 + k + j] for r in got]).astype(np.int64) for j in (0, 1)) for k in range(0, len(got[0]) - 3, 2)]
         yield from _replies(asked, _united(asked), counts)
 
 
@@ -204,7 +217,7 @@ def _is(blob: bytes, kind: str) -> bool:
 
 
 class Counts:
-    """What a batch knows after the answers: per token, counts of itself, its context and its pair."""
+    """What a batch knows after the answers: per token, counts of itself, its context and its pair; by order three of its triple and that one's context."""
 
     def __init__(self, record: tuple, replies: list[tuple], kept: bool):
         _, _, self.docs, many, self.crc, unique, where = record
@@ -212,11 +225,14 @@ class Counts:
         where = unplanes(where).astype(np.int64)
         tokens = np.cumsum(unplanes(unique), dtype=np.uint64)[where]
         replies = sorted(replies, key=lambda r: r[2])
-        words, pairs = (np.concatenate([r[k + kept] for r in replies]).astype(np.int64) for k in (3, 5))
-        self.word, self.pair = words[where], pairs[_distinct(_pair_keys(tokens, _contexts(tokens, self.many)))[1]]
-        before = _contexts(self.word, self.many)
-        ends = self.word[np.cumsum(self.many) - 1]  # a document's start occurs as often as its end
-        self.context = np.where(before < 0, np.repeat(ends, self.many), self.word[before])
+        order = (len(replies[0]) - 3) // 2
+        before = _contexts(tokens, self.many)
+        counts = [np.concatenate([r[k + kept] for r in replies]).astype(np.int64) for k in range(3, 3 + 2 * order, 2)]
+        self.word, self.pair, *triple = (count[_distinct(keys)[1]] for count, keys in zip(counts, _keys(tokens, self.many, order)))
+        starts = np.repeat(self.word[np.cumsum(self.many) - 1], self.many)  # a document's start occurs as often as its end
+        self.context = np.where(before < 0, starts, self.word[before])
+        self.triple = triple[0] if triple else None
+        self.long_context = np.where(before < 0, starts, self.pair[before]) if triple else None
 
 
 def _each_batch(items, kept: bool):
@@ -242,12 +258,28 @@ def held_out_cells(counts: Counts, n: int, v: int) -> dict[int, int]:
     return dict(zip(cell.tolist(), many.tolist()))
 
 
-def learn_weights(cells: dict[int, int], rounds: int = 100) -> np.ndarray:
-    """Mixture weights (pair, single, uniform) per bucket, by expectation-maximisation on the held-out cells."""
-    out = np.tile(np.array([0.3, 0.6, 0.1]), (BUCKETS, 1))
+def triple_cells(counts: Counts, weights: np.ndarray, n: int, v: int) -> dict[int, int]:
+    """How many held-out tokens have each bucket of the longer context, and each pair of ratios of triple and lower mixture to the uniform estimate."""
+    own = np.repeat((counts.crc % 7 != 2) & (counts.crc // 7 % 10 == 0), counts.many)
+    context, triple, lower = counts.long_context[own], counts.triple[own], mixture(counts, weights, n, v)[own]
+    three = np.where(triple > 0, np.round(FINE * np.log2(np.maximum(triple, 1) / np.maximum(context, 1) * (v + 1))), -4096).astype(np.int64)
+    rest = np.round(FINE * np.log2(lower * (v + 1))).astype(np.int64)
+    cell, many = np.unique((bucket_of(context).astype(np.int64) << 28) + (three + 4096 << 14) + (rest + 4096), return_counts=True)
+    return dict(zip(cell.tolist(), many.tolist()))
+
+
+def mixture(c: Counts, weights: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The probability of each token by pair, single and uniform estimates."""
+    weight = weights[bucket_of(c.context)]
+    return weight[:, 0] * c.pair / np.maximum(c.context, 1) + weight[:, 1] * c.word / max(n, 1) + weight[:, 2] / (v + 1)
+
+
+def learn_weights(cells: dict[int, int], rounds: int = 100, *, start: tuple[float, ...] = (0.3, 0.6, 0.1)) -> np.ndarray:
+    """Mixture weights per bucket, by expectation-maximisation on the held-out cells: of pair, single and uniform, or of triple and the lower mixture."""
+    out = np.tile(np.array(start), (BUCKETS, 1))
     keys, many = np.array(list(cells), np.int64), np.array(list(cells.values()), np.float64)
     bucket = keys >> 28
-    ratio = np.stack([(keys >> 14 & 16383) - 4096, (keys & 16383) - 4096, np.zeros(len(keys), np.int64)], axis=1)
+    ratio = np.stack([(keys >> 14 & 16383) - 4096, (keys & 16383) - 4096, np.zeros(len(keys), np.int64)][: len(start)], axis=1)
     likely = np.where(ratio > -4096, 2.0 ** (ratio / FINE), 0.0)
 
     def fit(own: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -264,11 +296,11 @@ def learn_weights(cells: dict[int, int], rounds: int = 100) -> np.ndarray:
         out[:] = pooled
         for b in np.unique(bucket):
             out[b] = fit(bucket == b, pooled)
-    out[0] = [0, out[0][1] / (out[0][1] + out[0][2]), out[0][2] / (out[0][1] + out[0][2])]  # an unseen context says nothing
+    out[0] = [0, *(out[0][1:] / out[0][1:].sum())]  # an unseen context says nothing
     return out
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, batch_tokens: int = 800_000, fan: int = FAN) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20, batch_tokens: int = 800_000, fan: int = FAN, order: int = 3) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose id's crc32 modulo 7 is not 2; a tenth of those
@@ -277,21 +309,23 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     end alone; a null id counts as empty text and is learned from; one row per
     input row, and repeated rows count as often as they occur; if nothing can
     be learned the model is the uniform distribution; an empty table gives
-    none; other columns are not read.  Tokens and pairs are told by 64 bits of a
-    hash.  The model is of pairs: questions for triples would be as many again.
+    none; other columns are not read.  Tokens, pairs and triples are told by 64
+    bits of a hash.  ``order`` is 3, or 2 for a model of pairs alone.
 
     The driver gets one line of totals per part of the key space and a
     histogram whose cells are bounded by the buckets and the range of doubles.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     id_type = docs.schema[id_col].dataType
     source = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), id_crc(F.col(f"`{id_col}`"), 1 << 33).alias("crc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = shuffle_partitions(source)
-    if not source.count():
+    if source.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    dealt_out = dealt(_ask(source, parts, fan, batch_bytes, batch_tokens), parts)
+    dealt_out = dealt(_ask(source, parts, fan, batch_bytes, batch_tokens, order), parts)
     replies, answers = exchange(dealt_out, parts, fan)
     totals = answers.filter(lambda x: _is(x[1], "totals")).map(lambda x: unsqueeze(x[1][1:])[0]).collect()
     n_all, v_all, n_kept, v_kept = (sum(t[i] for t in totals) for i in range(4))
@@ -303,10 +337,20 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     weights = learn_weights(dict(both.mapPartitions(cells).reduceByKey(lambda a, b: a + b).collect()))
 
+    def longer(items):
+        for counts in _each_batch(items, kept=True):
+            yield from triple_cells(counts, weights, n_kept, v_kept).items()
+
+    shares = None
+    if order == 3:
+        shares = learn_weights(dict(both.mapPartitions(longer).reduceByKey(lambda a, b: a + b).collect()), start=(0.5, 0.5))
+
     def finish(items):
         for c in _each_batch(items, kept=False):
-            weight = weights[bucket_of(c.context)]
-            p = weight[:, 0] * c.pair / np.maximum(c.context, 1) + weight[:, 1] * c.word / max(n_all, 1) + weight[:, 2] / (v_all + 1)
+            p = mixture(c, weights, n_all, v_all)
+            if shares is not None:
+                share = shares[bucket_of(c.long_context)]
+                p = share[:, 0] * c.triple / np.maximum(c.long_context, 1) + share[:, 1] * p
             if not n_all:
                 p = np.ones(len(p))
             base = np.log10((c.word + 1) / (n_all + v_all + 1))

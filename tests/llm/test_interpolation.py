@@ -16,39 +16,45 @@ def tokens(text):
     return [*WORD.findall(lowered), None]
 
 
-def expected(rows, weights):
+def expected(rows, weights, shares=None):
     crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode())
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for d, t in rows:
         if crc(d) % 7 != 2:
             one.update(tokens(t))
             two.update(zip([b" ", *tokens(t)], tokens(t)))
+            three.update(zip([b" ", b" ", *tokens(t)], [b" ", *tokens(t)], tokens(t)))
     n, v = sum(one.values()), len(one)
     out = []
     for d, t in rows:
         seq, base, score = tokens(t), 0.0, 0.0
-        for before, w in zip([b" ", *seq], seq):
+        for longer, before, w in zip([b" ", b" ", *seq], [b" ", *seq], seq):
             c = one[None] if before == b" " else one[before]
             l2, l1, l0 = weights[lm.bucket_of(np.array([c]))[0]]
             base += math.log10((one[w] + 1) / (n + v + 1))
-            score += math.log10(l2 * two[before, w] / max(c, 1) + l1 * one[w] / max(n, 1) + l0 / (v + 1)) if n else 0.0
+            p = l2 * two[before, w] / max(c, 1) + l1 * one[w] / max(n, 1) + l0 / (v + 1)
+            if shares is not None:
+                c = one[None] if before == b" " else two[longer, before]
+                l3, rest = shares[lm.bucket_of(np.array([c]))[0]]
+                p = l3 * three[longer, before, w] / max(c, 1) + rest * p
+            score += math.log10(p) if n else 0.0
         out.append((str(d), crc(d) % 7 == 2, len(seq), sum(one[w] > 0 for w in seq), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("size, fan", [(40, 1024), (40, 1), (40, 2), (40, 3), (0, 1024)])
-def test_scores_are_those_of_plain_counting(spark, monkeypatch, size, fan):
+@pytest.mark.parametrize("size, fan, order", [(40, 1024, 3), (40, 1, 3), (40, 2, 3), (40, 3, 2), (40, 1024, 2), (0, 1024, 3)])
+def test_scores_are_those_of_plain_counting(spark, monkeypatch, size, fan, order):
     """Four parts; with a smaller fan the questions go through relays."""
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(["a", "B", "cc", "dé", "\te", "f\n"], rng.integers(0, 30)))) for i in range(size)]
     rows += [(100, None), (101, ""), (None, "A b"), (3, "a a a"), (102, "long " * 4000)] if size else []
     seen = []
     learn = lm.learn_weights
-    monkeypatch.setattr(lm, "learn_weights", lambda cells: seen.append(learn(cells)) or seen[-1])
+    monkeypatch.setattr(lm, "learn_weights", lambda cells, **more: seen.append(learn(cells, **more)) or seen[-1])
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, score string")
-    got = lm.score_documents(docs, batch_tokens=50, fan=fan).collect()
-    assert len(seen) == (size > 0)
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == expected(rows, (seen or [None])[0])
+    got = lm.score_documents(docs, batch_tokens=50, fan=fan, order=order).collect()
+    assert len(seen) == (order - 1) * (size > 0)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == expected(rows, *(seen or [None]))
 
 
 def test_weights_are_a_distribution_and_follow_the_held_out_counts():
@@ -56,3 +62,47 @@ def test_weights_are_a_distribution_and_follow_the_held_out_counts():
     weights = lm.learn_weights({cell(5, 60, 10): 1000, cell(2, -4096, 40): 1000})
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all()
     assert weights[5][0] > 0.9 and weights[2][1] > 0.9 and weights[0][0] == 0
+
+
+def plain_em(cells, start, rounds=100):
+    """Every share of every cell worked out one by one."""
+    def fit(own, weight):
+        for _ in range(rounds):
+            total = [0.01] * len(weight)
+            for (_, *ratios), many in own:
+                likely = [w * (2.0 ** (r / lm.FINE) if r > -4096 else 0.0) for w, r in zip(weight, ratios)]
+                for k, x in enumerate(likely):
+                    total[k] += many * x / sum(likely)
+            weight = [t / sum(total) for t in total]
+        return weight
+
+    pooled = fit(list(cells.items()), list(start))
+    return {b: fit([c for c in cells.items() if c[0][0] == b], pooled) for b in {c[0] for c in cells}}, pooled
+
+
+@pytest.mark.parametrize("start", [(0.3, 0.6, 0.1), (0.5, 0.5)])
+def test_weights_are_those_of_a_plain_em(start):
+    rng = np.random.default_rng(4)
+    cells = {}
+    for _ in range(60):
+        two, one = int(rng.integers(-20, 120)) if rng.random() < 0.6 else -4096, int(rng.integers(-10, 90))
+        cells[int(rng.integers(0, 6)), two, one, *([0] if len(start) == 3 else [])] = int(rng.integers(1, 500))
+    got = lm.learn_weights({(b << 28) + (two + 4096 << 14) + (one + 4096): n for (b, two, one, *_), n in cells.items()}, start=start)
+    expected_, pooled = plain_em(cells, start)
+    for b in range(1, lm.BUCKETS):
+        assert np.allclose(got[b], expected_.get(b, pooled), atol=1e-9)
+    assert got[0][0] == 0 and np.isclose(got[0].sum(), 1)
+
+
+def test_triples_help_on_held_out_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    mean = {}
+    for order in (2, 3):
+        rows = lm.score_documents(docs, order=order).where("held_out").collect()
+        mean[order] = sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert mean[3] > mean[2] + 0.01
+
+
+def test_order_is_two_or_three(spark):
+    with pytest.raises(ValueError):
+        lm.score_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), order=4)
