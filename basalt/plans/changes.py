@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from basalt.functions.columns import safe_float
 from basalt.operators import merge, quality, star
+from basalt.plans import products
 from basalt.sources import keyset_stream, readers, writers
 from basalt.streaming import messages, order
 from basalt.streaming.keyset import KeysetCursor
+from basalt.streaming.sink import KeyedSink
 from basalt.workspace import Scratch
 
 #: Tables that queries have made; the catalog drops them when the process ends.
@@ -132,6 +134,23 @@ def order_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.select("user_id", "event_id", "expected", "seq", "fault")
 
 
+def change_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as products: pulled as they are, then with late and changed ones, sent in order and held by key, the newest of each."""
+    scratch = Scratch(spark, "change-pipeline")
+    price = (F.col("event_id") % 997).cast("float")
+    now = _t(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("ID"), F.lit("x").alias("name"), F.initcap("event_type").alias("category"), price.alias("price"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
+    early = now.where("last_updated <= '2024-01-10 00:00:00' AND ID % 10 <> 3")
+    changed = now.where("ID % 4 = 0").withColumns({"price": F.col("price") + 1, "last_updated": F.lit("2024-02-01 00:00:00")})
+    later = now.where("ID % 4 <> 0 AND (last_updated > '2024-01-09 00:00:00' OR ID % 10 <> 3)").unionByName(changed)
+    schema = "ID int, name string, category string, price float, last_updated string"
+    for source in (early, early, later):
+        products.publish_changes(spark, source, scratch.path("producer"), lambda m, run: m.select("value").write.mode("overwrite").text(scratch.path(f"topic/run={run}")), look_back="1 day")
+        messages_ = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(scratch.path("topic"))
+        sink = KeyedSink.latest(spark, scratch.path("sink"), schema)
+        products.hold_latest(messages_, sink, scratch.path("consumer"), discount_category="click", discount=0.5)
+    return sink.rows().select("ID", "category", F.col("price").cast("double").alias("price"), "last_updated")
+
+
 def promotion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events staged as typed rows; what was read, written, lost and missing, counted by the write itself."""
     raw = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, " ").when(F.col("event_id") % 5 == 1, "abc").otherwise(F.col("value").cast("string")).alias("amount"))
@@ -174,7 +193,7 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        keyset_increment, stream_increment, stable_keys, partition_merge, pruned_fact_rate, bucket_merge_join, ordered_publish, order_gaps, promotion_counts, stream_dedup, clustered_lookup, schema_evolution,
+        keyset_increment, stream_increment, stable_keys, partition_merge, pruned_fact_rate, bucket_merge_join, ordered_publish, order_gaps, change_pipeline, promotion_counts, stream_dedup, clustered_lookup, schema_evolution,
     )
 }
 
@@ -199,6 +218,11 @@ ORACLE_SQL = {
     "order_gaps": f"""
         SELECT user_id, event_id, before + 1 AS expected, seq, 'gap' AS fault
         FROM (SELECT *, coalesce(lag(seq) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM ({_NUMBERED}) WHERE event_id % 97 <> 0) WHERE seq <> before + 1""",
+    "change_pipeline": """
+        WITH now AS (SELECT CAST(event_id AS INTEGER) AS id, event_type, CAST(event_id % 997 AS DOUBLE) AS price, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events)
+        SELECT id AS "ID", event_type AS category, (price + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END) * CASE WHEN event_type = 'click' THEN 0.5 ELSE 1 END AS price,
+               CASE WHEN id % 4 = 0 THEN '2024-02-01 00:00:00' ELSE moment END AS last_updated
+        FROM now WHERE id % 4 = 0 OR id % 10 <> 3 OR moment > '2024-01-09 00:00:00'""",
     "promotion_counts": """
         SELECT count(*) AS raw_rows, count(*) FILTER (WHERE event_id % 11 <> 0) AS staged_rows, count(*) FILTER (WHERE event_id % 11 = 0) AS lost_rows, count(*) FILTER (WHERE event_id % 5 = 0) AS blank_amounts,
                count(*) FILTER (WHERE event_id % 11 <> 0 AND (event_id % 5 < 2 OR value IS NULL)) AS null_amounts, count(*) FILTER (WHERE event_id % 11 <> 0) AS stored_rows
