@@ -14,6 +14,10 @@ the network twice, and a hot token costs one number per batch.  A batch sends
 ``FAN`` questions at most: if the key space has more parts, questions go to
 relays, which unite those of many batches, sum their counts and ask the parts
 themselves.  So questions grow with the data and not with its square.
+
+Triples are asked for after pairs.  A triple occurs no more often than either of
+its pairs; so where all occurrences of one of them are in the batch, the batch
+knows the triple's count itself, and asks only for the others.
 """
 
 from __future__ import annotations
@@ -79,11 +83,10 @@ def _triple_keys(pairs: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> n
     return rolling.mix(np.where(before < 0, _START, pairs[before]) * np.uint64(0xD1B54A32D192ED03) + tokens)
 
 
-def _keys(tokens: np.ndarray, many: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of each token, its pair and, by order three, its triple."""
-    before = _contexts(tokens, many)
-    out = [tokens, _pair_keys(tokens, before)]
-    return out if order == 2 else [*out, _triple_keys(out[1], before, tokens)]
+def _parts_of_training(crc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a document is learned from, and whether its counts are among the estimates that the weights are learned on."""
+    train = crc % 7 != 2
+    return train, train & (crc // 7 % 10 != 0)
 
 
 def _distinct(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,21 +114,26 @@ def _questions(sender: int, home: int, lists: list[tuple[np.ndarray, ...]], part
             yield t, b"a" + squeeze("ask", sender, home, t, *out)
 
 
-def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens: int, order: int) -> DataFrame:
-    """(part, blob): questions to the parts of the key space or their relays, and each batch's own record to part ``batch % parts``."""
+def _dealt_questions(number: int, lists: list[tuple[np.ndarray, ...]], parts: int, fan: int):
+    """(part, blob): a batch's questions to the parts, or to the relays of the ranges of parts, each for some of the batches."""
     ranges = min(parts, fan)
-    relays = -(-parts // ranges)  # of each range, each for some of the batches
+    relays = -(-parts // ranges)
+    for t, blob in _questions(number, number % parts, lists, parts, ranges):
+        yield (t + ranges * (number % relays)) % parts, blob
+
+
+def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens: int) -> DataFrame:
+    """(part, blob): questions to the parts of the key space or their relays, and each batch's own record to part ``batch % parts``."""
 
     def emit(number, hashes, many, docs, crc):
         tokens, many, crc = np.concatenate(hashes), np.concatenate(many), np.concatenate(crc)
-        train = np.repeat(crc % 7 != 2, many)
-        kept = np.repeat((crc % 7 != 2) & (crc // 7 % 10 != 0), many)
-        lists = [_distinct(keys, train, kept) for keys in _keys(tokens, many, order)]
+        train, kept = (np.repeat(x, many) for x in _parts_of_training(crc))
+        lists = [_distinct(keys, train, kept) for keys in (tokens, _pair_keys(tokens, _contexts(tokens, many)))]
         words, where = lists[0][:2]
         home = number % parts
         rows_part, rows_blob = [home], [b"b" + squeeze("batch", number, docs, least_type(many), crc, planes(np.diff(words, prepend=np.uint64(0))), planes(where))]
-        for t, blob in _questions(number, home, [(keys, *counts) for keys, _, *counts in lists], parts, ranges):
-            rows_part.append((t + ranges * (number % relays)) % parts)
+        for part, blob in _dealt_questions(number, [(keys, *counts) for keys, _, *counts in lists], parts, fan):
+            rows_part.append(part)
             rows_blob.append(blob)
         return pa.RecordBatch.from_arrays([pa.array(rows_part, pa.int32()), pa.array(rows_blob, pa.binary())], names=["part", "blob"])
 
@@ -217,25 +225,38 @@ def _is(blob: bytes, kind: str) -> bool:
 
 
 class Counts:
-    """What a batch knows after the answers: per token, counts of itself, its context and its pair; by order three of its triple and that one's context."""
+    """What a batch knows after the answers: per token, counts of itself, its context and its pair; once triples have been answered, of its triple and that one's context."""
 
-    def __init__(self, record: tuple, replies: list[tuple], kept: bool):
-        _, _, self.docs, many, self.crc, unique, where = record
+    def __init__(self, record: tuple, replies: list[tuple], kept: bool, longer: bool = False):
+        _, self.number, self.docs, many, self.crc, unique, where = record
         self.many = many.astype(np.int64)
         where = unplanes(where).astype(np.int64)
         tokens = np.cumsum(unplanes(unique), dtype=np.uint64)[where]
-        replies = sorted(replies, key=lambda r: r[2])
-        order = (len(replies[0]) - 3) // 2
+        self.flags = [np.repeat(x, self.many) for x in _parts_of_training(self.crc)]
+        short = sorted((r for r in replies if len(r) == 7), key=lambda r: r[2])
+        answered = [np.concatenate([r[k] for r in short]).astype(np.int64) for k in range(3, 7)]
         before = _contexts(tokens, self.many)
-        counts = [np.concatenate([r[k + kept] for r in replies]).astype(np.int64) for k in range(3, 3 + 2 * order, 2)]
-        self.word, self.pair, *triple = (count[_distinct(keys)[1]] for count, keys in zip(counts, _keys(tokens, self.many, order)))
+        pairs = _pair_keys(tokens, before)
+        _, of_pair, *own = _distinct(pairs, *self.flags)
+        self.word, self.pair = answered[kept][where], answered[2 + kept][of_pair]
         starts = np.repeat(self.word[np.cumsum(self.many) - 1], self.many)  # a document's start occurs as often as its end
         self.context = np.where(before < 0, starts, self.word[before])
-        self.triple = triple[0] if triple else None
-        self.long_context = np.where(before < 0, starts, self.pair[before]) if triple else None
-
-
-def _each_batch(items, kept: bool):
+        if not longer:
+            return
+        # whether a pair occurs in other batches: if one of a triple's does not, the triple does not
+        elsewhere = (answered[2] > own[0])[of_pair]
+        self.keys, of_triple, *self.local = _distinct(_triple_keys(pairs, before, tokens), *self.flags)
+        self.asked = np.zeros(len(self.keys), bool)
+        self.asked[of_triple[elsewhere & (before >= 0) & elsewhere[before]]] = True
+        count = self.local[kept].copy()
+        rest = sorted((r for r in replies if len(r) == 5), key=lambda r: r[2])
+        if rest:
+            count[self.asked] = np.concatenate([r[3 + kept] for r in rest])
+        self.triple = np.where(before < 0, self.pair, count[of_triple])  # before a start stands nothing: it is the pair
+        self.long_context = np.where(before < 0, starts, self.pair[before])
+
+
+def _each_batch(items, kept: bool, longer: bool = False):
     """Counts of each batch of a partition; the answers come before the records."""
     replies: dict[int, list] = {}
     for _, blob in items:
@@ -244,12 +265,18 @@ def _each_batch(items, kept: bool):
             replies.setdefault(got[1], []).append(got)
         elif _is(blob, "batch"):
             record = unsqueeze(blob[1:])
-            yield Counts(record, replies.pop(record[1]), kept)
+            yield Counts(record, replies.pop(record[1]), kept, longer)
+
+
+def _ask_triples(items, parts: int, fan: int):
+    """(part, blob): questions for the triples of each batch that may occur in others."""
+    for c in _each_batch(items, kept=False, longer=True):
+        yield from _dealt_questions(c.number, [(c.keys[c.asked], *(x[c.asked] for x in c.local))], parts, fan)
 
 
 def held_out_cells(counts: Counts, n: int, v: int) -> dict[int, int]:
     """How many held-out tokens have each bucket and each pair of ratios to the uniform estimate."""
-    own = np.repeat((counts.crc % 7 != 2) & (counts.crc // 7 % 10 == 0), counts.many)
+    own = counts.flags[0] & ~counts.flags[1]
     context, word, pair = counts.context[own], counts.word[own], counts.pair[own]
     with np.errstate(divide="ignore", invalid="ignore"):
         two = np.where(pair > 0, np.round(FINE * np.log2(np.maximum(pair, 1) / np.maximum(context, 1) * (v + 1))), -4096).astype(np.int64)
@@ -260,7 +287,7 @@ def held_out_cells(counts: Counts, n: int, v: int) -> dict[int, int]:
 
 def triple_cells(counts: Counts, weights: np.ndarray, n: int, v: int) -> dict[int, int]:
     """How many held-out tokens have each bucket of the longer context, and each pair of ratios of triple and lower mixture to the uniform estimate."""
-    own = np.repeat((counts.crc % 7 != 2) & (counts.crc // 7 % 10 == 0), counts.many)
+    own = counts.flags[0] & ~counts.flags[1]
     context, triple, lower = counts.long_context[own], counts.triple[own], mixture(counts, weights, n, v)[own]
     three = np.where(triple > 0, np.round(FINE * np.log2(np.maximum(triple, 1) / np.maximum(context, 1) * (v + 1))), -4096).astype(np.int64)
     rest = np.round(FINE * np.log2(lower * (v + 1))).astype(np.int64)
@@ -325,7 +352,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = shuffle_partitions(source)
     if source.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    dealt_out = dealt(_ask(source, parts, fan, batch_bytes, batch_tokens, order), parts)
+    dealt_out = dealt(_ask(source, parts, fan, batch_bytes, batch_tokens), parts)
     replies, answers = exchange(dealt_out, parts, fan)
     totals = answers.filter(lambda x: _is(x[1], "totals")).map(lambda x: unsqueeze(x[1][1:])[0]).collect()
     n_all, v_all, n_kept, v_kept = (sum(t[i] for t in totals) for i in range(4))
@@ -338,15 +365,17 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     weights = learn_weights(dict(both.mapPartitions(cells).reduceByKey(lambda a, b: a + b).collect()))
 
     def longer(items):
-        for counts in _each_batch(items, kept=True):
+        for counts in _each_batch(items, kept=True, longer=True):
             yield from triple_cells(counts, weights, n_kept, v_kept).items()
 
     shares = None
     if order == 3:
+        triples, _ = exchange(deal(both.mapPartitions(lambda items: _ask_triples(items, parts, fan)), parts), parts, fan)
+        both = spark.sparkContext.union([replies, triples, dealt_out])
         shares = learn_weights(dict(both.mapPartitions(longer).reduceByKey(lambda a, b: a + b).collect()), start=(0.5, 0.5))
 
     def finish(items):
-        for c in _each_batch(items, kept=False):
+        for c in _each_batch(items, kept=False, longer=order == 3):
             p = mixture(c, weights, n_all, v_all)
             if shares is not None:
                 share = shares[bucket_of(c.long_context)]
