@@ -230,8 +230,8 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit.
 
     Arrow batches are cut into runs of about ``batch_bytes`` bytes, whatever the
-    number of rows, and texts of any length are cut at safe boundaries, so a
-    worker holds a bounded amount.  One row per input row: repeated rows and
+    number of rows, and texts of any length are cut at safe boundaries.  A worker
+    holds a batch, or one longer text whole, at some forty bytes a byte.  One row per input row: repeated rows and
     ties stay apart, a null text counts as empty (0 bytes, 0 tokens), a null id
     stays null, an empty table gives an empty table, and columns besides the
     two named ones are not read.  No shuffle.
