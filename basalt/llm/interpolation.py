@@ -101,6 +101,22 @@ def _distinct(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return ranked[at], where, *(np.add.reduceat(c[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64) for c in counts)
 
 
+def pack_counts(full: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, and those of them that are kept, as a byte each: the count and what is not kept; larger ones apart."""
+    lost = full - held
+    code = np.where((full < 16) & (lost < 15), full << 4 | lost, 255).astype(np.uint8)
+    over = code == 255
+    return code, least_type(full[over]), least_type(lost[over])
+
+
+def unpack_counts(packed: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and kept counts of packed ones, one after another."""
+    code, *over = (np.concatenate([p[i] for p in packed]).astype(np.int64) if packed else np.zeros(0, np.int64) for i in range(3))
+    full, lost = code >> 4, code & 15
+    full[code == 255], lost[code == 255] = over
+    return full, full - lost
+
+
 def _questions(sender: int, home: int, lists: list[tuple[np.ndarray, ...]], parts: int, targets: int):
     """(target, blob) for the targets, ranges of parts, that have some of the keys of the (keys, counts, counts kept); answers go to ``home``."""
     target = [_part_of(keys, parts) * np.uint64(targets) // np.uint64(parts) for keys, _, _ in lists]
@@ -109,8 +125,8 @@ def _questions(sender: int, home: int, lists: list[tuple[np.ndarray, ...]], part
         out = []
         for (keys, full, held), cut in zip(lists, cuts):
             own = slice(cut[t], cut[t + 1])
-            out += [planes(np.diff(keys[own], prepend=np.uint64(0))), least_type(full[own]), least_type(held[own])]
-        if any(len(c) for c in out[1::3]):
+            out += [planes(np.diff(keys[own], prepend=np.uint64(0))), pack_counts(full[own], held[own])]
+        if any(len(c[0]) for c in out[1::2]):
             yield t, b"a" + squeeze("ask", sender, home, t, *out)
 
 
@@ -160,11 +176,10 @@ def _ask(source: DataFrame, parts: int, fan: int, batch_bytes: int, batch_tokens
 def _united(asked: list[tuple]) -> list[tuple]:
     """For tokens, pairs and triples: the distinct keys of all questions, where each question's are among them, and their summed counts."""
     out = []
-    for k in range(4, len(asked[0]), 3) if asked else (4, 7):
+    for k in range(4, len(asked[0]), 2) if asked else (4, 6):
         keys = [np.cumsum(unplanes(a[k]), dtype=np.uint64) for a in asked]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        counts = [np.concatenate([a[k + j] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for j in (1, 2)]
-        unique, where, *counts = _distinct(flat, *counts)
+        unique, where, *counts = _distinct(flat, *unpack_counts([a[k + 1] for a in asked]))
         out.append((unique, np.split(where, np.cumsum([len(x) for x in keys])[:-1]), *counts))
     return out
 
@@ -172,7 +187,7 @@ def _united(asked: list[tuple]) -> list[tuple]:
 def _replies(asked: list[tuple], united: list[tuple], counts: list[tuple]):
     """(home, blob): the counts of each question's keys, in its order."""
     for i, a in enumerate(asked):
-        out = [least_type(count[where[i]]) for (_, where, _, _), both in zip(united, counts) for count in both]
+        out = [pack_counts(*(count[where[i]] for count in both)) for (_, where, _, _), both in zip(united, counts)]
         yield int(a[2]), b"r" + squeeze("reply", a[1], a[3], *out)
 
 
@@ -206,7 +221,7 @@ def _pass_back(items):
             asked.append(unsqueeze(blob[1:]))
     if asked:
         got.sort(key=lambda r: r[2])
-        counts = [tuple(np.concatenate([r[3 + k + j] for r in got]).astype(np.int64) for j in (0, 1)) for k in range(0, len(got[0]) - 3, 2)]
+        counts = [unpack_counts([r[k] for r in got]) for k in range(3, len(got[0]))]
         yield from _replies(asked, _united(asked), counts)
 
 
@@ -233,25 +248,25 @@ class Counts:
         where = unplanes(where).astype(np.int64)
         tokens = np.cumsum(unplanes(unique), dtype=np.uint64)[where]
         self.flags = [np.repeat(x, self.many) for x in _parts_of_training(self.crc)]
-        short = sorted((r for r in replies if len(r) == 7), key=lambda r: r[2])
-        answered = [np.concatenate([r[k] for r in short]).astype(np.int64) for k in range(3, 7)]
+        short = sorted((r for r in replies if len(r) == 5), key=lambda r: r[2])
+        words, of_pairs = (unpack_counts([r[k] for r in short]) for k in (3, 4))
         before = _contexts(tokens, self.many)
         pairs = _pair_keys(tokens, before)
         _, of_pair, *own = _distinct(pairs, *self.flags)
-        self.word, self.pair = answered[kept][where], answered[2 + kept][of_pair]
+        self.word, self.pair = words[kept][where], of_pairs[kept][of_pair]
         starts = np.repeat(self.word[np.cumsum(self.many) - 1], self.many)  # a document's start occurs as often as its end
         self.context = np.where(before < 0, starts, self.word[before])
         if not longer:
             return
         # whether a pair occurs in other batches: if one of a triple's does not, the triple does not
-        elsewhere = (answered[2] > own[0])[of_pair]
+        elsewhere = (of_pairs[0] > own[0])[of_pair]
         self.keys, of_triple, *self.local = _distinct(_triple_keys(pairs, before, tokens), *self.flags)
         self.asked = np.zeros(len(self.keys), bool)
         self.asked[of_triple[elsewhere & (before >= 0) & elsewhere[before]]] = True
         count = self.local[kept].copy()
-        rest = sorted((r for r in replies if len(r) == 5), key=lambda r: r[2])
+        rest = sorted((r for r in replies if len(r) == 4), key=lambda r: r[2])
         if rest:
-            count[self.asked] = np.concatenate([r[3 + kept] for r in rest])
+            count[self.asked] = unpack_counts([r[3] for r in rest])[kept]
         self.triple = np.where(before < 0, self.pair, count[of_triple])  # before a start stands nothing: it is the pair
         self.long_context = np.where(before < 0, starts, self.pair[before])
 

@@ -103,6 +103,15 @@ def test_triples_help_on_held_out_texts(spark, sf_dir):
     assert mean[3] > mean[2] + 0.01
 
 
+def test_packed_counts_come_back():
+    full = np.array([0, 1, 15, 15, 15, 16, 10**6, 3, 20], np.int64)
+    held = np.array([0, 0, 15, 1, 0, 16, 5, 3, 0], np.int64)
+    packed = [lm.pack_counts(full, held), lm.pack_counts(full[:0], held[:0]), lm.pack_counts(full[4:], held[4:])]
+    got = lm.unpack_counts(packed)
+    assert got[0].tolist() == [*full, *full[4:]] and got[1].tolist() == [*held, *held[4:]]
+    assert [len(x) for x in lm.unpack_counts([])] == [0, 0]
+
+
 def test_order_is_two_or_three(spark):
     with pytest.raises(ValueError):
         lm.score_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), order=4)

@@ -188,8 +188,9 @@ def test_stages_keep_whatever_columns_there_are(spark, planted):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_give_a_row_per_document(spark, sf_dir, name):
-    rows = registry.QUERIES[name](spark, sf_dir).select("doc_id").distinct().count()
-    assert rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    table, key = ("embeddings", "vec_id") if name == "op12_vector_codes" else ("documents", "doc_id")
+    rows = registry.QUERIES[name](spark, sf_dir).select(key).distinct().count()
+    assert rows == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
 def test_spans_merge():
