@@ -18,8 +18,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "segment_rate", "star_segment_rate", "avg_profile", "rate_by_bucket", "filtered_avg", "star_fact_build", "latest_per_key", "snapshot_merge_latest",
-    "duplicate_keys", "dq_metrics", "dq_anomaly", "inflate", "incremental_pull", "bucketed_join", "partition_merge", "pruned_fact_rate", "bucket_merge_join", "ordered_publish", "promotion_counts",
+    "duplicate_keys", "dq_metrics", "dq_anomaly", "inflate", "incremental_pull", "bucketed_join",
 ]
+#: Timed as well, but not part of the sum, which so stays comparable with earlier ones.
+MORE = ["partition_merge", "pruned_fact_rate", "bucket_merge_join", "ordered_publish", "promotion_counts"]
 
 
 def timed(run, runs: int) -> float:
@@ -76,10 +78,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        found = {name: timed(lambda q=catalog.QUERIES[name]: q(spark, sf_dir).write.format("noop").mode("overwrite").save(), runs) for name in HEADLINE}
+        time_of = lambda name: timed(lambda: catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save(), runs)
+        found, more = {name: time_of(name) for name in HEADLINE}, {name: time_of(name) for name in MORE}
         seconds, sizes = format_times(spark, folder, runs)
         found |= seconds
-        print(json.dumps({"metric": "headline queries, least time, sum", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "format_mb": sizes, "cpus": cpus}), flush=True)
+        print(json.dumps({"metric": "headline queries, least time, sum", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "more": more, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "format_mb": sizes, "cpus": cpus}), flush=True)
     finally:
         spark.stop()
         shutil.rmtree(folder, ignore_errors=True)
