@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Codec by format, where the caller names none.
 CODEC = {"orc": "snappy", "parquet": "snappy", "csv": "none"}
+#: Rows that one task sorts and writes: each takes some 50 bytes beside its values.
+TASK_ROWS = 2 << 20
 
 
 def write_files(df: DataFrame, path: str, fmt: str = "orc", *, mode: str = "overwrite", codec: str | None = None, partition_by: list[str] | None = None, **options: str) -> None:
@@ -23,9 +26,12 @@ def write_clustered(df: DataFrame, path: str, fmt: str = "parquet", *, cluster_b
     Rows are dealt out by range and sorted, so the least and highest values of a
     row group or stripe say much; the filters tell of columns that the order does
     not help whether a value can be there at all.  ``group_bytes`` is the size of
-    a row group or stripe.
+    a row group or stripe.  By default there are as many files as the table's
+    counted size calls for, so that what a task sorts does not grow with the
+    table; rows of one ``cluster_by`` value that are too many for a file go on
+    in the next.
     """
-    parts = parts or max(writers_for(df), 1)
+    parts = parts or _tasks_for(df)
     options = {}
     for column in lookup or []:
         options[f"parquet.bloom.filter.enabled#{column}"] = "true"
@@ -33,7 +39,8 @@ def write_clustered(df: DataFrame, path: str, fmt: str = "parquet", *, cluster_b
         options["orc.bloom.filter.columns"] = ",".join(lookup)
     if group_bytes:
         options |= {"parquet.block.size": str(group_bytes), "orc.stripe.size": str(group_bytes)}
-    write_files(df.repartitionByRange(parts, *cluster_by).sortWithinPartitions(*cluster_by), path, fmt, mode=mode, **options)
+    dealt = df.withColumn("__turn", _turn(df)).repartitionByRange(parts, *cluster_by, "__turn").drop("__turn")
+    write_files(dealt.sortWithinPartitions(*cluster_by), path, fmt, mode=mode, **options)
 
 
 #: Types that hold every value of the type before the arrow.
@@ -66,11 +73,45 @@ def insert_by_name(df: DataFrame, table: str) -> None:
     _dealt(rows, partition_by, buckets, bucket_by).write.insertInto(table)
 
 
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table and bytes of their values, 8 a value and the length of those that have one, counted.
+
+    The optimizer's estimate goes by the files, which may be packed a hundred
+    times closer than rows in memory.  Only columns whose values have a length
+    are read.
+    """
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+    column = lambda f: F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.col(f"`{f.name}`").cast("string")
+    lengths = [F.sum(F.octet_length(column(f)).cast("long")) for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    rows, *longer = df.agg(F.count(F.lit(1)), *lengths).first()
+    return rows, 8 * len(df.columns) * rows + sum(n or 0 for n in longer)
+
+
+def _tasks_for(df: DataFrame, task_bytes: int = 512 << 20) -> int:
+    """Tasks of which each has at most ``task_bytes`` and ``TASK_ROWS`` of a table."""
+    rows, size = table_size(df)
+    return max(-(-size // task_bytes), -(-rows // TASK_ROWS), 1)
+
+
 def writers_for(df: DataFrame, task_bytes: int = 512 << 20) -> int:
-    """Tasks that may write one partition: as many as the table has ``task_bytes``, by the optimizer's estimate, at most the session's number."""
+    """Tasks that may write one partition: as many as the table has ``task_bytes`` or two million rows, at most the session's number.
+
+    The rows are counted, unless the optimizer's estimate calls for all tasks already.
+    """
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(-(-known // task_bytes), 1), most)
+    return most if known > task_bytes * most else min(_tasks_for(df, task_bytes), most)
+
+
+def _turn(df: DataFrame) -> Column:
+    """A number of each row by its values and by the task that reads it.
+
+    So rows that are equal in some columns, or in all, or hold a map, are spread
+    as well, and a task that is run again deals them alike.
+    """
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BinaryType)
+    values = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, plain)]
+    return F.hash(F.lit(0), *values).bitwiseXOR(F.spark_partition_id())
 
 
 def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "overwrite", codec: str = "snappy", partition_by: list[str] | None = None, buckets: int | None = None, bucket_by: str | None = None, writers: int | None = None) -> None:
@@ -81,8 +122,9 @@ def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "over
     table are dealt out by partition and bucket number, so that each bucket of
     a partition is one file and the buckets set how many tasks write: see
     ``buckets_for``.  Rows of a partition without buckets are dealt to at most
-    ``writers`` tasks, by the task that reads them (by default as many as the
-    table's size calls for), so that no value's rows have to pass through one task.
+    ``writers`` tasks, by their values and the task that reads them (by default as
+    many as the table's counted size calls for), so that no value's rows have to
+    pass through one task.
     """
     partition_by = partition_by or []
     out = _dealt(df, partition_by, buckets, bucket_by, writers).write.format(fmt).mode(mode).option("compression", codec)
@@ -96,26 +138,27 @@ def write_table(df: DataFrame, name: str, *, fmt: str = "orc", mode: str = "over
 def _dealt(df: DataFrame, partition_by: list[str], buckets: int | None, bucket_by: str | None, writers: int | None = None) -> DataFrame:
     """Rows as the tasks are to write them."""
     if buckets and bucket_by:
-        tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if partition_by else buckets
+        if not partition_by:
+            return df.repartition(buckets, bucket_by)  # by the hash that numbers buckets: one to a task
+        tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return df.repartition(tasks, *partition_by, F.pmod(F.hash(bucket_by), F.lit(buckets)))  # as the writer numbers buckets
     if not partition_by:
         return df
     salt = writers or writers_for(df)
     if salt == 1:
         return df.repartition(*partition_by)
-    # by the task that reads a row: so rows that are equal, or hold a map, are spread as well, and a task that is run again deals them alike
-    turn = df.withColumn("__turn", F.pmod(F.spark_partition_id(), F.lit(salt)))
-    return turn.repartition(*partition_by, "__turn").drop("__turn")
+    turn = df.withColumn("__turn", F.pmod(_turn(df), F.lit(salt)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, so that adaptive plans leave them as they are
+    return turn.repartition(tasks, *partition_by, "__turn").drop("__turn")
 
 
 def buckets_for(df: DataFrame, bucket_bytes: int = 256 << 20) -> int:
-    """How many buckets a table needs: the power of two with at most ``bucket_bytes`` in each, by the optimizer's estimate.
+    """How many buckets a table needs: the power of two with at most ``bucket_bytes`` and two million rows in each, counted.
 
     Powers of two divide each other, so tables of different sizes still join
     bucket by bucket.
     """
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << max(-(-known // bucket_bytes) - 1, 0).bit_length()
+    return 1 << (_tasks_for(df, bucket_bytes) - 1).bit_length()
 
 
 def _table_layout(spark: SparkSession, table: str) -> tuple[list[str], int | None, str | None]:

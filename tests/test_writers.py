@@ -53,6 +53,50 @@ def test_a_partition_is_written_by_several_tasks_if_it_is_large(plain):
     writers.drop_table(plain, "salted")
 
 
+@pytest.mark.parametrize("key", ["id % 500", "7", "if(id % 10 = 0, id, 7)", "NULL"])  # even, hot, half hot, none
+@pytest.mark.parametrize("other", ["id", "1"])  # rows that differ, rows that are equal
+def test_clustered_files_are_of_bounded_size(spark, tmp_path, monkeypatch, key, other):
+    """Two million narrow rows are few bytes and much to sort; nor may one key's rows be a task."""
+    monkeypatch.setattr(writers, "TASK_ROWS", 3000, raising=False)
+    rows = spark.range(0, 20_000, 1, 16).selectExpr(f"CAST({key} AS bigint) AS k", f"CAST({other} AS bigint) AS v")
+    writers.write_clustered(rows, str(tmp_path / "lies"), cluster_by=["k"], lookup=["v"])
+    lies = spark.read.parquet(str(tmp_path / "lies"))
+    assert lies.exceptAll(rows).isEmpty() and lies.count() == 20_000
+    found = lies.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    assert len(found) >= 6 and max(r["n"] for r in found) < 6000
+    ranges = sorted((r["low"], r["high"]) for r in found if r["low"] is not None)
+    assert all(high <= low for (_, high), (low, _) in zip(ranges, ranges[1:]))
+
+
+def test_tasks_and_buckets_go_by_counted_rows(plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "TASK_ROWS", 3000, raising=False)
+    plain.range(0, 20_000, 1, 8).selectExpr("CAST(1 AS bigint) AS id", "'one' AS part").coalesce(1).write.parquet(str(tmp_path / "packed"))
+    packed = plain.read.parquet(str(tmp_path / "packed"))  # some hundred bytes
+    assert writers.writers_for(packed) == 7 and writers.buckets_for(packed) == 8
+    spread = plain.range(0, 20_000, 1, 1).selectExpr("id", "'one' AS part")  # one task reads all
+    writers.write_table(spread, "counted_parts", partition_by=["part"])
+    sizes = [r["count"] for r in plain.table("counted_parts").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 12_000
+    plain.conf.set("spark.sql.adaptive.enabled", "true")
+    writers.write_table(spread, "counted_parts", partition_by=["part"])  # not merged again
+    assert len(files(plain, "counted_parts")) == len(sizes)
+    writers.drop_table(plain, "counted_parts")
+
+
+def test_table_size_is_of_values(spark):
+    rows = spark.createDataFrame([("ab", bytearray(b"xyz"), 1, [1, 2]), (None, None, None, None), ("ü" * 1000, bytearray(b""), 2, [])], "s string, `b.b` binary, i int, a array<int>")
+    assert writers.table_size(rows.select("s", "`b.b`", "i")) == (3, 3 * 24 + 2 + 2000 + 3)
+    assert writers.table_size(rows.select("a"))[1] > 24
+    assert writers.table_size(rows.limit(0)) == (0, 0) and writers.table_size(spark.range(5)) == (5, 40)
+
+
+def test_each_bucket_has_a_task_of_its_own(plain):
+    writers.write_table(plain.range(20_000), "bucket_tasks", buckets=16, bucket_by="id")
+    numbers = [re.match(r"part-(\d{5}).*_(\d{5})\.", f).groups() for f in files(plain, "bucket_tasks")]
+    assert len(numbers) == 16 and all(task == bucket for task, bucket in numbers)
+    writers.drop_table(plain, "bucket_tasks")
+
+
 def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower() or "hint" in df._jdf.queryExecution().logical().toString().lower()
     few = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("v"))
